@@ -44,3 +44,22 @@ def map_batches(df: DataFrame, f: Callable[[pa.RecordBatch], pa.RecordBatch | No
                     yield out
 
     return df.mapInArrow(run, schema)
+
+
+def as_bytes(column: pa.Array) -> list[bytes | None]:
+    """A string column's UTF-8 bytes."""
+    return column.cast(pa.large_binary() if pa.types.is_large_string(column.type) else pa.binary()).to_pylist()
+
+
+def annotate(df: DataFrame, column: str, f: Callable[[list[bytes | None]], list[pa.Array]], added: str, rows: int = 256) -> DataFrame:
+    """All columns of ``df`` and those that ``f`` makes of a slice's texts; ``added`` must not clash with ``df``'s names."""
+    names = [x.split()[0] for x in added.split(", ")]
+    if clash := set(names) & set(df.columns):
+        raise ValueError(f"columns {sorted(clash)} are taken")
+    old = [f"`{x.name}` {x.dataType.simpleString()}" for x in df.schema]
+    at = df.columns.index(column)
+
+    def run(b: pa.RecordBatch) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([*b.columns, *f(as_bytes(b.column(at)))], [*b.schema.names, *names])
+
+    return map_batches(df, run, ", ".join(old + [added]), rows)
