@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loomgraph.llm import decontaminate, language, packing, quality, records, simhash
+from loomgraph.llm import decontaminate, language, packing, pii, quality, records, secret_scan, simhash
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -35,6 +35,14 @@ def op9_language_ftrl(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.report(_table(spark, sf_dir, "documents"))
 
 
+def op2_boosted_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.report(_table(spark, sf_dir, "documents"))
+
+
+def op4_forest_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.report(_table(spark, sf_dir, "documents"))
+
+
 ORACLES: dict[str, str] = {}
 
 
