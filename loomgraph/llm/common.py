@@ -8,6 +8,7 @@ from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def work_dir(spark: SparkSession, name: str) -> str:
@@ -51,6 +52,11 @@ def as_bytes(column: pa.Array) -> list[bytes | None]:
     return column.cast(pa.large_binary() if pa.types.is_large_string(column.type) else pa.binary()).to_pylist()
 
 
+def wrapped(docs: DataFrame) -> DataFrame:
+    """``docs`` as one column ``_all`` beside ``text``, so that added columns clash with none; ``select("_all.*")`` undoes it."""
+    return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_all"), "text")
+
+
 def annotate(df: DataFrame, column: str, f: Callable[[list[bytes | None]], list[pa.Array]], added: str, rows: int = 256) -> DataFrame:
     """All columns of ``df`` and those that ``f`` makes of a slice's texts; ``added`` must not clash with ``df``'s names."""
     names = [x.split()[0] for x in added.split(", ")]

@@ -15,7 +15,6 @@ rows of one item_id are one item; items without an id are ignored.
 
 from __future__ import annotations
 
-import hashlib
 from collections import defaultdict
 from functools import lru_cache
 
@@ -24,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomgraph.llm.common import annotate, work_dir
+from loomgraph.llm.common import annotate, work_dir, wrapped
 
 SHARD_WORDS = 1_000_000
 
@@ -184,8 +183,4 @@ def report(docs: DataFrame, bench: DataFrame, width: int = 10) -> DataFrame:
 
 def clean(docs: DataFrame, bench: DataFrame, width: int = 10) -> DataFrame:
     """The documents without a hit, columns as they were."""
-    return annotated(docs, bench, width).filter("_n_hit = 0").select(docs.columns)
-
-
-def digest(items: list[str]) -> str:
-    return hashlib.sha256(",".join(sorted(items)).encode()).hexdigest()
+    return annotated(wrapped(docs), bench, width).filter("_n_hit = 0").select("_all.*")

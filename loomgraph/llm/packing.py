@@ -12,7 +12,6 @@ from __future__ import annotations
 import zlib
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -84,18 +83,18 @@ def pack(pieces: DataFrame, capacity: int = 4096, group: int = 8192, fan_in: int
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pieces.schema) + ", sequence_id long, offset long, done boolean"
 
     def placed(level: int, last: bool):
-        def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-            pdf = pdf.drop(columns="_g").sort_values(["length", "doc_id", "piece"], ascending=[False, True, True], kind="stable").reset_index(drop=True)
-            bins, offsets = sum_of_squares(pdf["length"].to_numpy(), capacity)
-            fill = np.bincount(bins, weights=pdf["length"].to_numpy()).astype(np.int64)
+        def run(key: tuple, own: pa.Table) -> pa.Table:
+            own = own.drop_columns("_g").sort_by([("length", "descending"), ("doc_id", "ascending"), ("piece", "ascending")])
+            lengths = own["length"].to_numpy()
+            bins, offsets = sum_of_squares(lengths, capacity)
+            fill = np.bincount(bins, weights=lengths).astype(np.int64)
             done = np.ones(len(fill), bool)
             if not last:
                 done[np.argsort(fill, kind="stable")[:reopen]] = False
                 done |= fill == capacity
-            # level, group and bin make up the number; a bin is in one group of one round
-            pdf["sequence_id"] = (np.int64(level) << 58) | (np.int64(key[0]) << 24) | bins
-            pdf["offset"], pdf["done"] = offsets, done[bins]
-            return pdf
+            # round, group and bin make up the number; a bin is in one group of one round
+            number = (np.int64(level) << 58) | (np.int64(key[0].as_py()) << 24) | bins
+            return own.append_column("sequence_id", pa.array(number)).append_column("offset", pa.array(offsets)).append_column("done", pa.array(done[bins]))
 
         return run
 
@@ -103,7 +102,7 @@ def pack(pieces: DataFrame, capacity: int = 4096, group: int = 8192, fan_in: int
     while True:
         salt = F.xxhash64("doc_id", "piece", F.lit(level))
         dealt = pieces.withColumn("_g", F.pmod(salt, F.lit(groups))).repartition(groups, "_g") if groups > 1 else pieces.withColumn("_g", F.lit(0).cast("long"))
-        out = stored(dealt.groupBy("_g").applyInPandas(placed(level, groups == 1), schema), "packed")
+        out = stored(dealt.groupBy("_g").applyInArrow(placed(level, groups == 1), schema), "packed")
         kept.append(out.filter("done").select(*names, "sequence_id", "offset"))
         if groups == 1:
             break

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loomgraph.llm.common import annotate
+from loomgraph.llm.common import annotate, wrapped
 
 SPACES, SYMBOLS, WINDOW = b" \t\n\r\x0b\x0c", b"#*$%&|<>", 8
 STATS = ("_words", "_chars", "_symbols", "_dup_lines", "_repeats", "_lines")
@@ -184,4 +184,4 @@ def report(docs: DataFrame, labels: DataFrame) -> DataFrame:
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The documents that no rule rejects, columns as they were."""
     v = verdict(fit(docs, labels))
-    return with_statistics(docs).filter(v.isNull()).select(docs.columns)
+    return with_statistics(wrapped(docs)).filter(v.isNull()).select("_all.*")

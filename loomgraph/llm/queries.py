@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loomgraph.llm import decontaminate, html_text, language, packing, pii, quality, records, secret_scan, simhash
+from loomgraph.llm import decontaminate, html_text, language, packing, passages, pii, quality, records, secret_scan, simhash
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -47,6 +47,10 @@ def op6_tree_boosted_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract(_table(spark, sf_dir, "pages"))
 
 
+def op7_compact_window_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return passages.report(_table(spark, sf_dir, "documents"))
+
+
 ORACLES: dict[str, str] = {}
 
 

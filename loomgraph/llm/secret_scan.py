@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomgraph.llm import spans, trees
+from loomgraph.llm.common import wrapped
 
 NAMED = r"(?i:api[_-]?key|access[_-]?key|private[_-]?key|secret|token|passwd|password|pwd|credential)[A-Za-z0-9_-]{0,20}+[\"']?\s{0,3}+[:=]\s{0,3}+[\"'`]?+[^\s\"'`<>,;]{6,}+"
 BLOB = r"(?<![A-Za-z0-9+/_=.-])(?=[A-Za-z+/_-]*+[0-9])[A-Za-z0-9+/_-]{20,}+={0,2}"
@@ -111,7 +112,8 @@ def redact(docs: DataFrame, precision: float = 0.97) -> DataFrame:
     parts = F.split(text, CANDIDATE, -1)
     shown = F.transform("_secrets", lambda m, i: F.concat(F.get(parts, i), F.when(m["secret"], F.concat(F.left(m["hit"], F.length(m["hit"]) - m["size"]), F.lit(MASK))).otherwise(m["hit"])))
     whole = F.concat(F.array_join(shown, ""), F.element_at(parts, -1))
-    out = docs.withColumn("_secrets", judged(text, model)).withColumn("text", F.when(F.exists("_secrets", lambda m: m["secret"]), whole).otherwise(text)).drop("_secrets")
+    out = wrapped(docs).withColumn("_secrets", judged(text, model)).withColumn("_new", F.when(F.exists("_secrets", lambda m: m["secret"]), whole).otherwise(text))
+    new = {"text": F.col("_new")}
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("text").isNull(), F.col("n_chars")).otherwise(F.length("text").cast(docs.schema["n_chars"].dataType)))
-    return out.select(docs.columns)
+        new["n_chars"] = F.when(F.col("_new").isNull(), F.col("_all.n_chars")).otherwise(F.length("_new").cast(docs.schema["n_chars"].dataType))
+    return out.select(*[new.get(c, F.col(f"_all.`{c}`")).alias(c) for c in docs.columns])

@@ -154,6 +154,10 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
-    """The document with the smallest doc_id of each group (one row of it), columns as they were."""
-    kept = near_duplicates(docs).filter("doc_id = component_id").select("doc_id").distinct()
-    return docs.join(kept, "doc_id").dropDuplicates(["doc_id"]).select(docs.columns)
+    """The document with the smallest doc_id of each group, columns as they were.
+
+    Rows of one doc_id are one document, of which a row stays; documents without an id stand for no group and stay.
+    """
+    kept = near_duplicates(docs.filter("doc_id is not null")).filter("doc_id = component_id").select("doc_id").distinct()
+    whole = docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    return whole.select(docs.columns).unionByName(docs.filter("doc_id is null"))
