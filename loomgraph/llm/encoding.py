@@ -23,35 +23,57 @@ def default_vocabulary() -> str:
 class WordEncoder:
     """Encodes UTF-8 texts to ids as little-endian uint32 bytes; ``None`` counts as empty.
 
-    Special-token strings in a text are ordinary text. ``memory`` bounds the remembered words' bytes.
+    Special-token strings in a text are ordinary text. ``words`` bounds the words remembered, twice: when the young
+    are that many they become the old, and the old of before are forgotten unless they were met again.
     """
 
-    def __init__(self, vocabulary: str, memory: int = 24_000_000) -> None:
+    MARK = b"\x01"  # a word of its own between new words; words that hold it are encoded alone
+
+    def __init__(self, vocabulary: str, words: int = 200_000) -> None:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self._tokenizer = Tokenizer.from_file(vocabulary)
         self._tokenizer.encode_special_tokens = True
-        self._known: dict[bytes, bytes] = {}
-        self._size, self._memory = 0, memory
-
-    def _learn(self, words: Sequence[bytes]) -> None:
-        for at in range(0, len(words), 4096):
-            part = words[at : at + 4096]
-            for w, e in zip(part, self._tokenizer.encode_batch([w.decode("utf-8", "replace") for w in part], add_special_tokens=False), strict=True):
-                ids = np.array(e.ids, "<u4").tobytes()
-                self._known[w] = ids
-                self._size += len(w) + len(ids)
+        self._young: dict[bytes, bytes] = {}
+        self._old: dict[bytes, bytes] = {}
+        self._words = words
+        mark = self._ids([self.MARK.decode()])[0]
+        self._mark = mark[0] if len(mark) == 1 else None
+
+    def _ids(self, texts: list[str]) -> list[list[int]]:
+        return [e.ids for e in self._tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _learn(self, words: list[bytes]) -> None:
+        """Encode new words many at a time; the mark's id parts them again."""
+        alone = words if self._mark is None else [w for w in words if self.MARK in w]
+        for w, ids in zip(alone, self._ids([w.decode("utf-8", "replace") for w in alone]), strict=True):
+            self._young[w] = np.array(ids, "<u4").tobytes()
+        if alone:
+            gone = set(alone)
+            words = [w for w in words if w not in gone]
+        parts = [words[i : i + 64] for i in range(0, len(words), 64)]
+        for part, ids in zip(parts, self._ids([b" \x01 ".join(p).decode("utf-8", "replace") for p in parts]), strict=True):
+            blob = np.array(ids, "<u4")
+            cuts = np.flatnonzero(blob == self._mark) * 4
+            raw, start = blob.tobytes(), 0
+            if len(cuts) != len(part) - 1:
+                raise ValueError("the mark does not part the words")
+            for w, end in zip(part, [*cuts.tolist(), len(raw)], strict=True):
+                self._young[w] = raw[start:end]
+                start = end + 4
 
     def encode(self, texts: Sequence[bytes | None]) -> list[bytes]:
-        if self._size > self._memory:
-            self._known.clear()
-            self._size = 0
+        if len(self._young) > self._words:
+            self._old, self._young = self._young, {}
         split = [t.split() if t else [] for t in texts]  # bytes.split() parts at ASCII white space only
-        missing = set().union(*split).difference(self._known)
+        missing = set().union(*split).difference(self._young)
         if missing:
-            self._learn(list(missing))
-        get = self._known.__getitem__
+            old = self._old
+            met = missing.intersection(old)
+            self._young.update((w, old[w]) for w in met)
+            self._learn(list(missing - met))
+        get = self._young.__getitem__
         return [b"".join(map(get, words)) for words in split]
 
 
