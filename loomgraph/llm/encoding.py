@@ -7,6 +7,7 @@ ids are its words' ids in order. Words seen before come from a bounded memory.
 from __future__ import annotations
 
 import os
+from collections import deque
 from collections.abc import Sequence
 
 import numpy as np
@@ -20,60 +21,95 @@ def default_vocabulary() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+class _Known(dict):
+    """Words' ids. Looking up a word that is not there takes it from ``old``, or puts it down in ``new``."""
+
+    def __init__(self) -> None:
+        self.old: dict[bytes, bytes] = {}
+        self.new: list[bytes] = []
+
+    def __missing__(self, word: bytes) -> bytes:
+        ids = self.old.get(word)
+        if ids is None:
+            self.new.append(word)
+            ids = b""
+        self[word] = ids
+        return ids
+
+
 class WordEncoder:
     """Encodes UTF-8 texts to ids as little-endian uint32 bytes; ``None`` counts as empty.
 
     Special-token strings in a text are ordinary text. ``words`` bounds the words remembered, twice: when the young
-    are that many they become the old, and the old of before are forgotten unless they were met again.
+    are that many they become the old, and the old of before are forgotten unless they were met again. ``folds``
+    says that the vocabulary's normaliser lower-cases, so words that differ in A-Z alone can be one; texts with
+    combining marks are left as they are, since marks compose before letters are lower-cased.
     """
 
     MARK = b"\x01"  # a word of its own between new words; words that hold it are encoded alone
+    END = "</w>"  # ends the last token of a run of letters
 
-    def __init__(self, vocabulary: str, words: int = 200_000) -> None:
+    def __init__(self, vocabulary: str, words: int = 400_000) -> None:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self._tokenizer = Tokenizer.from_file(vocabulary)
         self._tokenizer.encode_special_tokens = True
-        self._young: dict[bytes, bytes] = {}
-        self._old: dict[bytes, bytes] = {}
-        self._words = words
+        self._known, self._words = _Known(), words
         mark = self._ids([self.MARK.decode()])[0]
         self._mark = mark[0] if len(mark) == 1 else None
+        self._folds = self._ids(["QX"]) == self._ids(["qx"])
+        vocab = self._tokenizer.get_vocab()
+        self._ends = np.zeros(max(vocab.values(), default=0) + 1, bool)
+        self._ends[[i for t, i in vocab.items() if t.endswith(self.END)]] = True
 
     def _ids(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self._tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _learn(self, words: list[bytes]) -> None:
-        """Encode new words many at a time; the mark's id parts them again."""
-        alone = words if self._mark is None else [w for w in words if self.MARK in w]
-        for w, ids in zip(alone, self._ids([w.decode("utf-8", "replace") for w in alone]), strict=True):
-            self._young[w] = np.array(ids, "<u4").tobytes()
-        if alone:
-            gone = set(alone)
-            words = [w for w in words if w not in gone]
+    def _alone(self, words: list[bytes]) -> None:
+        for w, ids in zip(words, self._ids([w.decode("utf-8", "replace") for w in words]), strict=True):
+            self._known[w] = np.array(ids, "<u4").tobytes()
+
+    def _joined(self, words: list[bytes], between: bytes, ends) -> list[bytes]:
+        """Encode many words as one text, parted where ``ends`` says; return those that did not part as they should."""
+        failed = []
         parts = [words[i : i + 64] for i in range(0, len(words), 64)]
-        for part, ids in zip(parts, self._ids([b" \x01 ".join(p).decode("utf-8", "replace") for p in parts]), strict=True):
+        for part, ids in zip(parts, self._ids([between.join(p).decode("utf-8", "replace") for p in parts]), strict=True):
             blob = np.array(ids, "<u4")
-            cuts = np.flatnonzero(blob == self._mark) * 4
+            stops, skip = ends(blob)
+            if len(stops) != len(part):
+                failed += part
+                continue
             raw, start = blob.tobytes(), 0
-            if len(cuts) != len(part) - 1:
-                raise ValueError("the mark does not part the words")
-            for w, end in zip(part, [*cuts.tolist(), len(raw)], strict=True):
-                self._young[w] = raw[start:end]
-                start = end + 4
+            for w, end in zip(part, stops, strict=True):
+                self._known[w] = raw[start:end]
+                start = end + skip
+        return failed
+
+    def _learn(self, words: list[bytes]) -> None:
+        """Encode new words many at a time. A word of letters alone ends with an ending token; between others goes the mark."""
+        letters = [w for w in words if w.isalpha() or (w[0] >= 128 or w[-1] >= 128 or not w.isascii()) and w.decode("utf-8", "replace").isalpha()]
+        rest = set(words).difference(letters)
+        letters_end = lambda ids: (((np.flatnonzero(self._ends[ids]) + 1) * 4).tolist(), 0)
+        rest.update(self._joined(letters, b" ", letters_end))
+        alone = list(rest) if self._mark is None else [w for w in rest if self.MARK in w]
+        rest.difference_update(alone)
+        mark_ends = lambda ids: ([*(np.flatnonzero(ids == self._mark) * 4).tolist(), 4 * len(ids)], 4)
+        self._alone(alone + self._joined(list(rest), b" \x01 ", mark_ends))
 
     def encode(self, texts: Sequence[bytes | None]) -> list[bytes]:
-        if len(self._young) > self._words:
-            self._old, self._young = self._young, {}
-        split = [t.split() if t else [] for t in texts]  # bytes.split() parts at ASCII white space only
-        missing = set().union(*split).difference(self._young)
-        if missing:
-            old = self._old
-            met = missing.intersection(old)
-            self._young.update((w, old[w]) for w in met)
-            self._learn(list(missing - met))
-        get = self._young.__getitem__
+        known = self._known
+        if len(known) > self._words:
+            self._known = _Known()
+            self._known.old, known = dict(known), self._known
+        # bytes.split() parts at ASCII white space only; combining marks are 0xCC and 0xCD and a byte more
+        split = [(t.lower() if self._folds and b"\xcc" not in t and b"\xcd" not in t else t).split() if t else [] for t in texts]
+        get = known.__getitem__
+        for words in split:
+            deque(map(get, words), 0)
+        if known.new:
+            self._learn(known.new)
+            known.new = []
         return [b"".join(map(get, words)) for words in split]
 
 
