@@ -4,11 +4,15 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from loomgraph.operators import candidates
+from loomgraph.plans import core  # noqa: F401  registers its queries
 from loomgraph.plans.registry import SPECS, Plan
+from loomgraph.sources import readers
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/events.parquet").groupBy("event_type").count()
+    """Ranked ring candidates: the 50 best of each cycle."""
+    return candidates.top_k(candidates.scored(readers.edges(spark, sf_dir)), 50)
 
 
 def queries() -> dict[str, Plan]:
