@@ -100,7 +100,7 @@ def boundary_flow(member: DataFrame, inner: DataFrame, totals: DataFrame) -> Dat
     t = member.join(totals, ["now", "node"]).groupBy("now", "seed").agg(F.sum("total_in").alias("i"), F.sum("total_out").alias("o"))
     s = inner.groupBy("now", "seed").agg(F.sum("amount").alias("x"))
     j = t.join(s, ["now", "seed"], "left").withColumn("x", F.coalesce("x", F.lit(0.0)))
-    i, o = F.round(F.col("i") - F.col("x"), 6), F.round(F.col("o") - F.col("x"), 6)
+    i, o = F.round(F.col("i") - F.col("x"), 6) + 0.0, F.round(F.col("o") - F.col("x"), 6) + 0.0  # no negative zero
     return j.select("now", "seed", i.alias("ext_in"), o.alias("ext_out"), F.when(F.greatest(i, o) > 0, F.least(i, o) / F.greatest(i, o)).otherwise(0.0).alias("conservation"))
 
 

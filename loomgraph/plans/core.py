@@ -218,7 +218,7 @@ def _(spark, d):
 
 
 FLOW = """tot AS (SELECT now, node, coalesce(sum(o), 0) AS o, coalesce(sum(i), 0) AS i FROM (SELECT now, src AS node, amount AS o, NULL AS i FROM pairs UNION ALL SELECT now, dst, NULL, amount FROM pairs) GROUP BY now, node),
- flow AS (SELECT a.now, a.seed, round(i - coalesce(x, 0), 6) AS ext_in, round(o - coalesce(x, 0), 6) AS ext_out FROM (SELECT now, seed, sum(o) AS o, sum(i) AS i FROM mem2 JOIN tot USING (now, node) GROUP BY now, seed) a LEFT JOIN (SELECT now, seed, sum(amount) AS x FROM inr GROUP BY now, seed) b USING (now, seed))"""
+ flow AS (SELECT a.now, a.seed, round(i - coalesce(x, 0), 6) + 0.0 AS ext_in, round(o - coalesce(x, 0), 6) + 0.0 AS ext_out FROM (SELECT now, seed, sum(o) AS o, sum(i) AS i FROM mem2 JOIN tot USING (now, node) GROUP BY now, seed) a LEFT JOIN (SELECT now, seed, sum(amount) AS x FROM inr GROUP BY now, seed) b USING (now, seed))"""
 
 
 @query("ft_boundary_flow", ctes(*TO_CAND, FLOW) + "SELECT now, seed, round(ext_in, 4) AS ext_in, round(ext_out, 4) AS ext_out, round(CASE WHEN greatest(ext_in, ext_out) > 0 THEN least(ext_in, ext_out) / greatest(ext_in, ext_out) ELSE 0 END, 4) AS conservation FROM flow")
