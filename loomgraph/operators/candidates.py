@@ -70,6 +70,24 @@ def fans(inner: DataFrame) -> DataFrame:
     return d.groupBy("now", "seed").agg(F.max("o").alias("max_out"), F.max("i").alias("max_in"), F.sum((F.col("o") >= 2).cast("int")).alias("fan_out"), F.sum((F.col("i") >= 2).cast("int")).alias("fan_in"), F.sum(((F.col("o") > 0) & (F.col("i") > 0)).cast("int")).alias("n_through"), F.max(F.least("o", "i")).alias("gs"), F.count("*").alias("n_nodes"))
 
 
+def layers(inner: DataFrame) -> DataFrame:
+    """Senders, mules and receivers of a candidate, the share of possible edges between levels, and the three readings of it.
+
+    A sender is never paid and a receiver never pays, so of the nine blocks five are empty by themselves.
+    """
+    ends = inner.select("now", "seed", F.col("src").alias("node"), F.lit(1).alias("o"), F.lit(0).alias("i")).union(inner.select("now", "seed", "dst", F.lit(0), F.lit(1)))
+    node = ends.groupBy("now", "seed", "node").agg(F.max("o").alias("o"), F.max("i").alias("i"))
+    level = node.select("now", "seed", "node", F.when((F.col("o") == 1) & (F.col("i") == 1), "m").when(F.col("o") == 1, "s").otherwise("r").alias("level"))
+    size = level.groupBy("now", "seed").agg(*[F.count(F.when(F.col("level") == k, 1)).alias(f"n_{k}") for k in "smr"])
+    e = inner.join(level.select("now", "seed", F.col("node").alias("src"), F.col("level").alias("a")), ["now", "seed", "src"]).join(level.select("now", "seed", F.col("node").alias("dst"), F.col("level").alias("b")), ["now", "seed", "dst"])
+    count = e.groupBy("now", "seed").agg(*[F.count(F.when((F.col("a") == a) & (F.col("b") == b), 1)).alias(f"e_{a}{b}") for a, b in ("sm", "sr", "mm", "mr")])
+    j = size.join(count, ["now", "seed"])
+    share = lambda a, b: F.when(F.col(f"n_{a}") * (F.col(f"n_{b}") - int(a == b)) > 0, F.col(f"e_{a}{b}") / (F.col(f"n_{a}") * (F.col(f"n_{b}") - int(a == b)))).otherwise(0.0)
+    sm, sr, mm, mr = (share(a, b) for a, b in ("sm", "sr", "mm", "mr"))
+    full = (F.col("n_s") > 0) & (F.col("n_m") > 0) & (F.col("n_r") > 0)
+    return j.select("now", "seed", "n_s", "n_m", "n_r", ((sm + mr) / 2 - (sr + mm) / 7).alias("gargaml"), F.when((F.col("n_s") >= 2) & (F.col("n_r") >= 2), sr).otherwise(0.0).alias("bipartite"), F.when(full, F.least(sm, mr)).otherwise(0.0).alias("stack"))
+
+
 def scatter_gather(inner: DataFrame) -> DataFrame:
     """Widest a -> middle nodes -> b with b neither a nor paid by a directly; two strands at least."""
     a = inner.select("now", "seed", F.col("src").alias("a"), F.col("dst").alias("m"))
@@ -114,10 +132,10 @@ def scored(edges: DataFrame) -> DataFrame:
     flow, fan = boundary_flow(member, inner, W.node_totals(p)), fans(inner)
     round_share = inner.groupBy("now", "seed").agg((F.sum(F.when(S.is_round(F.col("amount") / F.col("cnt")), F.col("cnt")).otherwise(0)) / F.sum("cnt")).alias("round_amounts"), F.count("*").alias("n_edges"))
     j = cand
-    for x in (flow, fan, round_share, scatter_gather(inner), triangles(inner)):
+    for x in (flow, fan, round_share, scatter_gather(inner), triangles(inner), layers(inner)):
         j = j.join(x, ["now", "seed"], "left")
     z = lambda c: F.coalesce(F.col(c), F.lit(0))
-    terms = {"conservation": z("conservation"), "scatter_gather": S.norm(z("sg"), 5), "gather_scatter": S.norm(F.when(z("gs") >= 2, z("gs")).otherwise(0), 5), "passthrough": z("n_through") / F.col("size"), "round_amounts": z("round_amounts"), "cycle": F.when(z("n_cycles3") > 0, 0.4).otherwise(0.0), "temporal_cycle": F.when(z("n_temporal3") > 0, 0.4).otherwise(0.0)}
+    terms = {"conservation": z("conservation"), "scatter_gather": S.norm(z("sg"), 5), "gather_scatter": S.norm(F.when(z("gs") >= 2, z("gs")).otherwise(0), 5), "passthrough": z("n_through") / F.col("size"), "round_amounts": z("round_amounts"), "bipartite": z("bipartite"), "cycle": F.when(z("n_cycles3") > 0, 0.4).otherwise(0.0), "temporal_cycle": F.when(z("n_temporal3") > 0, 0.4).otherwise(0.0)}
     score = sum((config.WEIGHTS[k] / config.SCALE * v for k, v in terms.items()), F.lit(0.0))
     return j.filter(F.col("n_edges") >= config.MIN_EDGES).select("now", "key", "seed", "size", "n_edges", "max_out", "max_in", z("sg").alias("sg"), F.round(F.coalesce("conservation", F.lit(0.0)), 6).alias("conservation"), F.round(score, 6).alias("score"))
 

@@ -21,6 +21,16 @@ def hits(cand: DataFrame, rings: DataFrame, share: float = 0.5, jaccard: float =
     return n.filter((F.col("shared") / F.col("ring_size") >= share) & (F.col("shared") / (F.col("size") + F.col("ring_size") - F.col("shared")) >= jaccard)).select("now", "key", "ring", "shared")
 
 
+def threshold_band(cand: DataFrame, rings: DataFrame, shares: tuple[float, ...] = (0.4, 0.5, 0.6), jaccards: tuple[float, ...] = (0.2, 0.3, 0.4)) -> DataFrame:
+    """Hits, candidates and rings found in each cell of a grid of thresholds, from overlaps counted once."""
+    m = cand.select("now", "key", "size", F.explode("nodes").alias("node"))
+    n = m.join(rings, ["now", "node"]).groupBy("now", "key", "size", "ring", "ring_size").agg(F.count("*").alias("shared"))
+    share, jaccard = F.col("shared") / F.col("ring_size"), F.col("shared") / (F.col("size") + F.col("ring_size") - F.col("shared"))
+    grid = F.array(*[F.struct(F.lit(a).alias("share"), F.lit(b).alias("jaccard")) for a in shares for b in jaccards])
+    cells = n.select("now", "key", "ring", F.explode(F.filter(grid, lambda g: (share >= g["share"]) & (jaccard >= g["jaccard"]))).alias("g"))
+    return cells.groupBy("g.share", "g.jaccard").agg(F.count("*").alias("hits"), F.count_distinct("now", "key").alias("n_candidates"), F.count_distinct("ring").alias("n_rings"))
+
+
 def precision_at(ranked: DataFrame, k: int) -> DataFrame:
     """Ratio of sums over cycles of rows (now, rank, hit): k, hits, n, p."""
     s = ranked.filter(F.col("rank") <= k).agg(F.sum("hit").alias("hits"), F.count("*").alias("n"))

@@ -418,3 +418,38 @@ def _(spark, d):
     from loomgraph.streaming import replay
 
     return replay.ticks(spark, d)
+
+
+LAYERS = """SELECT now, seed, ns AS n_s, nm AS n_m, nr AS n_r, round((sm + mr) / 2 - (sr + mm) / 7, 6) AS gargaml, round(CASE WHEN ns >= 2 AND nr >= 2 THEN sr ELSE 0 END, 6) AS bipartite, round(CASE WHEN ns > 0 AND nm > 0 AND nr > 0 THEN least(sm, mr) ELSE 0 END, 6) AS stack
+ FROM (SELECT z.now, z.seed, ns, nm, nr, coalesce(esm * 1.0 / nullif(ns * nm, 0), 0) AS sm, coalesce(esr * 1.0 / nullif(ns * nr, 0), 0) AS sr, coalesce(emm * 1.0 / nullif(nm * (nm - 1), 0), 0) AS mm, coalesce(emr * 1.0 / nullif(nm * nr, 0), 0) AS mr
+ FROM (SELECT now, seed, count(*) FILTER (l = 's') AS ns, count(*) FILTER (l = 'm') AS nm, count(*) FILTER (l = 'r') AS nr FROM lv GROUP BY ALL) z JOIN (SELECT e.now, e.seed, count(*) FILTER (a.l = 's' AND b.l = 'm') AS esm, count(*) FILTER (a.l = 's' AND b.l = 'r') AS esr, count(*) FILTER (a.l = 'm' AND b.l = 'm') AS emm, count(*) FILTER (a.l = 'm' AND b.l = 'r') AS emr FROM inr e JOIN lv a ON a.now = e.now AND a.seed = e.seed AND a.node = e.src JOIN lv b ON b.now = e.now AND b.seed = e.seed AND b.node = e.dst GROUP BY ALL) y USING (now, seed))"""
+
+
+@query("mo_layers", ctes(*TO_CAND, "lv AS (SELECT now, seed, node, CASE WHEN max(o) = 1 AND max(i) = 1 THEN 'm' WHEN max(o) = 1 THEN 's' ELSE 'r' END AS l FROM (SELECT now, seed, src AS node, 1 AS o, 0 AS i FROM inr UNION ALL SELECT now, seed, dst, 0, 1 FROM inr) GROUP BY now, seed, node)") + LAYERS)
+def _(spark, d):
+    x = C.layers(_inner(spark, d)[2])
+    return x.select("now", "seed", "n_s", "n_m", "n_r", *[F.round(c, 6).alias(c) for c in ("gargaml", "bipartite", "stack")])
+
+
+@query("ev_threshold_band", ctes(*TO_CAND, RINGS) + "SELECT share, jaccard, count(*) AS hits, count(DISTINCT now || '#' || key) AS n_candidates, count(DISTINCT ring) AS n_rings FROM (SELECT c.now, c.key, c.size, a.ring, a.ring_size, count(*) AS k FROM cand c JOIN mem2 m USING (now, seed) JOIN act a ON a.now = c.now AND a.node = m.node GROUP BY ALL), (SELECT unnest([0.4, 0.5, 0.6])::DOUBLE AS share), (SELECT unnest([0.2, 0.3, 0.4])::DOUBLE AS jaccard) WHERE k::DOUBLE / ring_size >= share AND k::DOUBLE / (size + ring_size - k) >= jaccard GROUP BY share, jaccard")
+def _(spark, d):
+    return E.threshold_band(_inner(spark, d)[0], _active(spark, d))
+
+
+@query("ag_member_features", ctes(*TO_CAND) + "SELECT c.now, c.key, round(avg(CASE WHEN s.th THEN 1.0 ELSE 0 END), 6) AS passthrough_share, CAST(max(s.n) AS BIGINT) AS max_n, round(avg(s.n), 6) AS mean_n FROM cand c JOIN mem2 m USING (now, seed) JOIN (SELECT node, count(*) AS n, count(o) > 0 AND count(i) > 0 AS th FROM (SELECT src AS node, 1 AS o, NULL AS i FROM edges UNION ALL SELECT dst, NULL, 1 FROM edges) GROUP BY node) s USING (node) GROUP BY c.now, c.key")
+def _(spark, d):
+    cand = _inner(spark, d)[0]
+    m = cand.select("now", "key", F.explode("nodes").alias("node")).join(W.account_stats(R.edges(spark, d)), "node")
+    return m.groupBy("now", "key").agg(F.round(F.avg(F.col("passthrough").cast("double")), 6).alias("passthrough_share"), F.max("n").alias("max_n"), F.round(F.avg("n"), 6).alias("mean_n"))
+
+
+@query("fn_role", ctes(*TO_PAIRS) + "SELECT now, node, CASE WHEN sum(o) > 0 AND sum(i) > 0 THEN 'PASS_THROUGH' WHEN sum(o) > 0 THEN 'SOURCE' ELSE 'SINK' END AS role FROM (SELECT now, src AS node, 1 AS o, 0 AS i FROM pairs UNION ALL SELECT now, dst, 0, 1 FROM pairs) GROUP BY now, node")
+def _(spark, d):
+    return W.node_totals(_pairs(spark, d)).select("now", "node", S.role(F.col("n_in"), F.col("n_out")).alias("role"))
+
+
+@query("jn_registry", ctes(*TO_CAND) + "SELECT c.now, c.key, count(DISTINCT coalesce(n_name, 'Unknown')) AS n_countries, count(DISTINCT n_regionkey) AS n_banks FROM cand c JOIN mem2 m USING (now, seed) LEFT JOIN (SELECT c_custkey, n_name, n_regionkey FROM customer JOIN nation ON c_nationkey = n_nationkey) ON c_custkey = node GROUP BY c.now, c.key")
+def _(spark, d):
+    m = _inner(spark, d)[0].select("now", "key", F.explode("nodes").alias("node"))
+    r = R.registry(spark, d).select(F.col("key").alias("node"), "country", "bank")
+    return m.join(r, "node", "left").groupBy("now", "key").agg(F.count_distinct(F.coalesce("country", F.lit("Unknown"))).alias("n_countries"), F.count_distinct("bank").alias("n_banks"))
