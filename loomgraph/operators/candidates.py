@@ -25,6 +25,16 @@ def seeds(edges: DataFrame, p: DataFrame, lookback: int = 1) -> DataFrame:
     return touched(edges, lookback).join(passthrough(p), ["now", "node"], "left_semi").select("now", F.col("node").alias("seed"))
 
 
+def extra_seeds(edges: DataFrame, p: DataFrame, share: float = 0.10) -> DataFrame:
+    """Beyond the base seeds, as many touched others as a share of them (rounded down), by degree, ties by node."""
+    base = seeds(edges, p)
+    budget = base.groupBy("now").agg(F.floor(F.count("*") * share).alias("budget"))
+    degree = W.neighbours(p).groupBy("now", "node").agg(F.count("*").alias("deg"))
+    pool = touched(edges).join(base.withColumnRenamed("seed", "node"), ["now", "node"], "left_anti").join(degree, ["now", "node"])
+    rank = F.row_number().over(Window.partitionBy("now").orderBy(F.col("deg").desc(), "node"))
+    return pool.withColumn("rn", rank).join(budget, "now").filter(F.col("rn") <= F.col("budget")).select("now", F.col("node").alias("seed"))
+
+
 def expand(seed: DataFrame, nbrs: DataFrame, hops: int = 2, max_degree: int = config.MAX_DEGREE, max_nodes: int = config.MAX_NODES) -> DataFrame:
     """Nodes within ``hops`` of a seed (now, seed, node, hop). A node of too high a degree, the seed too, is not gone through; a hop that would pass the node cap keeps the lowest degrees, ties by node."""
     degree = nbrs.groupBy("now", "node").agg(F.count("*").alias("deg"))

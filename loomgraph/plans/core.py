@@ -453,3 +453,17 @@ def _(spark, d):
     m = _inner(spark, d)[0].select("now", "key", F.explode("nodes").alias("node"))
     r = R.registry(spark, d).select(F.col("key").alias("node"), "country", "bank")
     return m.join(r, "node", "left").groupBy("now", "key").agg(F.count_distinct(F.coalesce("country", F.lit("Unknown"))).alias("n_countries"), F.count_distinct("bank").alias("n_banks"))
+
+
+@query("ev_ring_recall", ctes(*TO_CAND, RINGS, HITS) + "SELECT count(DISTINCT a.ring) AS seen, count(DISTINCT hit.ring) AS found, round(count(DISTINCT hit.ring) * 1.0 / count(DISTINCT a.ring), 6) AS recall FROM (SELECT DISTINCT now, ring FROM act) a LEFT JOIN hit USING (now, ring)")
+def _(spark, d):
+    active = stage(_active(spark, d))
+    found = E.hits(_inner(spark, d)[0], active).select("now", "ring", F.col("ring").alias("hit_ring")).distinct()
+    j = active.select("now", "ring").distinct().join(found, ["now", "ring"], "left")
+    seen, got = F.count_distinct("ring"), F.count_distinct("hit_ring")
+    return j.agg(seen.alias("seen"), got.alias("found"), F.round(got / seen, 6).alias("recall"))
+
+
+@query("sd_degree", ctes(*TO_SEEDS) + "SELECT now, node AS seed FROM (SELECT t.now, t.node, row_number() OVER (PARTITION BY t.now ORDER BY deg DESC, t.node) AS rn, budget FROM touched t JOIN deg USING (now, node) JOIN (SELECT now, floor(count(*) * 0.1) AS budget FROM seeds GROUP BY now) b ON b.now = t.now WHERE NOT EXISTS (SELECT 1 FROM seeds s WHERE s.now = t.now AND s.seed = t.node)) WHERE rn <= budget")
+def _(spark, d):
+    return C.extra_seeds(R.edges(spark, d), stage(_pairs(spark, d)))
