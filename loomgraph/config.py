@@ -3,6 +3,10 @@
 TICK, WINDOW, STEP = 60, 360, 360  # minutes; evaluation cycles lie STEP apart, the first at TICK
 HORIZON = 43_260
 MAX_DEGREE, MAX_NODES, MIN_NODES, MIN_EDGES = 50, 200, 3, 2
+MAX_CYCLE, MAX_CYCLES, MAX_EXACT = 8, 200, 120  # longest cycle, most of them, most nodes to look for them in
+STRAND_MINUTES = 360  # from the first to the second leg of a strand
+SMURF_WIDTH = 5  # counterparties from which width counts in full
+MAX_BRIDGE, MAX_MERGED, MAX_WITNESS, LINK_POOL = 3, 40, 20, 200
 EPOCH_MINUTES = 28_401_120  # 2024-01-01T00:00Z
 
 #: The score's terms and their weights; the two retired terms count nothing and the rest are scaled to one.

@@ -25,14 +25,22 @@ def seeds(edges: DataFrame, p: DataFrame, lookback: int = 1) -> DataFrame:
     return touched(edges, lookback).join(passthrough(p), ["now", "node"], "left_semi").select("now", F.col("node").alias("seed"))
 
 
-def extra_seeds(edges: DataFrame, p: DataFrame, share: float = 0.10) -> DataFrame:
-    """Beyond the base seeds, as many touched others as a share of them (rounded down), by degree, ties by node."""
-    base = seeds(edges, p)
+def untouched_by_rule(edges: DataFrame, p: DataFrame) -> DataFrame:
+    """Touched accounts (now, node) that the seed rule leaves out."""
+    return touched(edges).join(passthrough(p), ["now", "node"], "left_anti")
+
+
+def within_budget(ranked: DataFrame, base: DataFrame, share: float = 0.10) -> DataFrame:
+    """The first of ``ranked`` (now, node, by), highest first, ties by node: as many per cycle as a share of the base seeds, rounded down."""
     budget = base.groupBy("now").agg(F.floor(F.count("*") * share).alias("budget"))
-    degree = W.neighbours(p).groupBy("now", "node").agg(F.count("*").alias("deg"))
-    pool = touched(edges).join(base.withColumnRenamed("seed", "node"), ["now", "node"], "left_anti").join(degree, ["now", "node"])
-    rank = F.row_number().over(Window.partitionBy("now").orderBy(F.col("deg").desc(), "node"))
-    return pool.withColumn("rn", rank).join(budget, "now").filter(F.col("rn") <= F.col("budget")).select("now", F.col("node").alias("seed"))
+    rank = F.row_number().over(Window.partitionBy("now").orderBy(F.col("by").desc(), "node"))
+    return ranked.withColumn("rn", rank).join(budget, "now").filter(F.col("rn") <= F.col("budget")).select("now", F.col("node").alias("seed"))
+
+
+def extra_seeds(edges: DataFrame, p: DataFrame, share: float = 0.10) -> DataFrame:
+    """Beyond the base seeds, touched others by degree."""
+    degree = W.neighbours(p).groupBy("now", "node").agg(F.count("*").alias("by"))
+    return within_budget(untouched_by_rule(edges, p).join(degree, ["now", "node"]), seeds(edges, p), share)
 
 
 def expand(seed: DataFrame, nbrs: DataFrame, hops: int = 2, max_degree: int = config.MAX_DEGREE, max_nodes: int = config.MAX_NODES) -> DataFrame:
@@ -98,12 +106,19 @@ def layers(inner: DataFrame) -> DataFrame:
     return j.select("now", "seed", "n_s", "n_m", "n_r", ((sm + mr) / 2 - (sr + mm) / 7).alias("gargaml"), F.when((F.col("n_s") >= 2) & (F.col("n_r") >= 2), sr).otherwise(0.0).alias("bipartite"), F.when(full, F.least(sm, mr)).otherwise(0.0).alias("stack"))
 
 
-def scatter_gather(inner: DataFrame) -> DataFrame:
-    """Widest a -> middle nodes -> b with b neither a nor paid by a directly; two strands at least."""
-    a = inner.select("now", "seed", F.col("src").alias("a"), F.col("dst").alias("m"))
-    b = inner.select("now", "seed", F.col("src").alias("m"), F.col("dst").alias("b"))
+def mutual(inner: DataFrame) -> DataFrame:
+    """Pairs that pay each other, once each."""
+    back = inner.select("now", "seed", F.col("src").alias("dst"), F.col("dst").alias("src"))
+    return inner.filter("src < dst").join(back, ["now", "seed", "src", "dst"], "left_semi").groupBy("now", "seed").agg(F.count("*").alias("n_mutual"))
+
+
+def scatter_gather(inner: DataFrame, minutes: int | None = None) -> DataFrame:
+    """Widest a -> middle nodes -> b with b neither a nor paid by a directly; two strands at least. With ``minutes``, a strand counts if some payment in can be followed by one out within them."""
+    a = inner.select("now", "seed", F.col("src").alias("a"), F.col("dst").alias("m"), F.col("first_t").alias("fa"), F.col("last_t").alias("la"))
+    b = inner.select("now", "seed", F.col("src").alias("m"), F.col("dst").alias("b"), F.col("first_t").alias("fb"), F.col("last_t").alias("lb"))
     direct = inner.select("now", "seed", F.col("src").alias("a"), F.col("dst").alias("b"))
-    w = a.join(b, ["now", "seed", "m"]).filter("a <> b").join(direct, ["now", "seed", "a", "b"], "left_anti").groupBy("now", "seed", "a", "b").agg(F.count("*").alias("w"))
+    fits = F.lit(True) if minutes is None else (F.col("lb") >= F.col("fa")) & (F.col("fb") <= F.col("la") + minutes)
+    w = a.join(b, ["now", "seed", "m"]).filter(fits & (F.col("a") != F.col("b"))).join(direct, ["now", "seed", "a", "b"], "left_anti").groupBy("now", "seed", "a", "b").agg(F.count("*").alias("w"))
     return w.filter("w >= 2").groupBy("now", "seed").agg(F.max("w").alias("sg"))
 
 

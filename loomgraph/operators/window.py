@@ -43,6 +43,18 @@ def node_totals(p: DataFrame) -> DataFrame:
     return both.groupBy("now", "node").agg(F.coalesce(F.sum("o"), F.lit(0.0)).alias("total_out"), F.coalesce(F.sum("i"), F.lit(0.0)).alias("total_in"), F.count("o").alias("n_out"), F.count("i").alias("n_in"))
 
 
+def accounts_of_window(edges: DataFrame) -> DataFrame:
+    """Per cycle: edges ever added, expired and live, so that the first is the sum of the others.
+
+    Counts per tick are summed up over time before any cycle sees them; there are no more rows than ticks.
+    """
+    now = live(edges).groupBy("now").agg(F.count("*").alias("n_live"))
+    ticks = edges.groupBy(tick_end(F.col("t")).alias("now")).agg(F.count("*").alias("n"))
+    run = F.sum("n").over(Window.orderBy("now").rangeBetween(Window.unboundedPreceding, 0))
+    every = ticks.join(now, "now", "full_outer").select("now", F.coalesce("n", F.lit(0)).alias("n"), "n_live").withColumn("added", run)
+    return every.filter("n_live is not null").select("now", "added", (F.col("added") - F.col("n_live")).alias("expired"), "n_live")
+
+
 def moments(x: Column, prefix: str) -> list[Column]:
     """Population moments with floors: variance from two, skewness from three, kurtosis from four values, zero without spread."""
     n = F.count(x)
