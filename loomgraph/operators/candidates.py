@@ -147,22 +147,13 @@ def boundary_flow(member: DataFrame, inner: DataFrame, totals: DataFrame) -> Dat
     return j.select("now", "seed", i.alias("ext_in"), o.alias("ext_out"), F.when(F.greatest(i, o) > 0, F.least(i, o) / F.greatest(i, o)).otherwise(0.0).alias("conservation"))
 
 
-def scored(edges: DataFrame) -> DataFrame:
-    """Ranked candidates of all cycles: the blend of flow, shape and time terms known without cycles longer than three."""
+def candidates(edges: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """All cycles' candidates, their members, inner edges and the window's pairs, each staged for the steps that follow."""
     p = stage(W.pairs(W.live(W.islands(edges))))
     member = stage(expand(stage(seeds(edges, p)), stage(W.neighbours(p))))
     cand = stage(deduplicated(prune_leaves(member, induced(member, p))))
     member = cand.select("now", "seed", F.explode("nodes").alias("node"))
-    inner = stage(induced(member, p))
-    flow, fan = boundary_flow(member, inner, W.node_totals(p)), fans(inner)
-    round_share = inner.groupBy("now", "seed").agg((F.sum(F.when(S.is_round(F.col("amount") / F.col("cnt")), F.col("cnt")).otherwise(0)) / F.sum("cnt")).alias("round_amounts"), F.count("*").alias("n_edges"))
-    j = cand
-    for x in (flow, fan, round_share, scatter_gather(inner), triangles(inner), layers(inner)):
-        j = j.join(x, ["now", "seed"], "left")
-    z = lambda c: F.coalesce(F.col(c), F.lit(0))
-    terms = {"conservation": z("conservation"), "scatter_gather": S.norm(z("sg"), 5), "gather_scatter": S.norm(F.when(z("gs") >= 2, z("gs")).otherwise(0), 5), "passthrough": z("n_through") / F.col("size"), "round_amounts": z("round_amounts"), "bipartite": z("bipartite"), "cycle": F.when(z("n_cycles3") > 0, 0.4).otherwise(0.0), "temporal_cycle": F.when(z("n_temporal3") > 0, 0.4).otherwise(0.0)}
-    score = sum((config.WEIGHTS[k] / config.SCALE * v for k, v in terms.items()), F.lit(0.0))
-    return j.filter(F.col("n_edges") >= config.MIN_EDGES).select("now", "key", "seed", "size", "n_edges", "max_out", "max_in", z("sg").alias("sg"), F.round(F.coalesce("conservation", F.lit(0.0)), 6).alias("conservation"), F.round(score, 6).alias("score"))
+    return cand, member, stage(induced(member, p)), p
 
 
 def top_k(ranked: DataFrame, k: int, by: str = "score") -> DataFrame:

@@ -5,14 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from loomgraph.operators import candidates
-from loomgraph.plans import core, graph  # noqa: F401  registers its queries
+from loomgraph.plans import core, features, graph  # noqa: F401  registers its queries
 from loomgraph.plans.registry import SPECS, Plan
-from loomgraph.sources import readers
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ranked ring candidates: the 50 best of each cycle."""
-    return candidates.top_k(candidates.scored(readers.edges(spark, sf_dir)), 50)
+    return candidates.top_k(features.scored(spark, sf_dir), 50).drop("contrib")
 
 
 def queries() -> dict[str, Plan]:

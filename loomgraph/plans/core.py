@@ -59,11 +59,8 @@ def _member(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     return stage(C.expand(stage(C.seeds(R.edges(spark, d), p)), stage(W.neighbours(p)))), p
 
 
-def _inner(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    m, p = _member(spark, d)
-    cand = stage(C.deduplicated(C.prune_leaves(m, C.induced(m, p))))
-    m = cand.select("now", "seed", F.explode("nodes").alias("node"))
-    return cand, m, stage(C.induced(m, p)), p
+def _inner(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    return C.candidates(R.edges(spark, d))
 
 
 @query("src_edges", ctes(EDGES) + "SELECT seq, src, dst, t, round(amount, 2) AS amount, channel, label FROM edges")
@@ -233,11 +230,6 @@ def _(spark, d):
     return C.overlaps(_inner(spark, d)[0]).select("now", "key", "key_b", "shared")
 
 
-@query("ft_score")
-def _(spark, d):
-    return C.scored(R.edges(spark, d))
-
-
 @query("gn_suppress")
 def _(spark, d):
     cand = _inner(spark, d)[0]

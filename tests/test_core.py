@@ -4,6 +4,8 @@ import pytest
 
 from loomgraph.functions import scalars as S
 from loomgraph.operators import candidates as C
+from loomgraph.operators import features as X
+from loomgraph.operators import shapes as H
 from loomgraph.operators import economics
 from loomgraph.operators import evaluate as E
 from loomgraph.operators import window as W
@@ -92,8 +94,33 @@ def test_labels_never_reach_the_score(spark):
     from pyspark.sql import functions as F
 
     e = readers.edges(spark, "/root/testdata/sf0.001")
-    a = sorted(map(tuple, C.scored(e).collect()))
-    assert a and a == sorted(map(tuple, C.scored(e.withColumn("label", 1 - F.col("label"))).collect()))
+    r = readers.registry(spark, "/root/testdata/sf0.001")
+    score = lambda x: sorted(map(tuple, X.scored(x, r).select("now", "key", "size", "score").collect()))
+    a = score(e)
+    assert a and a == score(e.withColumn("label", 1 - F.col("label")))
+
+
+def test_cycles_are_simple_and_from_the_smallest_node():
+    ring = [(k, (k + 1) % 5, k, k) for k in range(5)]
+    assert H.cycles(ring) == [(0, 1, 2, 3, 4)]
+    assert H.cycles([(0, 1, 0, 0), (1, 0, 0, 0)]) == []
+    assert H.cycles([(k, (k + 1) % 12, 0, 0) for k in range(12)]) == []
+    full = [(a, b, 0, 0) for a in range(6) for b in range(6) if a != b]
+    assert len(H.cycles(full, limit=10**6)) == 40 + 90 + 144 + 120
+    assert [len(c) for c in H.cycles(full)] == sorted(len(c) for c in H.cycles(full)) and len(H.cycles(full)) == 200
+
+
+def test_a_cycle_is_travelled_in_time_order():
+    assert H.travelled((0, 1, 2), {(0, 1): (10, 10), (1, 2): (20, 20), (2, 0): (30, 30)})
+    assert H.travelled((0, 1, 2), {(0, 1): (20, 20), (1, 2): (30, 30), (2, 0): (10, 10)})
+    assert not H.travelled((0, 1, 2), {(0, 1): (30, 30), (1, 2): (20, 20), (2, 0): (10, 10)})
+
+
+def test_iterated_prunings():
+    near = {0: {1, 2}, 1: {0, 2, 3}, 2: {0, 1}, 3: {1, 4}, 4: {3}}
+    assert H.core2(set(range(5)), 0, near) == {0, 1, 2}
+    assert H.core2(set(range(5)), 4, near) == {0, 1, 2, 3, 4}
+    assert H.near_or_linked(set(range(5)), 0, near) == {0, 1, 2}
 
 
 def test_entry_contract(spark):
