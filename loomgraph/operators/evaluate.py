@@ -76,3 +76,87 @@ def bootstrap(rows: list[dict], statistic, resamples: int = 2000, alpha: float =
     draw = random.Random(seed)
     values = sorted(statistic([rows[draw.randrange(len(rows))] for _ in rows]) for _ in range(resamples))
     return statistic(rows), values[int(alpha / 2 * resamples)], values[int((1 - alpha / 2) * resamples)]
+
+
+def overlap(cand: DataFrame, rings: DataFrame) -> DataFrame:
+    """Accounts that a candidate shares with each ring of its cycle: now, key, size, ring, ring_size, shared."""
+    m = cand.select("now", "key", "size", F.explode("nodes").alias("node"))
+    return m.join(rings.select("now", "ring", "node", "ring_size"), ["now", "node"]).groupBy("now", "key", "size", "ring", "ring_size").agg(F.count("*").alias("shared"))
+
+
+def labelled(o: DataFrame) -> DataFrame:
+    """A candidate's ring, the smallest number of those it hits, and the share of the candidate inside it."""
+    good = o.filter((F.col("shared") / F.col("ring_size") >= 0.5) & (F.col("shared") / (F.col("size") + F.col("ring_size") - F.col("shared")) >= 0.3))
+    return good.groupBy("now", "key").agg(F.min(F.struct("ring", (F.col("shared") / F.col("size")).alias("inside"))).alias("r")).select("now", "key", "r.ring", "r.inside")
+
+
+def best_overlap(o: DataFrame) -> DataFrame:
+    """The ring of which a candidate shares most accounts, ties by the ring's number."""
+    return o.groupBy("now", "key").agg(F.max(F.struct("shared", (-F.col("ring")).alias("neg"))).alias("r")).select("now", "key", (-F.col("r.neg")).alias("ring"), "r.shared")
+
+
+def funnel(rings: DataFrame, kinds: DataFrame, seeds: DataFrame, ranked: DataFrame, found: DataFrame, k: int = 50) -> DataFrame:
+    """Per typology and in total: rings seen, with a seed inside, built, and built within the first ``k`` of a cycle; each stage counts if any cycle reached it."""
+    seen = rings.select("now", "ring", F.col("node").alias("seed"))
+    seeded = seen.join(seeds.select("now", "seed", F.lit(1).alias("s")), ["now", "seed"], "left").groupBy("ring").agg(F.max(F.coalesce("s", F.lit(0))).alias("seeded"))
+    reached = found.select("now", "key", "ring").join(ranked.select("now", "key", "rank"), ["now", "key"]).groupBy("ring").agg(F.lit(1).alias("built"), F.max((F.col("rank") <= k).cast("int")).alias("ranked"))
+    flags = seeded.join(reached, "ring", "left").join(kinds, "ring", "left").na.fill(0).withColumn("typology", F.coalesce("typology", F.lit("UNKNOWN")))
+    g = flags.rollup("typology").agg(F.count("*").alias("total"), F.sum("seeded").alias("seeded"), F.sum("built").alias("built"), F.sum("ranked").alias("ranked"))
+    return g.select(F.coalesce("typology", F.lit("TOTAL")).alias("typology"), "total", "seeded", "built", "ranked")
+
+
+def losses(rows: DataFrame) -> DataFrame:
+    """Points lost between a funnel's stages, and how much of what was seeded got built."""
+    pct = lambda a, b: F.round(100.0 * (F.col(a) - F.col(b)) / F.col("total"), 4)
+    return rows.select("typology", pct("total", "seeded").alias("seeding_loss"), pct("seeded", "built").alias("build_loss"), pct("built", "ranked").alias("ranking_loss"), F.round(F.when(F.col("seeded") > 0, F.col("built") / F.col("seeded")), 6).alias("retention"))
+
+
+def transaction_level(live: DataFrame, cand: DataFrame) -> DataFrame:
+    """Pairs inside any candidate against pairs with a labelled edge: precision, recall, F1 and lift over all pairs."""
+    pair = live.groupBy("now", "src", "dst").agg(F.max("label").alias("y"))
+    m = cand.select("now", "key", F.explode("nodes").alias("node"))
+    inside = m.withColumnRenamed("node", "src").join(pair, ["now", "src"]).join(m.withColumnRenamed("node", "dst"), ["now", "key", "dst"]).select("now", "src", "dst").distinct().withColumn("x", F.lit(1))
+    t = pair.join(inside, ["now", "src", "dst"], "left").agg(F.count("*").alias("n"), F.sum("y").alias("pos"), F.count("x").alias("flagged"), F.sum(F.when(F.col("x") == 1, F.col("y")).otherwise(0)).alias("tp"))
+    p, r = F.col("tp") / F.col("flagged"), F.col("tp") / F.col("pos")
+    return t.select("n", "pos", "flagged", "tp", F.round(p, 6).alias("precision"), F.round(r, 6).alias("recall"), F.round(2 * p * r / (p + r), 6).alias("f1"), F.round(p / (F.col("pos") / F.col("n")), 6).alias("lift"))
+
+
+def best_attempt(member: DataFrame, rings: DataFrame) -> DataFrame:
+    """Per ring the expansion that holds most of it, then fits it best, and whether that is enough: ring, containment, jaccard, verdict."""
+    size = member.groupBy("now", "seed").agg(F.count("*").alias("size"))
+    own = rings.select("now", "ring", F.col("node").alias("seed")).join(member.select("now", "seed").distinct(), ["now", "seed"])
+    o = own.join(member.select("now", "seed", "node"), ["now", "seed"]).join(rings.select("now", "ring", "node", "ring_size"), ["now", "ring", "node"]).groupBy("now", "seed", "ring", "ring_size").agg(F.count("*").alias("shared")).join(size, ["now", "seed"])
+    containment, jaccard = F.col("shared") / F.col("ring_size"), F.col("shared") / (F.col("size") + F.col("ring_size") - F.col("shared"))
+    b = o.groupBy("ring").agg(F.max(F.struct(containment.alias("containment"), jaccard.alias("jaccard"))).alias("b")).select("ring", "b.containment", "b.jaccard")
+    return b.withColumn("verdict", F.when(F.col("containment") < 0.5, "CONTAINMENT_FAIL").when(F.col("jaccard") < 0.3, "DILUTION_FAIL").otherwise("BUILT"))
+
+
+def stratified_auc(df: DataFrame, score: str, label: str, stratum: str) -> DataFrame:
+    """AUC within strata, weighted by each one's pairs of a positive and a negative."""
+    a = rank_auc(df, score, label, stratum).filter("auc is not null").withColumn("w", F.col("pos") * F.col("neg"))
+    return a.agg(F.round(F.sum(F.col("auc") * F.col("w")) / F.sum("w"), 5).alias("auc"), F.sum("w").alias("n_pairs"))
+
+
+def leak_boundary(days: DataFrame, share: float = 0.01, lift: float = 10.0) -> DataFrame:
+    """The first day from which on edges are at most ``share`` of all and labelled ones ``lift`` times as frequent; without one, the day after the last. Rows are days (day, n, l)."""
+    down, every = Window.orderBy(F.col("day").desc()).rowsBetween(Window.unboundedPreceding, 0), Window.partitionBy()
+    cn, cl, tn, tl = F.sum("n").over(down), F.sum("l").over(down), F.sum("n").over(every), F.sum("l").over(every)
+    t = days.select("day", (cn / tn).alias("share"), ((cl / cn) / (tl / tn)).alias("lift"))
+    fits = (F.col("share") <= share) & (F.col("lift") >= lift)
+    return t.agg(F.coalesce(F.min(F.when(fits, F.col("day"))), F.max("day") + 1).alias("boundary"))
+
+
+def ring_split(rows: DataFrame, share: float = 0.7) -> DataFrame:
+    """Rows (now, key, ring or null) to train or test: rings by their first cycle, no ring on both sides, others by time; positives of training rings after the cut drop out.
+
+    The cut is the first cycle of the ring at ``share`` of all rings; there is a row per ring by then.
+    """
+    first = rows.filter("ring is not null").groupBy("ring").agg(F.min("now").alias("start"))
+    order = Window.orderBy("start", "ring")
+    ranked = first.withColumn("rn", F.row_number().over(order)).withColumn("n", F.count("*").over(Window.partitionBy()))
+    side = ranked.withColumn("test_ring", F.col("rn") > F.floor(F.col("n") * share))
+    cut = side.filter("test_ring").agg(F.min("start").alias("cut"))
+    j = rows.join(side.select("ring", "test_ring"), "ring", "left").join(F.broadcast(cut))  # one row
+    late = F.col("now") >= F.col("cut")
+    s = F.when(F.col("ring").isNull(), F.when(late, "test").otherwise("train")).when(F.col("test_ring"), F.when(late, "test").otherwise("dropped")).otherwise(F.when(late, "dropped").otherwise("train"))
+    return j.select("now", "key", "ring", s.alias("side"))
