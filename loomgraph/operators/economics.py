@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, fields, replace
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -31,3 +31,21 @@ def evaluate(rates: DataFrame, model: CostModel | None = None) -> DataFrame:
     m, p = model or CostModel(), F.col("p")
     net = p * m.value_at_risk * m.recovery_rate - (1 - p) * m.harm_per_false_positive - m.review_cost
     return rates.select("p", F.round(net, 4).alias("net"), F.round((m.review_cost + (1 - p) * m.harm_per_false_positive) / (p * m.recovery_rate), 2).alias("required_value"))
+
+
+def sensitivity(spark: SparkSession, factors: tuple[float, ...] = (0.1, 0.5, 1.0, 2.0, 10.0), model: CostModel | None = None) -> DataFrame:
+    """Break-even precision with one input at a time scaled; a rate scaled beyond one stays at one. As many rows as inputs and factors."""
+    m, rows = model or CostModel(), []
+    for name in (f.name for f in fields(m)):
+        for k in factors:
+            value = getattr(m, name) * k
+            rows.append((name, k, round(replace(m, **{name: min(1.0, value) if name == "recovery_rate" else value}).break_even(), 6)))
+    return spark.createDataFrame(rows, "input string, factor double, break_even double")
+
+
+def best_k(rates: DataFrame, model: CostModel | None = None) -> DataFrame:
+    """The queue length of the highest net benefit, null if none is positive. Rows are (k, p)."""
+    m, p = model or CostModel(), F.col("p")
+    net = F.col("k") * (p * m.value_at_risk * m.recovery_rate - (1 - p) * m.harm_per_false_positive - m.review_cost)
+    t = rates.select("k", net.alias("net"))
+    return t.agg(F.max_by(F.when(F.col("net") > 0, F.col("k")), "net").alias("k"), F.round(F.max("net"), 2).alias("net"))
