@@ -327,3 +327,21 @@ def test_pipeline(spark):
         assert out.columns == docs.columns and 0 < out.count() <= docs.count()
         docs = out
     assert corpus_pipeline.run(spark, d).groupBy("sequence_id").sum("length").filter("`sum(length)` > 4096").count() == 0
+
+
+def test_passages_of_a_hot_line_meet_without_its_first_document(spark):
+    r = random.Random(8)
+    new = lambda n: " ".join(f"q{r.randrange(10**9)}" for _ in range(n))
+    hot = new(40)
+    rows, pairs = [(i, f"{new(60)} {hot} {new(60)}") for i in range(60)], []
+    for k in range(60, 120, 2):
+        tail = new(15)
+        rows += [(k + j, f"{new(60)} {hot} {tail} {new(60)}") for j in (0, 1)]
+        pairs.append((k, k + 1))
+    got = {d.doc_id: d for d in passages.report(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert set(got) == {d for p in pairs for d in p}
+    for a, b in pairs:
+        assert got[a].class_id == got[b].class_id == a
+        for d in (a, b):
+            (start, end), *others = [tuple(map(int, s.split(":"))) for s in got[d].spans.split(",")]
+            assert start <= 60 and end >= 115 and not others
