@@ -345,3 +345,25 @@ def test_passages_of_a_hot_line_meet_without_its_first_document(spark):
         for d in (a, b):
             (start, end), *others = [tuple(map(int, s.split(":"))) for s in got[d].spans.split(",")]
             assert start <= 60 and end >= 115 and not others
+
+
+def test_every_place_of_a_passage_counts(spark):
+    r = random.Random(9)
+    new = lambda n: " ".join(f"q{r.randrange(10**9)}" for _ in range(n))
+    p, q, s = new(60), new(60), new(60)
+    texts = [f"{p} {new(70)} {p} {new(70)} {p}", p, q, f"{q} {new(70)} {q}", f"{s} {s} {s}", s, s, f"{s} {s}", f"{new(300)}"]
+    got = {d.doc_id: d for d in passages.report(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    spans = {k: [tuple(map(int, x.split(":"))) for x in d.spans.split(",")] for k, d in got.items()}
+    inside = {k: {i for a, b in v for i in range(a, b)} for k, v in spans.items()}
+    for k, starts in {0: (0, 130, 260), 1: (0,), 2: (0,), 3: (0, 130), 4: (0, 60, 120), 5: (0,), 6: (0,), 7: (0, 60)}.items():
+        assert all(i in inside[k] for a in starts for i in range(a, a + 60)), (k, spans[k])
+    assert set(got) == set(range(8)) and len(spans[0]) == 3 and len(spans[3]) == 2
+
+
+def test_windows_stand_at_each_equal_minimum():
+    x = np.array([5, 1, 6, 7, 8, 9, 1, 7, 6, 5, 4, 3, 1, 2, 9], np.uint64)
+    found = passages.compact_windows(x, 5)
+    assert {c for _, c, _ in found} >= {1, 6, 12}
+    for i in range(len(x) - 4):
+        c = i + int(x[i : i + 5].argmin())
+        assert any(a <= i and i + 4 <= b and m == c for a, m, b in found)
