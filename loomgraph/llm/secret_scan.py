@@ -1,7 +1,7 @@
 """Secret scans: high-recall candidates, false findings removed by a random forest, by built-in functions alone.
 
-Candidates are values given to a name like ``token`` or ``password``, and unbroken runs of at least 20 token
-characters with a digit. The forest sees length, character transitions, coverage by dictionary words, path
+Candidates are values given to a name like ``token``, ``key`` or ``password``, also in a query, passwords in URLs, keys in the
+forms of known services, and runs of at least 20 token characters with a digit, with the dotted parts after them. The forest sees length, character transitions, coverage by dictionary words, path
 marks and neighbouring words; it is trained on labelled findings that are made here in a fixed random order.
 
 Null and empty texts have no secrets; repeated documents are each reported.
@@ -19,9 +19,18 @@ from pyspark.sql import functions as F
 from loomgraph.llm import spans, trees
 from loomgraph.llm.common import wrapped
 
-NAMED = r"(?i:api[_-]?key|access[_-]?key|private[_-]?key|secret|token|passwd|password|pwd|credential)[A-Za-z0-9_-]{0,20}+[\"']?\s{0,3}+[:=]\s{0,3}+[\"'`]?+[^\s\"'`<>,;]{6,}+"
-BLOB = r"(?<![A-Za-z0-9+/_=.-])(?=[A-Za-z+/_-]*+[0-9])[A-Za-z0-9+/_-]{20,}+={0,2}"
-CANDIDATE = f"{NAMED}|{BLOB}"
+NAMES = r"(?i:(?:api[_-]?key|access[_-]?key|private[_-]?key|secret|token|passwd|password|pwd|credential|(?<![A-Za-z])(?:key|auth|authorization|sig|signature|passphrase)(?![A-Za-z]))[A-Za-z0-9_-]{0,20}+)"
+SCHEME = r"(?:(?i:bearer|basic|token)\s{1,3}+)?+"
+GIVEN = NAMES + r"[\"']?\s{0,3}+[:=]\s{0,3}+[\"'`]?+" + SCHEME
+NAMED = GIVEN + r"[^\s\"'`<>,;]{6,}+(?![\"']?\s{0,3}[:=])"
+#: A query's parameter ends before the next one.
+QUERY = r"[?&]" + NAMES + r"=[^\s\"'`<>,;&#]{6,}+"
+LOGIN = r"(?<![A-Za-z0-9+.-])[A-Za-z][A-Za-z0-9+.-]{1,20}+://[^\s:/@\"'`<>]*+:"
+URL = LOGIN + r"[^\s/@\"'`<>]{3,}+(?=@)"
+#: Forms that services give their keys; no digit is asked for.
+KNOWN = r"(?<![A-Za-z0-9])(?:A(?:KI|SI)A[A-Z0-9]{16}(?![A-Za-z0-9])|gh[pousr]_[A-Za-z0-9]{20,}+|github_pat_[A-Za-z0-9_]{20,}+|[rsp]k_(?:live|test)_[A-Za-z0-9]{10,}+|xox[abprs]-[A-Za-z0-9-]{10,}+|glpat-[A-Za-z0-9_-]{16,}+|AIza[A-Za-z0-9_-]{30,}+)"
+BLOB = r"(?<![A-Za-z0-9+_-])(?=[A-Za-z+/_-]*+[0-9])[A-Za-z0-9+/_-]{20,}+(?:\.[A-Za-z0-9+/_-]++)*+={0,2}"
+CANDIDATE = f"{QUERY}|{URL}|{NAMED}|{KNOWN}|{BLOB}"
 MASK = "[SECRET]"
 #: Words that make a value look written by hand.
 DICTIONARY = ("example", "sample", "dummy", "test", "demo", "change", "placeholder", "your", "here", "insert", "replace", "secret", "token", "password", "passwd", "key", "value", "string", "null", "none", "true", "false", "user", "admin", "root", "name", "file", "path", "home", "local", "config", "data", "http", "https", "www", "com", "index", "html", "page", "image", "static", "lib", "src", "usr", "node", "module", "package", "python", "java", "site", "version", "release", "build", "service", "server", "client", "request", "response", "function", "class", "object", "this", "that", "with", "from", "article", "news", "section", "chapter", "figure", "table")
@@ -30,7 +39,7 @@ KEYS, DULL = r"(?i)(?:key|secret|token|passw|pwd|credential|auth|bearer)\W*\w*\W
 
 def value_of(hit: Column) -> Column:
     """The candidate without the name before it."""
-    return F.regexp_extract(hit, r"([^\s\"'`<>,;:=]{6,}={0,2})$", 1)
+    return F.regexp_replace(hit, f"^(?:[?&]?{GIVEN}|{LOGIN})", "")
 
 
 def features(before: Column, hit: Column, after: Column) -> list[Column]:
@@ -39,7 +48,7 @@ def features(before: Column, hit: Column, after: Column) -> list[Column]:
     share = lambda p: (F.length(v) - F.length(F.regexp_replace(v, p, ""))) / n
     flag = lambda c: F.coalesce(c, F.lit(False)).cast("double")
     turns = F.size(F.regexp_extract_all(v, F.lit(r"(?<=[0-9])(?=[A-Za-z])|(?<=[A-Za-z])(?=[0-9])|(?<=[a-z])(?=[A-Z])"), F.lit(0)))
-    named = flag(hit.rlike(r"^(?i:api|access|private|secret|token|passw|pwd|credential)[A-Za-z0-9_-]*[\"']?\s*[:=]"))
+    named = flag(hit.rlike(f"^(?:[?&]?{GIVEN}|{LOGIN})"))
     return [n.cast("double"), turns / n, share("(?i)" + "|".join(sorted(DICTIONARY, key=lambda w: (-len(w), w)))), share("[0-9]"), share("[A-Z]"), share("[a-z]"), share("[/]"), share("[_-]"), flag(v.rlike("^[0-9a-fA-F]+$")), F.size(F.array_distinct(F.split(F.left(v, F.lit(256)), ""))) / F.least(n, F.lit(256)), share("(?i)[aeiou]"), named, flag(before.rlike(KEYS)), flag(before.rlike(DULL)), flag(before.rlike(r"[/\\.:]$|https?:\S*$")), flag(after.rlike(r"^[./\\]")), flag(v.rlike(r"^[$%{(\[<*.xX]|[(){}\[\]$%]|\.\.|^(.)\1+$"))]
 
 
@@ -51,6 +60,8 @@ def findings(n: int = 1200, seed: int = 23) -> list[tuple[str, str, str, int]]:
     word = lambda: pick(("an", "the", "ri", "lo", "en", "ste", "mo", "ka", "ver"), r.randint(1, 4))
     name = lambda: r.choice(["token", "secret", "api_key", "apikey", "password", "access_key", "API_KEY", "TOKEN", "client_secret"[7:], "private-key"])
     gives = lambda: r.choice([" = ", "=", ": ", ' = "', '="', ': "', " = '"])
+    known = lambda: r.choice(["ghp_" + pick(mixed, 36), "sk_live_" + pick(mixed, 24), "AKIA" + pick("ABCDEFGHIJKLMNOPQRSTUVWXYZ", 16), "xoxb-" + pick(mixed, 30), "glpat-" + pick(mixed, 20)])
+    short = lambda: r.choice(["KEY", "AUTH", "key", "auth", "sig", "passphrase", "signature"])
     out = []
     for _ in range(n):
         text, tail = f"{word()} {word()} ", r.choice(['" ', "' ", " ", "\n", '"###', '"'])
@@ -58,6 +69,10 @@ def findings(n: int = 1200, seed: int = 23) -> list[tuple[str, str, str, int]]:
         cue, hit, y = r.choice([
             ("", name() + gives() + hx, 1), ("", name() + gives() + hx.upper(), 1), ("", name() + gives() + pick(mixed, r.randint(20, 48)), 1), ("", name() + gives() + pick(mixed, r.randint(20, 48)), 1),
             ("", name() + gives() + pick(mixed + "!#%&*+-", r.randint(10, 18)), 1), ("", "AKIA" + pick("ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", 12) + pick("0123456789", 4), 1), ("", "ghp_" + pick(mixed, 36), 1), ("Bearer ", pick(mixed, r.randint(30, 60)), 1), ("auth ", pick(mixed + "+/", 40) + "==", 1),
+            ("", known(), 1), ("", r.choice([short(), name()]) + gives() + known(), 1), ("", short() + gives() + pick(mixed, r.randint(20, 48)), 1), ("", r.choice("?&") + short() + "=" + pick(mixed, r.randint(20, 48)), 1),
+            (r.choice(["Bearer ", ""]), "eyJ" + pick(mixed, 33) + "." + pick(mixed + "_-", r.randint(20, 90)) + "." + pick(mixed + "_-", 43), 1), ("", "Authorization: Bearer " + "eyJ" + pick(mixed, 33) + "." + pick(mixed, r.randint(20, 90)) + "." + pick(mixed + "_-", 43), 1),
+            ("", r.choice(["postgres", "https", "redis", "mysql", "amqp"]) + f"://{word()}:" + pick(mixed + r.choice(["", "!#%*+-"]), r.randint(8, 24)), 1),
+            ("", short() + gives() + word() + word() + "ing", 0), ("", r.choice("?&") + short() + "=" + word() + word() + "er", 0), (r.choice(["https://", "www.", "https://example."]), f"{word()}/{word()}-{pick('0123456789', 4)}/{word()}-{word()}-{word()}.html", 0), ("", f"https://{word()}:password", 0),
             ("", name() + gives() + r.choice(["your_token_here", "changeme", "placeholder", "example_value", "insert-secret-here", "xxxxxxxxxx", "${TOKEN}", "$(password)", "************", "None_value", "test_password", "dummy-key-123"]), 0),
             ("", name() + gives() + word() + word(), 0), ("", name() + gives() + word() + "ing", 0), ("", name() + gives() + "get_" + word() + "(" + word(), 0),
             (r.choice(["commit ", "sha1: ", "md5 ", "checksum ", "etag "]), hx, 0), (r.choice(["id ", "uuid ", "guid: "]), "-".join(pick(hexa, k) for k in (8, 4, 4, 4, 12)), 0),

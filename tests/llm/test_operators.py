@@ -367,3 +367,13 @@ def test_windows_stand_at_each_equal_minimum():
     for i in range(len(x) - 4):
         c = i + int(x[i : i + 5].argmin())
         assert any(a <= i and i + 4 <= b and m == c for a, m, b in found)
+
+
+def test_secret_forms(spark):
+    r = random.Random(31)
+    pick = lambda k, s="abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789": "".join(r.choice(s) for _ in range(k))
+    jwt = f"eyJhbGciOiJIUzI1NiIsInR5cCI6IkpXVCJ9.eyJ{pick(60)}.{pick(43)}"
+    forms = [("GITHUB_AUTH=", "ghp_" + pick(36), " x"), ("STRIPE_KEY=", "sk_live_" + pick(24), " x"), ("auth=", pick(35), " x"), ("see https://h.org/f?a=1&sig=", pick(40), "&page=intro"), ("Authorization: Bearer ", jwt, " x"), ("Bearer ", jwt, " x"), ("aws ", "AKIA" + pick(16, "ABCDEFGHIJKLMNOPQRSTUVWXYZ"), " x"), ("at postgres://bob:", "Xk29fLq8vTz1mR", "@db.host/x")]
+    rows = [(i, f"some words {a}{v}{b}") for i, (a, v, b) in enumerate(forms)]
+    got = {x.doc_id: x.text for x in secret_scan.redact(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {i: f"some words {a}{secret_scan.MASK}{b}" for i, (a, _, b) in enumerate(forms)}
