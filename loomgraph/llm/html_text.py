@@ -6,7 +6,7 @@ tags below it. Decoding takes the choice for the whole tree that is likeliest wh
 node is kept, so no contradiction between an ancestor and a descendant is left. The trees are trained on
 pages that are made here in a fixed random order and know their article.
 
-Scripts, styles, templates, form fields' texts, titles and comments of the markup never count as text. Character
+Scripts, styles, templates, frames, text areas, titles and comments of the markup never count as text. Character
 references are decoded, white space inside a block becomes one space, blocks are joined by an empty line.
 Null and empty pages give an empty text; pages may break off anywhere; repeated pages are each extracted.
 """
@@ -30,7 +30,7 @@ from loomgraph.llm.common import annotate
 TOKEN = r"""<!--.*?(?:-->|\Z)|<[!?][^>]*>|</([a-zA-Z][^\s>/]*)[^>]*>|<([a-zA-Z][^\s>/]*)((?>[^>"']*(?:"[^"]*"[^>"']*|'[^']*'[^>"']*)*)|[^>]*)>"""
 ATTRIBUTE = r"""(?:class|id|role|itemprop)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))"""
 #: Element names of the HTML standard.
-RAW = frozenset("script style template textarea title iframe noembed noframes xmp select svg math".split())
+RAW = frozenset("script style template textarea title iframe noembed noframes".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 BLOCK = frozenset("html body address article aside blockquote center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr li main menu nav ol p pre search section summary table tbody td tfoot th thead tr ul caption".split())
 ENDS = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",), "tbody": ("tr", "td", "th", "tbody", "thead"), "tfoot": ("tr", "td", "th", "tbody", "thead")}
@@ -96,6 +96,8 @@ def parse(page: str) -> list[Node]:
             if tag in RAW:
                 if not m[3].rstrip().endswith("/"):
                     end = re.compile(rf"</{re.escape(tag)}\b[^>]*>", re.I).search(page, at)
+                    if not end:  # never past the end of the element it is in
+                        end = re.compile(rf"(?=</{re.escape(stack[-1][0])}\b)", re.I).search(page, at)
                     at = end.end() if end else len(page)
                 continue
             if tag in VOID:

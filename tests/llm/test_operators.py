@@ -377,3 +377,10 @@ def test_secret_forms(spark):
     rows = [(i, f"some words {a}{v}{b}") for i, (a, v, b) in enumerate(forms)]
     got = {x.doc_id: x.text for x in secret_scan.redact(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got == {i: f"some words {a}{secret_scan.MASK}{b}" for i, (a, _, b) in enumerate(forms)}
+
+
+def test_no_element_hides_the_rest_of_a_page():
+    said = lambda page: "".join(sorted(s for n in html_text.parse(page) for _, s in n.pieces))
+    for tag in ("svg", "math", "select", "xmp"):
+        assert said(f"<div><p>a<{tag}>b</{tag}>c</p></div>d") == "abcd" and said(f"<div><p>a<{tag}>b</p></div>d") == "abd"
+    assert said("<div>a<script>x</script>b<iframe>y</div>c") == "abc"
