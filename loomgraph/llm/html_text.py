@@ -52,6 +52,7 @@ class Node:
     own: int = 0
     links: int = 0
     tags: int = 0
+    place: int = 0  # among its siblings
 
 
 def parse(page: str) -> list[Node]:
@@ -123,7 +124,7 @@ def parse(page: str) -> list[Node]:
                 block += 1
                 words = tuple(w for x in re.findall(ATTRIBUTE, m[3]) for w in re.split(r"[^a-z]+", "".join(x).lower()) if w) if "=" in m[3] else ()
                 nodes[node].down.append(len(nodes))
-                nodes.append(Node(tag, node, nodes[node].depth + 1, words))
+                nodes.append(Node(tag, node, nodes[node].depth + 1, words, place=len(nodes[node].down) - 1))
                 node = len(nodes) - 1
             stack.append((tag, node))
             opened[tag] = opened.get(tag, 0) + 1
@@ -151,8 +152,7 @@ def features(nodes: list[Node]) -> np.ndarray:
         mine = (max(above[0], good), max(above[1], poor), above[2] or x.tag in ("article", "main"), above[3] or x.tag in ("nav", "header", "footer", "aside", "form"))
         inherited.append(mine)
         siblings = nodes[x.up].down
-        place = siblings.index(i) if i and len(siblings) < 64 else 0
-        rows.append([*(x.tag == t for t in TAGS), good, poor, *above, x.depth, len(siblings), place / max(len(siblings), 1), np.log1p(size[i]), np.log1p(x.own), links[i] / max(size[i], 1), size[i] / max(size[0], 1), size[i] / (tags[i] + 1), paragraphs[i], size[x.up] / max(len(siblings), 1), words[i], len(x.down)])
+        rows.append([*(x.tag == t for t in TAGS), good, poor, *above, x.depth, len(siblings), x.place / max(len(siblings), 1), np.log1p(size[i]), np.log1p(x.own), links[i] / max(size[i], 1), size[i] / max(size[0], 1), size[i] / (tags[i] + 1), paragraphs[i], size[x.up] / max(len(siblings), 1), words[i], len(x.down)])
     return np.array(rows, float)
 
 

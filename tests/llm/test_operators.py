@@ -384,3 +384,10 @@ def test_no_element_hides_the_rest_of_a_page():
     for tag in ("svg", "math", "select", "xmp"):
         assert said(f"<div><p>a<{tag}>b</{tag}>c</p></div>d") == "abcd" and said(f"<div><p>a<{tag}>b</p></div>d") == "abd"
     assert said("<div>a<script>x</script>b<iframe>y</div>c") == "abc"
+
+
+def test_place_among_siblings_at_any_size():
+    column = len(html_text.TAGS) + 8
+    for n in (63, 64, 200):
+        x = html_text.features(html_text.parse("<div>x</div>" * n))
+        assert np.allclose(x[1:, column], np.arange(n) / n)
