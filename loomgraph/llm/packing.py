@@ -100,7 +100,8 @@ def pack(pieces: DataFrame, capacity: int = 4096, group: int = 8192, fan_in: int
 
     kept, level = [], 0
     while True:
-        salt = F.xxhash64("doc_id", "piece", F.lit(level))
+        # a number of the row's own in the stored table: rows that are alike in every column are dealt apart too
+        salt = F.xxhash64("doc_id", "piece", F.monotonically_increasing_id(), F.lit(level))
         dealt = pieces.withColumn("_g", F.pmod(salt, F.lit(groups))).repartition(groups, "_g") if groups > 1 else pieces.withColumn("_g", F.lit(0).cast("long"))
         out = stored(dealt.groupBy("_g").applyInArrow(placed(level, groups == 1), schema), "packed")
         kept.append(out.filter("done").select(*names, "sequence_id", "offset"))

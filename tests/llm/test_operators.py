@@ -50,12 +50,16 @@ def rows_of(docs):
 
 
 def test_word_encoder_equals_the_library():
+    from tokenizers import Tokenizer
+
+    library = Tokenizer.from_file(default_vocabulary())  # untouched: special tokens as the library has them
     e = WordEncoder(default_vocabulary(), words=50)
-    pool = ["a", "B", "İ", "ß", "é", "J̌", "'s", "1", "２", "Ω", "中", "…", "--", "\x01", "<|endoftext|>", " ", " ", "\n", "Σ", "́x", "'LL"]
-    for _ in range(60):
-        for t in ["".join(R.choice(pool) for _ in range(R.randint(0, 25))) for _ in range(20)]:
-            plain = e._tokenizer.encode(t, add_special_tokens=False).ids
-            assert e.encode([t.encode()])[0] == np.array(plain, "<u4").tobytes(), t
+    pool = ["a", "B", "İ", "ß", "é", "É", "ª", "J̌", "'s", "1", "２", "Ω", "中", "…", "--", "\x01", "<|endoftext|>", "<|startoftext|>", "<|", "|>", " ", "\u00a0", "\u3000", "\n", "Σ", "\u0301x", "'LL", ".", ",", "a.", "é,", "µ", "K"]
+    texts = ["a <|endoftext|> b", "<|endoftext|>", "x<|startoftext|><|ENDOFTEXT|>y", "word. word, word.. (word), Word; straße: naïve!"]
+    texts += ["".join(R.choice(pool) for _ in range(R.randint(0, 25))) for _ in range(1500)]
+    for k in range(0, len(texts), 20):
+        part = texts[k : k + 20]
+        assert e.encode([t.encode() for t in part]) == [np.array(library.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in part], part
 
 
 def test_token_files(spark, docs, empty, tmp_path):
@@ -84,9 +88,14 @@ def test_damaged_records_are_refused():
 
 
 def test_packing(spark, docs, empty):
-    got = packing.packed_documents(docs, capacity=512).collect()
-    whole = sum(len(ids(t)) for _, t in rows_of(docs))
-    assert sum(r.length for r in got) == whole
+    packed = packing.packed_documents(docs, capacity=512)
+    got = packed.collect()
+    expected = []
+    for i, t in rows_of(docs):
+        x = ids(t)
+        expected += [(i, k, at, len(x[at : at + 512]), zlib.crc32(x[at : at + 512].tobytes())) for k, at in enumerate(range(0, len(x), 512))]
+    assert sorted(((r.doc_id, r.piece, r.start, r.length, r.ids_crc32) for r in got), key=str) == sorted(expected, key=str)
+    whole = sum(e[3] for e in expected)
     bins = {}
     for r in got:
         bins.setdefault(r.sequence_id, []).append((r.offset, r.length))
@@ -100,6 +109,23 @@ def test_packing(spark, docs, empty):
     assert packing.packed_documents(empty).count() == 0
 
 
+def test_packed_sequences_hold_their_pieces(spark, texts):
+    own = spark.createDataFrame([(i, t) for i, t in texts if i in (0, 2, 7, 13)], "doc_id long, text string")
+    packed = packing.packed_documents(own, capacity=512)
+    rows = {s.sequence_id: s.ids for s in packing.sequences(packed, own, 512).collect()}
+    whole = {i: ids(t).tolist() for i, t in texts}
+    for r in packed.collect():
+        assert rows[r.sequence_id][r.offset : r.offset + r.length] == whole[r.doc_id][r.start : r.start + r.length]
+
+
+def test_alike_rows_are_packed_apart(spark):
+    got = packing.pack(spark.createDataFrame([(None, 0, 7)] * 900, "doc_id long, piece int, length long"), 100, group=60).collect()
+    fill = {}
+    for g in got:
+        fill[g.sequence_id] = fill.get(g.sequence_id, 0) + g.length
+    assert len(got) == 900 and max(fill.values()) <= 100 and len(fill) <= 1.2 * 65, len(fill)
+
+
 def test_packing_in_rounds(spark):
     r = random.Random(8)
     rows = [(i, 0, r.choice([5, 90, 300, 700, 1000])) for i in range(3000)]
