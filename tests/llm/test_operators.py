@@ -418,3 +418,48 @@ def test_place_among_siblings_at_any_size():
     for n in (63, 64, 200):
         x = html_text.features(html_text.parse("<div>x</div>" * n))
         assert np.allclose(x[1:, column], np.arange(n) / n)
+
+
+def near_copies(seed, families=60):
+    """Documents, and the pairs of them that a passage of changed copies joins, by the operator's own proof on all diagonals."""
+    r = random.Random(seed)
+    new = lambda n: [f"q{r.randrange(10**9)}" for _ in range(n)]
+    rows, members, hot = [], [], new(30)
+    for f in range(families):
+        base = new(90)
+        for _ in range(6):
+            own = list(base)
+            for at in r.sample(range(90), r.randint(0, 2)):
+                own[at] = new(1)[0]
+            members.append((len(rows), f, own))
+            rows.append((len(rows), " ".join(new(r.randint(0, 80)) + own + (hot if f % 3 == 0 else new(9)) + new(r.randint(0, 80)))))
+    least, pairs = passages.WORDS - passages.SHINGLE + 1, []
+    for i, f, a in members:
+        for j, g, b in members[:i]:
+            if f == g:
+                x, y = (passages.shingles(" ".join(w).encode()).astype(np.uint32) for w in (a, b))
+                if passages.agreeing(x, y, 0, least):
+                    pairs.append((i, j))
+    return rows, pairs
+
+
+def test_near_copies_share_a_class_whatever_the_partitions(spark):
+    rows, pairs = near_copies(12)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    results = []
+    for parts in (1, 16):
+        got = {d.doc_id: d for d in passages.report(docs.repartition(parts, "doc_id")).collect()}
+        assert all(i in got and j in got and got[i].class_id == got[j].class_id for i, j in pairs)
+        results.append({k: (d.class_id, d.class_size) for k, d in got.items()})
+    assert len(pairs) > 600 and results[0] == results[1]
+
+
+def test_passages_leave_other_columns_and_white_space_alone(spark):
+    r = random.Random(2)
+    new = lambda n: " ".join(f"q{r.randrange(10**9)}" for _ in range(n))
+    p = new(60)
+    docs = spark.createDataFrame([(1, f"a\n\n{p}\tb  c", "x", "k", 1), (2, f" d\n {p}\n\ne  f\n", "y", "l", 2), (3, None, "z", "m", 3), (2, "", "w", "n", 4)], "doc_id long, text string, _doc string, _spans string, doc long")
+    out = passages.without_repeats(docs)
+    assert out.columns == docs.columns
+    got = {tuple(x)[2]: tuple(x) for x in out.collect()}
+    assert got["y"] == (2, " d\n\ne  f\n", "y", "l", 2) and got["x"][1] == docs.first().text and got["z"][1] is None and got["w"][1] == ""
