@@ -208,18 +208,27 @@ def test_decontamination(spark, docs, empty):
     words = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]+", lambda m: m[0].lower(), t or ""))
     expected = []
     for i, t in rows_of(docs):
-        w, hit, found = words(t), set(), set()
+        w, hit, found, longest = words(t), set(), set(), 0
         for item, text in items:
             v = words(text)
             m = min(10, len(v))
-            for k in range(len(v) - m + 1 if m and item else 0):
+            for k in range(len(v) - m + 1 if m else 0):
                 for p in range(len(w) - m + 1):
                     if w[p : p + m] == v[k : k + m]:
                         hit.update(range(p, p + m))
                         found.add(item)
-        expected.append((i, len(w), len(hit), len(found), hashlib.sha256(",".join(sorted(found)).encode()).hexdigest(), bool(hit)))
-    got = sorted((tuple(r)[:6] for r in decontaminate.report(docs, bench).collect()), key=str)
-    assert got == sorted(expected, key=str)
+                        n = m
+                        while w[p + n : p + n + 1] == v[k + n : k + n + 1] != []:
+                            n += 1
+                        longest = max(longest, n)
+        found.discard(None)
+        expected.append((i, len(w), len(hit), len(found), hashlib.sha256(",".join(sorted(found)).encode()).hexdigest(), bool(hit), longest))
+    rows = decontaminate.report(docs, bench).collect()
+    assert sorted((tuple(r)[:7] for r in rows), key=str) == sorted(expected, key=str)
+    for r in rows:
+        if r.longest_match and r.match_item:
+            v, w = words(dict(items)[r.match_item]), words(base[r.doc_id])
+            assert v[r.match_item_at : r.match_item_at + r.longest_match] == w[r.match_at : r.match_at + r.longest_match]
     clean = decontaminate.clean(docs, bench)
     assert clean.columns == docs.columns and clean.count() == sum(not e[5] for e in expected)
     assert decontaminate.report(empty, bench).count() == 0 and decontaminate.report(docs, bench.limit(0)).filter("contaminated").count() == 0
@@ -467,3 +476,30 @@ def test_passages_leave_other_columns_and_white_space_alone(spark):
     assert left.startswith(" " + "\n\t".join(lead.split()[:7])) and left.endswith("  ".join(tail.split()[5:]) + "\n") and not set(p.split()) & set(left.split())
     assert got["y"][2:] == ("y", "l", 2) and got["x"][1] == docs.first().text and got["z"][1] is None and got["w"][1] == ""
     assert passages.report(docs).count() == 2
+
+
+def test_suffix_search_equals_brute_force():
+    r = random.Random(3)
+    for trial in range(40):
+        alphabet = [bytes([c]) for c in b"abcdefg"[: r.randint(1, 7)]]
+        docs = [[r.choice(alphabet) for _ in range(r.randint(0, 40))] for _ in range(r.randint(1, 6))]
+        items = [(str(k), b" ".join(r.choice([*alphabet, b"z"]) for _ in range(r.randint(0, 12)))) for k in range(5)]
+        width = r.randint(1, 5)
+        block = decontaminate.Block(items, width)
+        code = {w: i + 1 for i, w in enumerate(sorted(set(block.words) - {b""}))}
+        shard = decontaminate.Shard(docs, width, code, int(block.size.min()) if len(block.size) else width)
+        flat = [code.get(w, 0) for d in docs for w in [*d, b""]]
+        array = shard.array.tolist()
+        padded = flat + [0] * width
+        assert all(padded[a : a + width] <= padded[b : b + width] for a, b in zip(array, array[1:]))
+        places, lengths, number, where, best, suffix = shard.matches(block)
+        got = {(int(p), int(n), i) for p, n, w in zip(places, lengths, number) for i in shard.same[int(w)]}
+        expected, longest = set(), {}
+        texts = [[code[w] for w in t.split()] for _, t in items]
+        for i, v in enumerate(texts):
+            m = min(width, len(v))
+            for k in range(len(v) - m + 1 if m else 0):
+                expected.update((p, m, i) for p in range(len(flat) - m + 1) if flat[p : p + m] == v[k : k + m])
+        for p in {e[0] for e in expected}:
+            longest[p] = max(next((n for n in range(min(len(v) - k, len(flat) - p), 0, -1) if flat[p : p + n] == v[k : k + n]), 0) for v in texts for k in range(len(v)))
+        assert got == expected and dict(zip(where.tolist(), best.tolist())) == longest
