@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from loomgraph.llm import trees
 from loomgraph.llm.common import annotate
 
-TOKEN = r"""<!--.*?(?:-->|\Z)|<[!?][^>]*>|</([a-zA-Z][^\s>/]*)[^>]*>|<([a-zA-Z][^\s>/]*)((?>[^>"']*(?:"[^"]*"[^>"']*|'[^']*'[^>"']*)*)|[^>]*)>"""
+NAME = re.compile(r"[a-zA-Z][^\s>/]*")
 ATTRIBUTE = r"""(?:class|id|role|itemprop)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))"""
 #: Element names of the HTML standard.
 RAW = frozenset("script style template textarea title iframe noembed noframes".split())
@@ -55,13 +55,74 @@ class Node:
     place: int = 0  # among its siblings
 
 
+class Tags:
+    """The tags of a page in order, in one pass: no character is looked at again for each ``<`` before it."""
+
+    def __init__(self, page: str) -> None:
+        self.page = page
+        self.dead: set[int] = set()  # places after a quoted value from which no ``>`` outside of quotes follows
+        self.seen: dict[str, tuple[int, int]] = {}  # where it was looked for last, and what was found
+
+    def find(self, what: str, at: int) -> int:
+        """The next ``what`` from ``at`` on, or -1; a stretch is looked through once."""
+        since, found = self.seen.get(what, (0, -2))
+        if found != -2 and since <= at and (found < 0 or at <= found):
+            return found
+        found = self.page.find(what, at)
+        self.seen[what] = at, found
+        return found
+
+    def after(self, at: int) -> int:
+        """The place after the ``>`` of a tag whose attributes start at ``at``, or -1. A ``>`` in a quoted value does not end it, unless there is no other."""
+        page, first, path = self.page, self.find(">", at), []
+        while first >= 0 and at not in self.dead and (end := self.find(">", at)) >= 0:
+            quote = min((q for q in (self.find('"', at), self.find("'", at)) if q >= 0), default=end)
+            close = self.find(page[quote], quote + 1) if quote < end else -1
+            if close < 0:  # a quote that stays open is no quote
+                return end + 1
+            path.append(at)
+            at = close + 1
+        self.dead.update(path)
+        return first + 1 if first >= 0 else -1
+
+    def closing(self, tag: str, at: int) -> int:
+        """Where the next end tag of ``tag`` starts, or -1."""
+        key = "</" + tag
+        if self.seen.get(key):
+            return -1
+        m = re.compile(rf"</{re.escape(tag)}(?![\w-])", re.I).search(self.page, at)
+        if not m:
+            self.seen[key] = at, -1
+        return m.start() if m else -1
+
+    def next(self, at: int) -> tuple[int, int, str, str] | None:
+        """(start, end, name with a slash before it if it closes, attributes) of the next tag from ``at`` on; comments and declarations have no name."""
+        page = self.page
+        while (start := self.find("<", at)) >= 0:
+            what = page[start + 1 : start + 2]
+            if what in ("!", "?") and what:
+                if page.startswith("<!--", start):
+                    end = self.find("-->", start + 4)
+                    return start, len(page) if end < 0 else end + 3, "", ""
+                end = self.find(">", start)
+                if end >= 0:
+                    return start, end + 1, "", ""
+            slash = what == "/"
+            if m := NAME.match(page, start + 1 + slash):
+                end = self.find(">", m.end()) + 1 if slash else self.after(m.end())
+                if end > 0:
+                    return start, end, ("/" if slash else "") + m[0].lower(), page[m.end() : end - 1]
+            at = start + 1
+        return None
+
+
 def parse(page: str) -> list[Node]:
     """The page's block nodes, each after its parent; the first stands for the page."""
     nodes = [Node("#page", 0, 0)]
     stack: list[tuple[str, int]] = [("#page", 0)]  # open elements and the block node they are in
     opened: dict[str, int] = {}  # how often a tag is open
     block, in_link, at = 0, 0, 0
-    tokens = re.compile(TOKEN, re.S)
+    tags = Tags(page)
 
     def text(s: str) -> None:
         nonlocal block
@@ -82,24 +143,27 @@ def parse(page: str) -> list[Node]:
         if node != stack[-1][1]:
             block += 1
 
-    while m := tokens.search(page, at):
-        text(page[at : m.start()])
-        at = m.end()
-        if m[1]:
-            tag = m[1].lower()
+    while found := tags.next(at):
+        start, end, tag, attributes = found
+        text(page[at:start])
+        at = end
+        if tag[:1] == "/":
+            tag = tag[1:]
             if opened.get(tag, 0) and tag != "#page":
                 while stack[-1][0] != tag:
                     pop()
                 pop()
-        elif m[2]:
-            tag = m[2].lower()
+        elif tag:
             nodes[stack[-1][1]].tags += 1
             if tag in RAW:
-                if not m[3].rstrip().endswith("/"):
-                    end = re.compile(rf"</{re.escape(tag)}\b[^>]*>", re.I).search(page, at)
-                    if not end:  # never past the end of the element it is in
-                        end = re.compile(rf"(?=</{re.escape(stack[-1][0])}\b)", re.I).search(page, at)
-                    at = end.end() if end else len(page)
+                if not attributes.rstrip().endswith("/"):
+                    close = tags.closing(tag, at)
+                    if close < 0:  # never past the end of the element it is in
+                        up = tags.closing(stack[-1][0], at)
+                        at = up if up >= 0 else len(page)
+                    else:
+                        end = tags.find(">", close)
+                        at = end + 1 if end >= 0 else len(page)
                 continue
             if tag in VOID:
                 if tag == "hr":
@@ -122,7 +186,7 @@ def parse(page: str) -> list[Node]:
             node = stack[-1][1]
             if tag in BLOCK:
                 block += 1
-                words = tuple(w for x in re.findall(ATTRIBUTE, m[3]) for w in re.split(r"[^a-z]+", "".join(x).lower()) if w) if "=" in m[3] else ()
+                words = tuple(w for x in re.findall(ATTRIBUTE, attributes) for w in re.split(r"[^a-z]+", "".join(x).lower()) if w) if "=" in attributes else ()
                 nodes[node].down.append(len(nodes))
                 nodes.append(Node(tag, node, nodes[node].depth + 1, words, place=len(nodes[node].down) - 1))
                 node = len(nodes) - 1

@@ -11,19 +11,19 @@ empty or has no letter is ``und`` with score 0, and so is every text if there is
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loomgraph.llm.common import annotate, as_bytes
 
 BUCKETS = 1 << 15
-NOT_LETTERS = r"[\W\d_]+"
+LETTER, NOT_LETTERS = regex.compile(r"\p{L}"), regex.compile(r"[^\p{L}\p{M}]+")  # marks are parts of words
 
 
 def held_out() -> Column:
@@ -32,8 +32,8 @@ def held_out() -> Column:
 
 def grams(text: bytes | None) -> tuple[np.ndarray, np.ndarray]:
     """Feature numbers and their counts."""
-    letters = re.sub(NOT_LETTERS, " ", (text or b"").decode("utf-8", "replace").lower()).strip()
-    if not letters:
+    letters = NOT_LETTERS.sub(" ", (text or b"").decode("utf-8", "replace").lower()).strip()
+    if not LETTER.search(letters):
         return np.empty(0, np.int64), np.empty(0, np.int64)
     c = np.frombuffer(f" {letters} ".encode("utf-32-le"), "<u4").astype(np.uint64)
     two = c[:-1] * np.uint64(0x110000) + c[1:]
@@ -138,9 +138,9 @@ def fit(docs: DataFrame, per_language: int = 1000) -> Model:
     def features(b_rows: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in b_rows:
             got = [grams(t) for t in as_bytes(b.column(1))]
-            yield pa.RecordBatch.from_arrays([pa.array([number[x] for x in b.column(0).to_pylist()], pa.int32()), pa.array([g[0].tolist() for g in got], pa.list_(pa.int32())), pa.array([g[1].tolist() for g in got], pa.list_(pa.int32())), b.column(2)], ["k", "at", "n", "h"])
+            yield pa.RecordBatch.from_arrays([pa.array([number[x] for x in b.column(0).to_pylist()], pa.int32()), pa.array([g[0].tolist() for g in got], pa.list_(pa.int32())), pa.array([g[1].tolist() for g in got], pa.list_(pa.int32())), b.column(2), b.column(3)], ["k", "at", "n", "h", "h2"])
 
-    sample = known.withColumn("h", F.xxhash64("doc_id")).filter(F.pmod("h", F.lit(1 << 30)) < share).select("lang", "text", "h").mapInArrow(features, "k int, at array<int>, n array<int>, h long").toArrow().sort_by("h")
+    sample = known.withColumn("h", F.xxhash64("doc_id")).filter(F.pmod("h", F.lit(1 << 30)) < share).select("lang", "text", "h", F.xxhash64("text", "lang").alias("h2")).mapInArrow(features, "k int, at array<int>, n array<int>, h long, h2 long").toArrow().sort_by([("h", "ascending"), ("h2", "ascending")])
     rows = [(np.array(a, np.int64), np.array(c, np.int64), k) for k, a, c in zip(sample["k"].to_pylist(), sample["at"].to_pylist(), sample["n"].to_pylist(), strict=True) if a]
     return train(rows, languages, idf)
 

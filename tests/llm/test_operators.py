@@ -503,3 +503,30 @@ def test_suffix_search_equals_brute_force():
         for p in {e[0] for e in expected}:
             longest[p] = max(next((n for n in range(min(len(v) - k, len(flat) - p), 0, -1) if flat[p : p + n] == v[k : k + n]), 0) for v in texts for k in range(len(v)))
         assert got == expected and dict(zip(where.tolist(), best.tolist())) == longest
+
+
+def test_broken_markup_takes_time_in_proportion():
+    import time
+
+    for part, n in (("<p ", 350_000), ("<a x='", 170_000), ('<a x="', 170_000), ("<!--", 250_000), ("<script>", 120_000), ("</p", 300_000), ("<", 1_000_000), ("<svg>", 100_000), ("<a ''", 200_000)):
+        for tail in ("", ">", "'>'", '">"'):
+            start = time.process_time()
+            html_text.parse(part * n + tail)
+            assert time.process_time() - start < 20, part
+
+
+def test_extraction_of_odd_tables(spark):
+    schema = "page_id long, url string, html string, _text string"
+    long = "<article>" + "".join(f"<p>w{i} and some more words of it</p>" for i in range(20_000)) + "</article>"
+    rows = [(1, "u", long, "x"), (1, "u", long, "x"), (2, None, "<article><p>one two three four five six seven<select><option>x", None), (None, "v", "a < b > c &lt;", None)]
+    got = [tuple(r) for r in html_text.extract(spark.createDataFrame(rows, schema)).collect()]
+    assert len(got) == 4 and got.count(got[0]) == 2 and got[0][3] == len(got[0][2]) and got[0][2].count("\n\n") == 19_999
+    assert all("one two three" in g[2] for g in got if g[0] == 2)
+    assert html_text.extract(spark.createDataFrame([], schema)).count() == 0
+
+
+def test_only_letters_make_a_language():
+    for text in ("½ ² Ⅷ", "① ②", "12 -- _", "\u0301 \u0941", "", None):
+        assert not len(language.grams(None if text is None else text.encode())[0]), text
+    whole, parted = language.grams("हिन्दी".encode())[0], language.grams("ह न द".encode())[0]
+    assert len(whole) > len(parted)
