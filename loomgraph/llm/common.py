@@ -14,12 +14,14 @@ from pyspark.sql import functions as F
 def work_dir(spark: SparkSession, name: str) -> str:
     """A new folder under ``spark.checkpoint.dir``, which all executors share.
 
-    Only where the session has no such setting (tests) is a temporary folder made and set.
+    Only where a local session has no such setting (tests) is a temporary folder made and set.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         base = spark.conf.get("loomgraph.work.dir", None)
         if not base:
+            if not spark.sparkContext.master.startswith("local"):
+                raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
             base = "file://" + tempfile.mkdtemp(prefix="loomgraph-")
             spark.conf.set("loomgraph.work.dir", base)
         if spark.sparkContext.getCheckpointDir() is None:
@@ -28,9 +30,13 @@ def work_dir(spark: SparkSession, name: str) -> str:
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it again: lineage ends here, and a lost executor costs nothing."""
+    """Write ``df`` to the shared folder and read it again: lineage ends here, and a lost executor costs nothing.
+
+    Shuffle files that only served the table are of no use any more; Spark removes them once the driver has collected its garbage.
+    """
     path = work_dir(df.sparkSession, name)
     df.write.parquet(path)
+    df.sparkSession.sparkContext._jvm.System.gc()
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
