@@ -79,3 +79,8 @@ def sentences(text: Column) -> Column:
 
 def citations(text: Column) -> Column:
     return F.regexp_extract_all(text, F.lit(r"\[([A-Z]+-[0-9]+)\]"), F.lit(1))
+
+
+def crosses(a: Column, b: Column) -> Column:
+    """Whether two banks, or two currencies, differ; unknown where one is."""
+    return a != b

@@ -70,3 +70,10 @@ def account_stats(edges: DataFrame) -> DataFrame:
     latency = F.when(through, (F.col("last_out") - F.col("first_in")) / 60.0)
     ratio = F.when(through & (into > 0), F.least(F.lit(1.0), out / into)).otherwise(0.0)
     return g.select("node", "n", "n_out", "n_in", through.alias("passthrough"), ratio.alias("value_ratio"), latency.alias("latency_h"), F.coalesce((ratio >= 0.8) & latency.between(0, 48), F.lit(False)).alias("fast_passthrough"), (F.col("first_t") / 60.0).alias("dormancy_h"), ((F.col("last_t") - F.col("first_t")) / 60.0).alias("active_h"))
+
+
+def induced_by(edges: DataFrame, nodes: DataFrame) -> DataFrame:
+    """``edges`` with both ends among ``nodes`` (one column)."""
+    own = nodes.toDF("_node").distinct()
+    first = edges.join(own, edges["src"] == own["_node"], "left_semi")
+    return first.join(own, first["dst"] == own["_node"], "left_semi")
