@@ -40,6 +40,18 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def bucketed(df: DataFrame, name: str, by: str) -> DataFrame:
+    """``stored``, in buckets of the long column ``by``, as many as the session has shuffle partitions: joins on it leave the table where it is.
+
+    The table is entered in the session's catalogue under a name of its own, its files lie in the shared folder.
+    """
+    spark, table = df.sparkSession, f"loomgraph_{name}_{uuid.uuid4().hex}"
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    df.write.bucketBy(buckets, by).sortBy(by).option("path", work_dir(spark, name)).format("parquet").saveAsTable(table)
+    spark.sparkContext._jvm.System.gc()
+    return spark.table(table)
+
+
 def map_batches(df: DataFrame, f: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str, rows: int = 256) -> DataFrame:
     """``mapInArrow`` in slices of at most ``rows`` rows, so that memory follows the slice and not the batch."""
 

@@ -383,6 +383,16 @@ def test_passages_of_a_hot_line_meet_without_its_first_document(spark):
             assert start <= 60 and end >= 115 and not others
 
 
+def test_links_to_a_hot_document_are_dealt_out(spark, monkeypatch):
+    r = random.Random(41)
+    new = lambda n: " ".join(f"q{r.randrange(10**9)}" for _ in range(n))
+    p = new(70)
+    docs = spark.createDataFrame([(i, f"{new(i)} {p} {new(20)}") for i in range(40)], "doc_id long, text string").repartition(4)
+    whole = sorted(map(tuple, passages.report(docs).collect()))
+    monkeypatch.setattr(passages, "HOT", 3)
+    assert sorted(map(tuple, passages.report(docs).collect())) == whole and len(whole) == 40
+
+
 def test_every_place_of_a_passage_counts(spark):
     r = random.Random(9)
     new = lambda n: " ".join(f"q{r.randrange(10**9)}" for _ in range(n))
