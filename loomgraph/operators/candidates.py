@@ -156,9 +156,13 @@ def candidates(edges: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, DataF
     return cand, member, stage(induced(member, p)), p
 
 
-def top_k(ranked: DataFrame, k: int, by: str = "score") -> DataFrame:
-    w = Window.partitionBy("now").orderBy(F.col(by).desc(), "key")
-    return ranked.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
+def ranked(cand: DataFrame, by: str = "score") -> DataFrame:
+    """Each cycle's candidates with their rank, none left out."""
+    return cand.withColumn("rank", F.row_number().over(Window.partitionBy("now").orderBy(F.col(by).desc(), "key")))
+
+
+def top_k(cand: DataFrame, k: int, by: str = "score") -> DataFrame:
+    return ranked(cand, by).filter(F.col("rank") <= k)
 
 
 def overlaps(cand: DataFrame, least: float = 0.5) -> DataFrame:

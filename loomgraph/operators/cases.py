@@ -27,9 +27,14 @@ def members(cand: DataFrame, inner: DataFrame) -> DataFrame:
 
 
 def ledger(cand: DataFrame, edges: DataFrame, width: int) -> DataFrame:
-    """Transactions between members within ``width`` minutes up to a case's opening, both ends included. Only edges of members are read into the range test."""
+    """Transactions between members within ``width`` minutes up to a case's opening, both ends included.
+
+    Edges are met by sender and stretch of ``width`` minutes, of which a case touches two, so a busy account's whole history is not paired with all its cases.
+    """
     m = cand.select("now", "key", F.explode("nodes").alias("node"))
-    a = m.withColumnRenamed("node", "src").join(edges, "src").filter((F.col("t") >= F.col("now") - width) & (F.col("t") <= F.col("now")))
+    last = F.floor(F.col("now") / width)
+    sent = m.withColumnRenamed("node", "src").withColumn("_stretch", F.explode(F.array(last - 1, last)))
+    a = sent.join(edges.withColumn("_stretch", F.floor(F.col("t") / width)), ["src", "_stretch"]).filter((F.col("t") >= F.col("now") - width) & (F.col("t") <= F.col("now")))
     return a.join(m.withColumnRenamed("node", "dst"), ["now", "key", "dst"]).select("now", "key", "seq", "src", "dst", "t", "amount")
 
 

@@ -21,7 +21,7 @@ FUNNEL = """fl AS (SELECT ring, typology, CAST(max(CASE WHEN s.seed IS NULL THEN
 
 
 def _ranked(cand):
-    return C.top_k(cand, 10**6, "size")
+    return C.ranked(cand, "size")
 
 
 def _overlap(spark, d):
