@@ -473,6 +473,83 @@ def test_near_copies_share_a_class_whatever_the_partitions(spark):
     assert len(pairs) > 600 and results[0] == results[1]
 
 
+def window_pairs(rows):
+    """All pairs of windows of a key in two documents that prove a passage: (doc, to_doc, first word, last word) on the side of ``doc``."""
+    least = passages.WORDS - passages.SHINGLE + 1
+    base = {d: passages.shingles(t.encode()) for d, t in rows}
+    x32 = {d: b.astype(np.uint32) for d, b in base.items()}
+    by, found = {}, set()
+    for d, b in base.items():
+        key, _, place, _ = passages._windows_of([(d, b)], least, passages.HASHES)
+        for k, p in zip(key.tolist(), place.tolist()):
+            by.setdefault(k, set()).add((d, p >> 24, p >> 8 & 255, p & 255))
+    for group in by.values():
+        for d, c, left, right in group:
+            for e, f, to_left, to_right in group:
+                if d != e:
+                    a, b = c - min(left, to_left), c + min(right, to_right)
+                    to = max(a - c + f - passages.SLACK, 0)
+                    for s, t in passages.agreeing(x32[d][a : b + 1], x32[e][to : b - c + f + passages.SLACK + 1], c - f + to - a, least):
+                        found.add((d, e, s + a, t + a + passages.SHINGLE))
+    return found
+
+
+def whole(spark, rows):
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5, "doc_id")
+    got = {d.doc_id: d for d in passages.report(docs).collect()}
+    pairs = window_pairs(rows)
+    for d, e, s, t in pairs:
+        assert d in got and e in got and got[d].class_id == got[e].class_id, (d, e)
+        assert any(a <= s and t <= b for a, b in (map(int, x.split(":")) for x in got[d].spans.split(","))), (d, s, t, got[d].spans)
+    return got, pairs
+
+
+def test_changed_passages_behind_a_hot_line_all_meet(spark):
+    r = random.Random(51)
+    new = lambda n: [f"q{r.randrange(10**9)}" for _ in range(n)]
+    hot, rows = new(40), []
+    for _ in range(40):
+        rows.append(new(60) + hot + new(60))
+    for _ in range(40):
+        tail = new(16)
+        for j in (0, 1):
+            own = [*hot, *tail]
+            own[20 + j] = new(1)[0] if r.random() < 0.2 else own[20 + j]
+            own[46] = new(1)[0]
+            rows.append(new(60) + own + new(60))
+    _, pairs = whole(spark, [(i, " ".join(x)) for i, x in enumerate(rows)])
+    assert len({p[:2] for p in pairs}) >= 40
+
+
+def test_drifting_copies_all_meet(spark):
+    r = random.Random(52)
+    new = lambda n: [f"q{r.randrange(10**9)}" for _ in range(n)]
+    rows = []
+    for _ in range(8):
+        own = new(70)
+        for _ in range(14):
+            own = list(own)
+            own[r.randrange(70)] = new(1)[0]
+            rows.append(new(r.randint(0, 60)) + own + new(r.randint(0, 60)))
+    r.shuffle(rows)
+    _, pairs = whole(spark, [(i, " ".join(x)) for i, x in enumerate(rows)])
+    assert len({p[:2] for p in pairs}) > 200
+
+
+def test_changed_passages_in_lists_meet(spark):
+    r = random.Random(53)
+    new = lambda n: [f"q{r.randrange(10**9)}" for _ in range(n)]
+    line, rows = new(25), []
+    for _ in range(6):
+        entry = new(30)
+        for _ in range(2):
+            own = [w for _ in range(20) for w in [*new(30), *line]] + entry
+            own[-12] = new(1)[0]
+            rows.append(own + new(30))
+    _, pairs = whole(spark, [(i, " ".join(x)) for i, x in enumerate(rows)])
+    assert len({p[:2] for p in pairs}) >= 8
+
+
 def test_passages_leave_other_columns_and_white_space_alone(spark):
     r = random.Random(2)
     new = lambda n: " ".join(f"q{r.randrange(10**9)}" for _ in range(n))
