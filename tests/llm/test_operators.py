@@ -1,6 +1,7 @@
 """Each corpus operator against a plain version on small tables with nulls, empty texts, repeats and odd columns."""
 
 import hashlib
+import os
 import random
 import re
 import zlib
@@ -9,6 +10,7 @@ import numpy as np
 import pytest
 
 from loomgraph.llm import components, decontaminate, html_text, language, packing, passages, pii, quality, records, secret_scan, simhash
+from loomgraph.llm.common import flagged, has_flag
 from loomgraph.llm.encoding import WordEncoder, default_vocabulary
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, _words long, _secrets string"
@@ -617,3 +619,34 @@ def test_only_letters_make_a_language():
         assert not len(language.grams(None if text is None else text.encode())[0]), text
     whole, parted = language.grams("हिन्दी".encode())[0], language.grams("ह न द".encode())[0]
     assert len(whole) > len(parted)
+
+
+def test_tables_that_nothing_reads_any_more_are_deleted(spark, monkeypatch):
+    texts = [f"{prose(5)} {s}" for s in [prose(70)] * 4 + [prose(80)] * 3]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    made = []
+    for name in ("stored", "bucketed"):
+        monkeypatch.setattr(passages, name, lambda df, kind, *a, f=getattr(passages, name): (made.append((kind, out := f(df, kind, *a), out.inputFiles())), out)[1])
+    assert passages.report(docs).count() == 7
+    left = {kind for kind, _, files in made for f in files if os.path.exists(f.removeprefix("file://").removeprefix("file:"))}
+    assert {"links", "diagonals", "runs", "met", "shared", "held", "probes", "pairs"} <= {kind for kind, _, _ in made}
+    assert "parts" in left and left <= {"parts", "found", "classes", "passages", "hot"}
+
+
+def test_flags_lose_no_row(spark):
+    rows = [R.randrange(1 << 32) for _ in range(3000)]
+    bits = flagged(spark.createDataFrame([(x,) for x in rows], "x long"), "x", 18).value
+    assert has_flag(bits, np.array(rows, np.uint32)).all()
+    assert int(np.unpackbits(bits).sum()) == len({x % (1 << 18) for x in rows})
+    assert not flagged(spark.createDataFrame([], "x long"), "x", 16).value.any()
+
+
+def test_flags_change_no_passage(spark, monkeypatch):
+    hot, rows = prose(55), []
+    for _ in range(6):
+        own = prose(60).split()
+        rows += [f"{hot} {' '.join(own)} {prose(9)}", f"{prose(7)} {hot} {' '.join(own[:30] + ['zz'] + own[31:])}"]
+    docs = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+    whole = sorted(map(tuple, passages.report(docs).collect()))
+    monkeypatch.setattr(passages, "has_flag", lambda bits, x: np.ones(len(x), bool))
+    assert sorted(map(tuple, passages.report(docs).collect())) == whole and len(whole) == 12
