@@ -650,3 +650,37 @@ def test_flags_change_no_passage(spark, monkeypatch):
     whole = sorted(map(tuple, passages.report(docs).collect()))
     monkeypatch.setattr(passages, "has_flag", lambda bits, x: np.ones(len(x), bool))
     assert sorted(map(tuple, passages.report(docs).collect())) == whole and len(whole) == 12
+
+
+def test_shingles_that_no_probe_asks_for_are_not_dealt_out(spark, monkeypatch):
+    rows = near_copies(5, 6)[0]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    asked, made, old = [], {}, (passages.flagged, passages.stored)
+    monkeypatch.setattr(passages, "flagged", lambda df, *a: (asked.append(df.collect()), old[0](df, *a))[1])
+    monkeypatch.setattr(passages, "stored", lambda df, kind: (out := old[1](df, kind), made.setdefault(kind, []).append(out.count()))[0])
+    passages.report(docs).collect()
+    assert len(asked) == 2 and len(asked[1]) == made["probes"][0] > 0 and made["pairs"][0] > 0  # of shared shingles, then of probes
+    # with nothing asked for, nothing meets
+    made.clear()
+    monkeypatch.setattr(passages, "flagged", lambda df, column, size: old[0](df.limit(0) if "probes" in made else df, column, size))
+    passages.report(docs).collect()
+    assert made["probes"][0] > 0 and made["pairs"] == [0]
+
+
+def test_proofs_equal_a_plain_version():
+    r, least = random.Random(4), 12
+    need, found = -(-8 * least // 9), 0
+    for n in range(120):
+        line = [r.randrange(30) for _ in range(r.randint(2, 40))]
+        mine, other = ([x if r.random() > 0.06 else r.randrange(99) for x in (line * 60)[: r.randint(12, 320)]] for _ in range(2))
+        other = other[r.randint(0, 9) :]
+        starts = [s for s in range(len(mine) - least + 1) if n % 2 or r.random() < 0.8]
+        hits = [(i, i - j) for i, x in enumerate(mine) for j, y in enumerate(other) if x == y]
+        plain = set()
+        for d in {d for _, d in hits}:
+            band = {i for i, e in hits if d <= e <= d + 2 * passages.SLACK}
+            plain |= {i for s in starts if sum(s + k in band for k in range(least)) >= need for i in range(s, s + least)}
+        got = list(passages.proofs(np.array(mine, np.uint32), np.array(other, np.uint32), np.array(starts, np.int64), least))
+        assert {i for a, b, _ in got for i in range(a, b + 1)} == plain
+        found += len(plain) > 0
+    assert found > 60
