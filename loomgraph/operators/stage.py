@@ -8,9 +8,11 @@ from pyspark.sql import DataFrame
 
 
 def stage(df: DataFrame) -> DataFrame:
-    """Checkpoint ``df`` in the shared folder the session names; only where it names none (tests), in a temporary one."""
+    """Checkpoint ``df`` in the shared folder the session names; only a local session that names none (tests) gets a temporary one."""
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
         base = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not base and not context.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         context.setCheckpointDir(base or "file://" + tempfile.mkdtemp(prefix="loomgraph-"))
     return df.checkpoint()

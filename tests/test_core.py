@@ -129,3 +129,15 @@ def test_entry_contract(spark):
     q, o = entry.queries(), entry.oracle_sql()
     assert set(o) <= set(q) and len(q) >= 50
     assert entry.entry(spark).count() > 0
+
+
+@pytest.mark.parametrize("parts", [1, 16])
+def test_numbers_are_gapless_in_order_whatever_the_partitions(spark, parts):
+    from loomgraph.operators.numbering import numbered
+
+    rows = [(None if i % 50 == 0 else (7 if i % 3 else i * 37 % 101), i % 5) for i in range(900)]  # one key holds two thirds
+    got = numbered(spark.createDataFrame(rows, "a long, b long").repartition(parts), ["a", "b"], "n", 1).collect()
+    assert sorted(r.n for r in got) == list(range(1, 901))
+    in_order = [(r.a, r.b) for r in sorted(got, key=lambda r: r.n)]
+    assert in_order == sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1]))
+    assert numbered(spark.createDataFrame([], "a long, b long"), ["a"], "n").count() == 0
