@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loomgraph.llm import decontaminate, html_text, language, packing, passages, pii, quality, records, secret_scan, simhash
+from loomgraph.llm import decontaminate, html_text, importance, language, packing, passages, pii, quality, records, secret_scan, simhash
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -51,7 +51,27 @@ def op7_compact_window_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return passages.report(_table(spark, sf_dir, "documents"))
 
 
-ORACLES: dict[str, str] = {}
+def op12_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's importance weight towards ``benchmark``, its score, and the rank of the drawn tenth."""
+    docs = _table(spark, sf_dir, "documents")
+    return importance.ranks(docs, importance.fit(docs, _table(spark, sf_dir, "benchmark")))
+
+
+#: CRC-32 of a string's bytes: its table by rule, then a byte at a time.
+CRC = """tab AS (SELECT list(list_reduce(range(8), lambda c, k: xor(c >> 1, 3988292384 * (c & 1)), i) ORDER BY i) AS t FROM range(256) r(i)),
+ crc AS (SELECT w, xor(list_reduce(list_transform(regexp_extract_all(hex(encode(w)), '..'), lambda x: CAST('0x' || x AS BIGINT)), lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1]), 4294967295), 4294967295) AS c FROM (SELECT DISTINCT w FROM {words}), tab)"""
+WORDS = r"regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+
+ORACLES: dict[str, str] = {
+    "op12_importance_resampling": f"""WITH dw AS (SELECT doc_id, unnest({WORDS}) AS w FROM documents), bw AS (SELECT unnest({WORDS}) AS w FROM benchmark), every AS (SELECT w FROM dw UNION ALL SELECT w FROM bw),
+ {CRC.format(words="every")},
+ db AS (SELECT doc_id, c % 10000 AS b FROM dw JOIN crc USING (w)), s AS (SELECT b, count(*) AS s FROM db GROUP BY b), t AS (SELECT c % 10000 AS b, count(*) AS t FROM bw JOIN crc USING (w) GROUP BY 1),
+ gain AS (SELECT b, floor(1000 * ln((coalesce(t, 0) + 1.0::DOUBLE) * ((SELECT count(*) FROM dw) + 10000) / ((coalesce(s, 0) + 1.0::DOUBLE) * ((SELECT count(*) FROM bw) + 10000)))) AS g FROM s FULL JOIN t USING (b)),
+ per AS (SELECT doc_id, count(*) AS n, CAST(floor(sum(g) / count(*)) AS BIGINT) AS weight FROM db JOIN gain USING (b) GROUP BY doc_id),
+ sc AS (SELECT doc_id, coalesce(n, 0) AS n_features, coalesce(weight, 0) AS weight, coalesce(weight, 0) + CAST(floor(-1000 * ln(-ln((CAST('0x' || left(sha256('2024:' || doc_id), 8) AS BIGINT) + 0.5::DOUBLE) / 4294967296))) AS BIGINT) AS score FROM documents LEFT JOIN per USING (doc_id)),
+ rk AS (SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS r FROM sc WHERE n_features >= 20)
+ SELECT doc_id, n_features, weight, score, CASE WHEN r <= 10 * (SELECT count(*) FROM rk) // 100 THEN r END AS rank FROM sc LEFT JOIN rk USING (doc_id)""",
+}
 
 
 def queries() -> dict:
