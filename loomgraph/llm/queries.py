@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loomgraph.llm import decontaminate, html_text, importance, language, packing, passages, pii, prefix_trie, quality, records, secret_scan, simhash
+from loomgraph.llm import decontaminate, html_text, importance, language, neural_lm, packing, passages, pii, prefix_trie, quality, records, secret_scan, simhash
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -51,6 +51,11 @@ def op7_compact_window_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return passages.report(_table(spark, sf_dir, "documents"))
 
 
+def op11_log_bilinear_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's unigram and log-bilinear scores."""
+    return neural_lm.report(_table(spark, sf_dir, "documents"))
+
+
 def op12_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's importance weight towards ``benchmark``, its score, and the rank of the drawn tenth."""
     docs = _table(spark, sf_dir, "documents")
