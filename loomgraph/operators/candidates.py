@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from loomgraph import config
 from loomgraph.functions import scalars as S
 from loomgraph.operators import window as W
+from loomgraph.operators.numbering import numbered
 from loomgraph.operators.stage import stage
 
 
@@ -43,19 +44,46 @@ def extra_seeds(edges: DataFrame, p: DataFrame, share: float = 0.10) -> DataFram
     return within_budget(untouched_by_rule(edges, p).join(degree, ["now", "node"]), seeds(edges, p), share)
 
 
-def expand(seed: DataFrame, nbrs: DataFrame, hops: int = 2, max_degree: int = config.MAX_DEGREE, max_nodes: int = config.MAX_NODES) -> DataFrame:
-    """Nodes within ``hops`` of a seed (now, seed, node, hop). A node of too high a degree, the seed too, is not gone through; a hop that would pass the node cap keeps the lowest degrees, ties by node."""
+def expand_traced(seed: DataFrame, nbrs: DataFrame, hops: int = 2, max_degree: int = config.MAX_DEGREE, max_nodes: int = config.MAX_NODES) -> DataFrame:
+    """Nodes within ``hops`` of each seed and why the walk stopped there: now, seed, nodes (array of node, hop), hops_completed, hub_blocked, truncated, exhausted, hit_node_cap.
+
+    A node of too high a degree, the seed too, is not gone through and counts as ``hub_blocked``; a hop that would pass the node cap keeps the lowest
+    degrees, ties by node (``truncated``); a hop that finds nothing ends the walk (``exhausted``), and so does one that finds no
+    room (``hit_node_cap``). A seed is one row, its arrays bounded by the two caps; a hop is one join with the neighbours and one merge per seed.
+    """
     degree = nbrs.groupBy("now", "node").agg(F.count("*").alias("deg"))
-    open_ = nbrs.join(degree.filter(F.col("deg") <= max_degree), ["now", "node"]).select("now", "node", "other")
-    member = seed.select("now", "seed", F.col("seed").alias("node"), F.lit(0).alias("hop"))
+    far = degree.select("now", F.col("node").alias("other"), F.col("deg").alias("other_deg"))
+    near = stage(nbrs.join(degree.filter(F.col("deg") <= max_degree), ["now", "node"]).join(far, ["now", "other"]).select("now", "node", F.struct(F.col("other_deg").alias("deg"), F.col("other").alias("node")).alias("next")))
+    first = seed.select("now", "seed").join(degree.withColumnRenamed("node", "seed"), ["now", "seed"], "left")
+    state = first.select("now", "seed", F.array(F.struct(F.col("seed").alias("node"), F.lit(0).alias("hop"))).alias("nodes"), F.array(F.struct(F.coalesce("deg", F.lit(0).cast("long")).alias("deg"), F.col("seed").alias("node"))).alias("frontier"), F.lit(0).alias("hops_completed"), F.lit(0).alias("hub_blocked"), *[F.lit(False).alias(c) for c in ("truncated", "exhausted", "hit_node_cap")])
     for h in range(1, hops + 1):
-        near = member.filter(F.col("hop") == h - 1).join(open_, ["now", "node"]).select("now", "seed", F.col("other").alias("node")).distinct()
-        fresh = near.join(member.select("now", "seed", "node"), ["now", "seed", "node"], "left_anti").join(degree, ["now", "node"])
-        room = F.lit(max_nodes) - F.coalesce(F.col("size"), F.lit(0))
-        size = member.groupBy("now", "seed").agg(F.count("*").alias("size"))
-        ranked = fresh.withColumn("rn", F.row_number().over(Window.partitionBy("now", "seed").orderBy("deg", "node"))).join(size, ["now", "seed"]).filter(F.col("rn") <= room)
-        member = member.union(ranked.select("now", "seed", "node", F.lit(h)))
-    return member
+        state = stage(state)
+        open_ = state.select("now", "seed", F.explode(F.filter("frontier", lambda x: x["deg"] <= max_degree)["node"]).alias("node"))
+        found = open_.join(near, ["now", "node"]).groupBy("now", "seed").agg(F.collect_set("next").alias("found"))
+        new = F.filter("found", lambda x: ~F.array_contains(F.col("nodes")["node"], x["node"]))
+        going = ~F.col("exhausted") & ~F.col("hit_node_cap")
+        state = state.join(found, ["now", "seed"], "left").withColumn("found", F.coalesce(new, F.slice("frontier", 1, 0))).withColumn("room", F.greatest(F.lit(max_nodes) - F.size("nodes"), F.lit(0)))
+        taken = F.when(going & (F.col("room") > 0), F.slice(F.sort_array("found"), F.lit(1), F.greatest("room", F.lit(1)))).otherwise(F.slice("frontier", 1, 0))
+        n = F.size("found")
+        state = state.select(
+            "now", "seed", F.concat("nodes", F.transform(taken, lambda x: F.struct(x["node"].alias("node"), F.lit(h).alias("hop")))).alias("nodes"), taken.alias("frontier"), (F.col("hops_completed") + (going & (n > 0) & (F.col("room") > 0)).cast("int")).alias("hops_completed"),
+            (F.col("hub_blocked") + F.size(F.filter("frontier", lambda x: x["deg"] > max_degree))).alias("hub_blocked"), (F.col("truncated") | (going & (F.col("room") > 0) & (n > F.col("room")))).alias("truncated"), (F.col("exhausted") | (going & (n == 0))).alias("exhausted"), (F.col("hit_node_cap") | (going & (n > 0) & (F.col("room") == 0))).alias("hit_node_cap"))
+    return state.drop("frontier")
+
+
+def stopped_by() -> Column:
+    """Which bound ended a traced expansion; ``hop_limit`` if none of the others did."""
+    return F.when(F.col("hit_node_cap") | F.col("truncated"), "node_cap").when(F.col("hub_blocked") > 0, "hub_guard").when(F.col("exhausted"), "out_of_reach").otherwise("hop_limit")
+
+
+def members(traced: DataFrame) -> DataFrame:
+    """The nodes of ``expand_traced``, a row each: now, seed, node, hop."""
+    return traced.select("now", "seed", F.inline("nodes"))
+
+
+def expand(seed: DataFrame, nbrs: DataFrame, hops: int = 2, max_degree: int = config.MAX_DEGREE, max_nodes: int = config.MAX_NODES) -> DataFrame:
+    """Nodes within ``hops`` of a seed (now, seed, node, hop), bounded as ``expand_traced`` says."""
+    return members(expand_traced(seed, nbrs, hops, max_degree, max_nodes))
 
 
 def induced(member: DataFrame, p: DataFrame) -> DataFrame:
@@ -147,13 +175,17 @@ def boundary_flow(member: DataFrame, inner: DataFrame, totals: DataFrame) -> Dat
     return j.select("now", "seed", i.alias("ext_in"), o.alias("ext_out"), F.when(F.greatest(i, o) > 0, F.least(i, o) / F.greatest(i, o)).otherwise(0.0).alias("conservation"))
 
 
-def candidates(edges: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+def candidates(edges: DataFrame, width: int = config.WINDOW) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
     """All cycles' candidates, their members, inner edges and the window's pairs, each staged for the steps that follow."""
-    p = stage(W.pairs(W.live(W.islands(edges))))
-    member = stage(expand(stage(seeds(edges, p)), stage(W.neighbours(p))))
+    p = stage(W.pairs(W.live(W.islands(edges, width), width)))
+    return from_members(stage(expand(stage(seeds(edges, p)), stage(W.neighbours(p)))), p)
+
+
+def from_members(member: DataFrame, p: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """``candidates`` from staged expansions and pairs."""
     cand = stage(deduplicated(prune_leaves(member, induced(member, p))))
-    member = cand.select("now", "seed", F.explode("nodes").alias("node"))
-    return cand, member, stage(induced(member, p)), p
+    own = cand.select("now", "seed", F.explode("nodes").alias("node"))
+    return cand, own, stage(induced(own, p)), p
 
 
 def ranked(cand: DataFrame, by: str = "score") -> DataFrame:
@@ -166,33 +198,64 @@ def top_k(cand: DataFrame, k: int, by: str = "score") -> DataFrame:
 
 
 def overlaps(cand: DataFrame, least: float = 0.5) -> DataFrame:
-    """Pairs of one cycle's candidates with a Jaccard similarity of ``least`` or more, through shared nodes; sizes bound the join first."""
-    m = cand.select("now", "key", "size", F.explode("nodes").alias("node"))
-    b = m.select("now", F.col("key").alias("key_b"), F.col("size").alias("size_b"), "node")
-    j = m.join(b, ["now", "node"]).filter((F.col("key") < F.col("key_b")) & (F.least("size", "size_b") >= least * F.greatest("size", "size_b")))
-    n = j.groupBy("now", "key", "key_b", "size", "size_b").agg(F.count("*").alias("shared"))
-    return n.withColumn("jaccard", F.col("shared") / (F.col("size") + F.col("size_b") - F.col("shared"))).filter(F.col("jaccard") >= least)
+    """Pairs of one cycle's candidates (now, key, nodes) with a Jaccard similarity of ``least`` or more: now, key, key_b, shared, jaccard.
 
-
-def suppress(cand: DataFrame, least: float = 0.5, by: str = "score") -> DataFrame:
-    """Greedy by ``by`` (ties by key): a candidate too like a better kept one goes, and counts as absorbed by the best such.
-
-    One cycle is one group: its candidates are bounded by the cycle's seeds.
+    Two such sets share one of each other's rarest nodes, as many as one of them may lack and one more. Only those are joined, so a node that
+    is in most candidates makes few pairs; the sets of a pair are then compared.
+    """
+    own = cand.select("now", "key", "nodes")
+    m = own.select("now", "key", F.size("nodes").alias("size"), F.explode("nodes").alias("node"))
+    often = m.groupBy("now", "node").agg(F.count("*").alias("n"))
+    rare = m.join(often, ["now", "node"]).groupBy("now", "key", "size").agg(F.sort_array(F.collect_list(F.struct("n", "node"))).alias("r"))  # a set is bounded by the node cap
+    few = (F.col("size") - F.ceil(F.col("size") * least - 1e-9) + 1).cast("int")
+    first = rare.select("now", "key", "size", F.explode(F.slice("r.node", F.lit(1), few)).alias("node"))
+    b = first.select("now", F.col("key").alias("key_b"), F.col("size").alias("size_b"), "node")
+    fits = (F.col("key") < F.col("key_b")) & (F.least("size", "size_b") >= least * F.greatest("size", "size_b") - 1e-9)
+    pairs = first.join(b, ["now", "node"]).filter(fits).select("now", "key", "key_b").distinct()
+    both = pairs.join(own, ["now", "key"]).join(own.select("now", F.col("key").alias("key_b"), F.col("nodes").alias("nodes_b")), ["now", "key_b"])
+    shared = F.size(F.array_intersect("nodes", "nodes_b"))
+    j = both.withColumn("shared", shared.cast("long")).withColumn("jaccard", F.col("shared") / (F.size("nodes") + F.size("nodes_b") - F.col("shared")))
+    return j.filter(F.col("jaccard") >= least).select("now", "key", "key_b", "shared", "jaccard")
+
+
+ORDERS = ("score", "largest", "smallest", "key")
+
+
+def _settled(cand: DataFrame, least: float, by: str, order: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Candidates with their place ``_id`` in the order of their cycle, overlaps (a before b), and the places of those that go."""
+    columns = {"score": [F.col(by).desc(), "key"], "largest": [F.size("nodes").desc(), "key"], "smallest": [F.size("nodes"), "key"], "key": ["key"]}
+    if order not in columns:
+        raise ValueError(f"unknown order {order!r}; there are {', '.join(ORDERS)}")
+    placed = stage(numbered(cand, ["now", *columns[order]], "_id"))
+    pairs = stage(overlaps(placed.select("now", F.col("_id").alias("key"), "nodes"), least).select(F.col("key").alias("a"), F.col("key_b").alias("b")))
+    rest, gone = pairs, pairs.select(F.col("b").alias("_id")).limit(0)
+    while not rest.isEmpty():
+        first = rest.select("a").distinct().join(rest.select(F.col("b").alias("a")).distinct(), "a", "left_anti")  # nothing open is before them
+        lost = stage(rest.join(first, "a", "left_semi").select(F.col("b").alias("_id")).distinct())
+        gone = gone.union(lost)
+        rest = stage(rest.join(lost.withColumnRenamed("_id", "a"), "a", "left_anti").join(lost.withColumnRenamed("_id", "b"), "b", "left_anti"))
+    return placed, pairs, gone
+
+
+def absorptions(cand: DataFrame, least: float = 0.5, by: str = "score", order: str = "score") -> DataFrame:
+    """Which candidate went for which: now, key (kept), lost_key, and lost_seed if ``cand`` has seeds. Of several, the first kept one in order took it."""
+    return _absorbed(*_settled(cand, least, by, order))
+
+
+def _absorbed(placed: DataFrame, pairs: DataFrame, gone: DataFrame) -> DataFrame:
+    kept = pairs.join(gone.withColumnRenamed("_id", "a"), "a", "left_anti").groupBy("b").agg(F.min("a").alias("_id"))
+    lost = placed.select(F.col("_id").alias("b"), F.col("key").alias("lost_key"), *([F.col("seed").alias("lost_seed")] if "seed" in placed.columns else []))
+    return kept.join(lost, "b").join(placed.select("now", "key", "_id"), "_id").drop("_id", "b")
+
+
+def suppress(cand: DataFrame, least: float = 0.5, by: str = "score", order: str = "score") -> DataFrame:
+    """Greedy within each cycle: a candidate too like one kept before it goes, and counts as absorbed by the first such: now, key, score, absorbed.
+
+    ``order``: by score (highest ``by``), largest, smallest or key; ties by key, so the last three hang on the sets alone. The greedy
+    walk is done in rounds for all cycles at once: in each, candidates that no open one comes before stay and what overlaps them goes.
+    The places still open shrink every round; a round is a join of overlaps, and no cycle is held by one task.
     """
-    import pandas as pd
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values([by, "key"], ascending=[False, True]).reset_index(drop=True)
-        sets, holders, kept, absorbed = [frozenset(n) for n in pdf["nodes"]], {}, [], {}
-        for i, s in enumerate(sets):
-            rivals = sorted({k for n in s for k in holders.get(n, ())})
-            rival = next((k for k in rivals if len(s & sets[k]) >= least * len(s | sets[k])), None)
-            if rival is None:
-                kept.append(i)
-                for n in s:
-                    holders.setdefault(n, []).append(i)
-            else:
-                absorbed[rival] = absorbed.get(rival, 0) + 1
-        return pd.DataFrame({"now": pdf["now"][kept], "key": pdf["key"][kept], "score": pdf[by][kept].astype(float), "absorbed": [absorbed.get(i, 0) for i in kept]})
-
-    return cand.groupBy("now").applyInPandas(run, "now long, key string, score double, absorbed long")
+    placed, pairs, gone = _settled(cand, least, by, order)
+    took = _absorbed(placed, pairs, gone).groupBy("now", "key").agg(F.count("*").alias("absorbed"))
+    kept = placed.join(gone, "_id", "left_anti").select("now", "key", F.col(by).cast("double").alias("score"))
+    return kept.join(took, ["now", "key"], "left").withColumn("absorbed", F.coalesce("absorbed", F.lit(0).cast("long")))

@@ -131,6 +131,20 @@ def best_attempt(member: DataFrame, rings: DataFrame) -> DataFrame:
     return b.withColumn("verdict", F.when(F.col("containment") < 0.5, "CONTAINMENT_FAIL").when(F.col("jaccard") < 0.3, "DILUTION_FAIL").otherwise("BUILT"))
 
 
+def diagnosed(traced: DataFrame, rings: DataFrame) -> DataFrame:
+    """``best_attempt`` out of traced expansions, with the bound that stopped the best one where it holds too little of the ring: ..., now, seed, reason."""
+    from loomgraph.operators import candidates as C
+
+    member = C.members(traced)
+    own = rings.select("now", "ring", F.col("node").alias("seed"), "ring_size").join(traced.select("now", "seed", F.size("nodes").alias("size"), C.stopped_by().alias("stopped_by")), ["now", "seed"])
+    shared = own.select("now", "ring", "seed").join(member, ["now", "seed"]).join(rings.select("now", "ring", "node"), ["now", "ring", "node"]).groupBy("now", "ring", "seed").agg(F.count("*").alias("shared"))
+    o = own.join(shared, ["now", "ring", "seed"])
+    containment, jaccard = F.col("shared") / F.col("ring_size"), F.col("shared") / (F.col("size") + F.col("ring_size") - F.col("shared"))
+    b = o.groupBy("ring").agg(F.min_by(F.struct(containment.alias("containment"), jaccard.alias("jaccard"), "now", "seed", "stopped_by"), F.struct(-containment, -jaccard, "now", "seed")).alias("b")).select("ring", "b.*")
+    verdict = F.when(F.col("containment") < 0.5, "CONTAINMENT_FAIL").when(F.col("jaccard") < 0.3, "DILUTION_FAIL").otherwise("BUILT")
+    return b.withColumn("verdict", verdict).withColumn("reason", F.when(F.col("containment") < 0.5, F.col("stopped_by"))).drop("stopped_by")
+
+
 def stratified_auc(df: DataFrame, score: str, label: str, stratum: str) -> DataFrame:
     """AUC within strata, weighted by each one's pairs of a positive and a negative."""
     a = rank_auc(df, score, label, stratum).filter("auc is not null").withColumn("w", F.col("pos") * F.col("neg"))

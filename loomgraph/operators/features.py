@@ -90,9 +90,9 @@ def build(cand: DataFrame, member: DataFrame, inner: DataFrame, p: DataFrame, ed
     return j.select("*", F.when(edge_flow > 0, F.col("internal") / edge_flow).otherwise(0.0).alias("churn"), (F.col("internal") + F.col("ext_in")).alias("total_amount"), (F.col("n_round") / F.col("n_txns")).alias("round_amount_ratio"), share("nodes_in_cycles").alias("cycle_coverage"), share("nodes_in_temporal").alias("temporal_cycle_coverage"), share("n_through").alias("passthrough_ratio"), F.greatest("max_out", "max_in").alias("max_fan"), F.when(F.col("gs") >= 2, F.col("gs")).otherwise(0).alias("gather_scatter"), (F.col("n_txns") / F.greatest(F.lit(1.0), F.col("span_minutes") / 60)).alias("burstiness"), (F.col("n_countries") > 1).alias("cross_border"))
 
 
-def built(edges: DataFrame, registry: DataFrame) -> DataFrame:
-    """Features of all cycles' candidates, staged, as several steps read them."""
-    return stage(build(*C.candidates(edges), edges, registry))
+def built(edges: DataFrame, registry: DataFrame, found: tuple[DataFrame, DataFrame, DataFrame, DataFrame] | None = None) -> DataFrame:
+    """Features of all cycles' candidates (``found``, or made here), staged, as several steps read them."""
+    return stage(build(*(found or C.candidates(edges)), edges, registry))
 
 
 def terms() -> dict[str, Column]:

@@ -5,11 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from loomgraph import config
 from loomgraph.functions import scalars as S
 from loomgraph.operators import candidates as C
 from loomgraph.operators import evaluate as E
 from loomgraph.operators import window as W
-from loomgraph.operators.stage import stage
+from loomgraph.operators.stage import once, stage
 from loomgraph.plans.registry import query
 from loomgraph.sources import readers as R
 
@@ -50,17 +51,28 @@ TO_SEEDS = (*TO_PAIRS, NBRS, DEG, TOUCHED, THROUGH, SEEDS)
 TO_CAND = (*TO_SEEDS, EXPAND, INNER.format(m="mem").replace("inr AS", "inr0 AS", 1), PRUNE, CAND, INNER.format(m="mem2"))
 
 
-def _pairs(spark: SparkSession, d: str) -> DataFrame:
-    return W.pairs(W.live(W.islands(R.edges(spark, d))))
+def _pairs(spark: SparkSession, d: str, width: int = config.WINDOW) -> DataFrame:
+    return W.pairs(W.live(W.islands(R.edges(spark, d), width), width))
 
 
-def _member(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    p = stage(_pairs(spark, d))
-    return stage(C.expand(stage(C.seeds(R.edges(spark, d), p)), stage(W.neighbours(p)))), p
+def _traced(spark: SparkSession, d: str, width: int = config.WINDOW) -> tuple[DataFrame, DataFrame]:
+    """Traced expansions of the window's seeds, and its pairs; staged once for all queries over the same files."""
 
+    def make() -> tuple[DataFrame, DataFrame]:
+        p = stage(_pairs(spark, d, width))
+        return stage(C.expand_traced(stage(C.seeds(R.edges(spark, d), p)), stage(W.neighbours(p)))), p
 
-def _inner(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
-    return C.candidates(R.edges(spark, d))
+    return once(spark, f"{d}/events.parquet", f"expansions-{width}", make)
+
+
+def _member(spark: SparkSession, d: str, width: int = config.WINDOW) -> tuple[DataFrame, DataFrame]:
+    traced, p = _traced(spark, d, width)
+    return C.members(traced), p
+
+
+def _inner(spark: SparkSession, d: str, width: int = config.WINDOW) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """The window's candidates, members, inner edges and pairs; staged once for all queries over the same files."""
+    return once(spark, f"{d}/events.parquet", f"candidates-{width}", lambda: C.from_members(*_member(spark, d, width)))
 
 
 @query("src_edges", ctes(EDGES) + "SELECT seq, src, dst, t, round(amount, 2) AS amount, channel, label FROM edges")
@@ -230,10 +242,52 @@ def _(spark, d):
     return C.overlaps(_inner(spark, d)[0]).select("now", "key", "key_b", "shared")
 
 
-@query("gn_suppress")
+def greedy(order: str, score: str = "CAST(size AS DOUBLE)") -> str:
+    """SQL of greedy suppression, one candidate of each cycle a step; goes after TO_CAND in a recursive WITH."""
+    return f"""od AS (SELECT now, key, {score} AS score, row_number() OVER (PARTITION BY now ORDER BY {order}) AS r FROM cand),
+ mk AS (SELECT c.now, c.key, c.size, m.node FROM cand c JOIN mem2 m USING (now, seed)),
+ lk AS (SELECT a.now, a.key, b.key AS key_b FROM mk a JOIN mk b ON a.now = b.now AND a.node = b.node AND a.key <> b.key GROUP BY a.now, a.key, b.key, a.size, b.size HAVING count(*) >= 0.5 * (a.size + b.size - count(*))),
+ bl AS (SELECT y.now, y.r, list(x.r ORDER BY x.r) AS better FROM lk JOIN od x USING (now, key) JOIN od y ON y.now = lk.now AND y.key = key_b WHERE x.r < y.r GROUP BY y.now, y.r),
+ nn AS (SELECT now, count(*) AS n FROM od GROUP BY now),
+ walk AS (SELECT now, 0::BIGINT AS r, []::BIGINT[] AS kept FROM nn UNION ALL SELECT w.now, w.r + 1, CASE WHEN list_has_any(kept, coalesce(better, []::BIGINT[])) THEN kept ELSE list_append(kept, w.r + 1) END FROM walk w JOIN nn ON nn.now = w.now AND w.r < n LEFT JOIN bl ON bl.now = w.now AND bl.r = w.r + 1),
+ fin AS (SELECT now, kept FROM walk JOIN nn USING (now) WHERE r = n), took AS (SELECT b.now, list_min(list_intersect(better, kept)) AS r, count(*) AS absorbed FROM bl b JOIN fin USING (now) WHERE NOT list_contains(kept, b.r) GROUP BY 1, 2)
+SELECT o.now, o.key, o.score, coalesce(absorbed, 0) AS absorbed FROM od o JOIN fin ON fin.now = o.now AND list_contains(kept, o.r) LEFT JOIN took t ON t.now = o.now AND t.r = o.r"""
+
+
+def _by_size(spark: SparkSession, d: str) -> DataFrame:
+    return _inner(spark, d)[0].withColumn("score", F.col("size").cast("double"))
+
+
+@query("gn_suppress", "WITH RECURSIVE " + ",\n".join([*TO_CAND, greedy("size DESC, key")]))
 def _(spark, d):
-    cand = _inner(spark, d)[0]
-    return C.suppress(cand.withColumn("score", F.col("size").cast("double")))
+    return C.suppress(_by_size(spark, d))
+
+
+@query("gn_suppress_score", "WITH RECURSIVE " + ",\n".join([*TO_CAND, FLOW, "sc AS (SELECT c.*, round(CASE WHEN greatest(ext_in, ext_out) > 0 THEN least(ext_in, ext_out) / greatest(ext_in, ext_out) ELSE 0 END, 4) AS conservation FROM cand c JOIN flow USING (now, seed))", greedy("conservation DESC, key", "conservation").replace("FROM cand)", "FROM sc)", 1)]))
+def _(spark, d):
+    cand, m, inner, p = _inner(spark, d)
+    flow = C.boundary_flow(m, inner, W.node_totals(p)).select("now", "seed", F.round("conservation", 4).alias("conservation"))
+    return C.suppress(cand.join(flow, ["now", "seed"]), by="conservation")
+
+
+@query("gn_suppress_largest", "WITH RECURSIVE " + ",\n".join([*TO_CAND, greedy("size DESC, key")]))
+def _(spark, d):
+    return C.suppress(_by_size(spark, d), order="largest")
+
+
+@query("gn_suppress_smallest", "WITH RECURSIVE " + ",\n".join([*TO_CAND, greedy("size, key")]))
+def _(spark, d):
+    return C.suppress(_by_size(spark, d), order="smallest")
+
+
+@query("gn_suppress_key", "WITH RECURSIVE " + ",\n".join([*TO_CAND, greedy("key")]))
+def _(spark, d):
+    return C.suppress(_by_size(spark, d), order="key")
+
+
+@query("gn_absorbed", "WITH RECURSIVE " + ",\n".join([*TO_CAND, greedy("size DESC, key").split("SELECT o.now")[0]]) + "SELECT b.now, k.key, x.key AS lost_key, c.seed AS lost_seed FROM bl b JOIN fin USING (now) JOIN od x ON x.now = b.now AND x.r = b.r JOIN od k ON k.now = b.now AND k.r = list_min(list_intersect(better, kept)) JOIN cand c ON c.now = x.now AND c.key = x.key WHERE NOT list_contains(kept, b.r)")
+def _(spark, d):
+    return C.absorptions(_by_size(spark, d)).select("now", "key", "lost_key", "lost_seed")
 
 
 RINGS = """rl AS (SELECT l.now, l.src % 20 AS ring, l.src, l.dst FROM live l WHERE label = 1), rm AS (SELECT now, ring, src AS node FROM rl UNION SELECT now, ring, dst FROM rl),
@@ -241,8 +295,8 @@ RINGS = """rl AS (SELECT l.now, l.src % 20 AS ring, l.src, l.dst FROM live l WHE
 HITS = "hit AS (SELECT c.now, c.key, a.ring, count(*) AS shared FROM cand c JOIN mem2 m USING (now, seed) JOIN act a ON a.now = c.now AND a.node = m.node GROUP BY c.now, c.key, c.size, a.ring, a.ring_size HAVING count(*) * 1.0 / a.ring_size >= 0.5 AND count(*) * 1.0 / (c.size + a.ring_size - count(*)) >= 0.3)"
 
 
-def _active(spark: SparkSession, d: str) -> DataFrame:
-    return E.active_rings(W.live(R.rings(spark, d)))
+def _active(spark: SparkSession, d: str, width: int = config.WINDOW) -> DataFrame:
+    return E.active_rings(W.live(R.rings(spark, d), width))
 
 
 @query("ag_active_rings", ctes(EDGES, CYCLES, ISLANDS, LIVE, RINGS) + "SELECT now, ring, node, ring_size FROM act")

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from loomgraph import config
 from loomgraph.operators import candidates as C
 from loomgraph.operators import features as X
-from loomgraph.operators.stage import stage
+from loomgraph.operators.stage import once, stage
 from loomgraph.plans.core import FLOW, LAYERS, TO_CAND, _inner
 from loomgraph.plans.graph import CYCLE_WALK, recursive
 from loomgraph.plans.registry import query
@@ -42,12 +42,13 @@ MEMBER = ("fast_passthrough_ratio", "median_passthrough_value", "median_dormancy
 
 
 def built(spark: SparkSession, d: str) -> DataFrame:
-    return X.built(R.edges(spark, d), R.registry(spark, d))
+    """Every candidate's features, staged once for all queries over the same files."""
+    return once(spark, f"{d}/events.parquet", "features", lambda: X.built(R.edges(spark, d), R.registry(spark, d), _inner(spark, d)))
 
 
 def scored(spark: SparkSession, d: str) -> DataFrame:
     """All candidates with at least two inner edges, their contributions and score."""
-    f = X.scored(R.edges(spark, d), R.registry(spark, d))
+    f = X.with_score(built(spark, d))
     return f.select("now", "key", "seed", "size", "n_edges", "max_out", "max_in", "sg", F.round("conservation", 6).alias("conservation"), X.typology().alias("typology"), "contrib", "score")
 
 

@@ -141,3 +141,82 @@ def test_numbers_are_gapless_in_order_whatever_the_partitions(spark, parts):
     in_order = [(r.a, r.b) for r in sorted(got, key=lambda r: r.n)]
     assert in_order == sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1]))
     assert numbered(spark.createDataFrame([], "a long, b long"), ["a"], "n").count() == 0
+
+
+@pytest.mark.parametrize("order", C.ORDERS)
+def test_suppression_in_rounds_equals_the_greedy_walk(spark, order):
+    import random
+
+    r, rows = random.Random(order), []
+    for now in range(12):
+        pool = [r.sample(range(14), r.randint(3, 8)) for _ in range(r.randint(1, 25))]
+        rows += [(now, ",".join(map(str, sorted(n))), sorted(n), float(r.randint(0, 4)), i) for i, n in enumerate({tuple(sorted(n)): n for n in pool}.values())]
+    rows += [(50, f"{i:03}", [i, i + 1, i + 2], -float(i), i) for i in range(40)]  # a long chain: each round settles a link
+    rank = {"score": lambda x: (-x[3], x[1]), "largest": lambda x: (-len(x[2]), x[1]), "smallest": lambda x: (len(x[2]), x[1]), "key": lambda x: x[1]}[order]
+    expected = {}
+    for now in {x[0] for x in rows}:
+        kept = []
+        for x in sorted((x for x in rows if x[0] == now), key=rank):
+            hit = next((k for k in kept if 2 * len(set(k[2]) & set(x[2])) >= len(set(k[2]) | set(x[2]))), None)
+            if hit is None:
+                kept.append(x)
+            key = (now, (hit or x)[1])
+            expected[key] = expected.get(key, -1) + 1
+    cand = spark.createDataFrame(rows, "now long, key string, nodes array<long>, score double, seed long")
+    got = {(x.now, x.key): x.absorbed for x in C.suppress(cand, order=order).collect()}
+    assert got == expected
+    assert C.absorptions(cand, order=order).count() == sum(expected.values())
+
+
+def test_an_unknown_order_is_refused(spark):
+    with pytest.raises(ValueError, match="unknown order"):
+        C.suppress(spark.createDataFrame([], "now long, key string, nodes array<long>, score double"), order="whatever")
+
+
+def plain_trace(links, seed, hops, degree, cap):
+    """One expansion, walked node by node."""
+    near = {}
+    for a, b in links:
+        near.setdefault(a, set()).add(b)
+        near.setdefault(b, set()).add(a)
+    deg = lambda n: len(near.get(n, ()))
+    seen, front, done, blocked, cut, out, full = {seed}, {seed}, 0, 0, False, False, False
+    for _ in range(hops):
+        blocked += sum(deg(n) > degree for n in front)
+        found = set().union(*[near.get(n, set()) for n in front if deg(n) <= degree]) - seen
+        if not found:
+            out = True
+            break
+        if len(seen) >= cap:
+            full = True
+            break
+        front = set(sorted(found, key=lambda n: (deg(n), n))[: cap - len(seen)])
+        cut |= len(front) < len(found)
+        seen |= front
+        done += 1
+    return sorted(seen), done, blocked, cut, out, full
+
+
+@pytest.mark.parametrize("hops, degree, cap", [(2, 3, 200), (3, 50, 6), (4, 5, 9), (2, 50, 1)])
+def test_traced_expansion_equals_a_walk(spark, hops, degree, cap):
+    import random
+
+    r = random.Random(hops)
+    links = {(a, b) for a, b in ((r.randint(0, 40), r.randint(0, 40)) for _ in range(60)) if a != b}
+    nbrs = spark.createDataFrame([(1, a, b) for a, b in {x for a, b in links for x in ((a, b), (b, a))}], "now long, node long, other long")
+    seeds = [*range(0, 41, 3), 99]  # 99 has no neighbour
+    got = C.expand_traced(spark.createDataFrame([(1, s) for s in seeds], "now long, seed long"), nbrs, hops, degree, cap).collect()
+    assert len(got) == len(seeds)
+    for x in got:
+        assert (sorted(n.node for n in x.nodes), x.hops_completed, x.hub_blocked, x.truncated, x.exhausted, x.hit_node_cap) == plain_trace(links, x.seed, hops, degree, cap)
+
+
+def test_staged_tables_follow_their_files(spark, tmp_path):
+    from loomgraph.operators.stage import once, stage
+
+    path = f"file://{tmp_path}/t"
+    count = lambda: once(spark, path, "n", lambda: stage(spark.read.parquet(path))).count()
+    spark.range(5).write.parquet(path)
+    assert (count(), count()) == (5, 5)
+    spark.range(9).write.mode("overwrite").parquet(path)
+    assert count() == 9
