@@ -459,13 +459,6 @@ def _(spark, d):
     return g.select(F.coalesce("channel", F.lit("TOTAL")).alias("typology"), "n", "n_src", "n_labelled")
 
 
-@query("st_tumbling", ctes(EDGES) + f"SELECT {TEND} AS tick_end, count(*) AS n, round(sum(amount), 2) AS amount FROM edges GROUP BY 1")
-def _(spark, d):
-    from loomgraph.streaming import replay
-
-    return replay.ticks(spark, d)
-
-
 LAYERS = """SELECT now, seed, ns AS n_s, nm AS n_m, nr AS n_r, round((sm + mr) / 2 - (sr + mm) / 7, 6) AS gargaml, round(CASE WHEN ns >= 2 AND nr >= 2 THEN sr ELSE 0 END, 6) AS bipartite, round(CASE WHEN ns > 0 AND nm > 0 AND nr > 0 THEN least(sm, mr) ELSE 0 END, 6) AS stack
  FROM (SELECT z.now, z.seed, ns, nm, nr, coalesce(esm * 1.0 / nullif(ns * nm, 0), 0) AS sm, coalesce(esr * 1.0 / nullif(ns * nr, 0), 0) AS sr, coalesce(emm * 1.0 / nullif(nm * (nm - 1), 0), 0) AS mm, coalesce(emr * 1.0 / nullif(nm * nr, 0), 0) AS mr
  FROM (SELECT now, seed, count(*) FILTER (l = 's') AS ns, count(*) FILTER (l = 'm') AS nm, count(*) FILTER (l = 'r') AS nr FROM lv GROUP BY ALL) z JOIN (SELECT e.now, e.seed, count(*) FILTER (a.l = 's' AND b.l = 'm') AS esm, count(*) FILTER (a.l = 's' AND b.l = 'r') AS esr, count(*) FILTER (a.l = 'm' AND b.l = 'm') AS emm, count(*) FILTER (a.l = 'm' AND b.l = 'r') AS emr FROM inr e JOIN lv a ON a.now = e.now AND a.seed = e.seed AND a.node = e.src JOIN lv b ON b.now = e.now AND b.seed = e.seed AND b.node = e.dst GROUP BY ALL) y USING (now, seed))"""
