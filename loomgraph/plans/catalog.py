@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from loomgraph.operators import candidates
-from loomgraph.plans import casework, core, evaluation, features, further, graph, streams, threeday  # noqa: F401  registers its queries
+from loomgraph.plans import casework, core, evaluation, features, further, graph, loading, streams, threeday  # noqa: F401  registers its queries
 from loomgraph.plans.registry import SPECS, Plan
 
 

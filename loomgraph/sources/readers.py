@@ -2,34 +2,41 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomgraph import config
 from loomgraph.functions import scalars as S
+from loomgraph.sources import patterns as blocks
+from loomgraph.sources.compile import line_order
 
 TRANSACTIONS = "ts_text string, src_bank string, src_account string, dst_bank string, dst_account string, amount_received string, currency string, amount_paid string, currency_src string, channel string, label string"
 
 
+def _transaction_lines(spark: SparkSession, path: str) -> DataFrame:
+    read = F.length(F.concat_ws("", "ts_text", F.lit(" "))) > 0  # always true; a query of the bad lines' column alone, as a count may be, is refused
+    return spark.read.schema(TRANSACTIONS + ", _bad string").option("header", True).option("enforceSchema", True).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_bad").option("columnPruning", False).csv(path).filter(read)
+
+
 def transactions(spark: SparkSession, path: str) -> DataFrame:
-    """The eleven-column CSV; lines of another width go nowhere (mode DROPMALFORMED), keys and types are made here."""
-    raw = spark.read.schema(TRANSACTIONS).option("header", True).option("enforceSchema", True).option("mode", "DROPMALFORMED").csv(path)
+    """The eleven-column CSV; keys and types are made here. Lines of another width are left out, ``bad_transactions`` has them."""
+    raw = _transaction_lines(spark, path).filter("_bad is null")
     return raw.select(F.to_timestamp("ts_text", "yyyy/MM/dd HH:mm").alias("ts"), S.account_key(F.col("src_bank"), F.col("src_account")).alias("src"), S.account_key(F.col("dst_bank"), F.col("dst_account")).alias("dst"), F.col("amount_received").cast("double").alias("amount"), S.amount_key(F.col("amount_received")).alias("amount_key"), "currency", "currency_src", "channel", F.col("label").cast("int").alias("label"))
 
 
+def bad_transactions(spark: SparkSession, path: str) -> DataFrame:
+    """Lines of a transactions CSV that ``transactions`` leaves out: line."""
+    return _transaction_lines(spark, path).filter("_bad is not null").select(F.col("_bad").alias("line"))
+
+
 def patterns(spark: SparkSession, path: str) -> DataFrame:
-    """Labelled blocks of a BEGIN/END text: ring, typology, row. Line order is kept by reading the (small) file as one."""
-    text = spark.read.text(path, wholetext=True).select(F.posexplode(F.split("value", "\r?\n")).alias("line", "value"))
-    begin = F.regexp_extract("value", r"^BEGIN LAUNDERING ATTEMPT - ([A-Z-]+)", 1)
-    at = Window.partitionBy(F.lit(0)).orderBy("line")
-    marked = text.withColumn("ring", F.sum((begin != "").cast("int")).over(at)).withColumn("closed", F.sum(F.col("value").startswith("END ").cast("int")).over(at))
-    rows = marked.withColumn("typology", F.last(F.when(begin != "", begin), True).over(at)).filter("ring = closed + 1 and value <> '' and not startswith(value, 'BEGIN') and not startswith(value, 'END')")
-    return rows.withColumn("f", F.split("value", ",")).filter(F.size("f") == 11).select((F.col("ring") - 1).alias("ring"), "typology", S.account_key(F.col("f")[1], F.col("f")[2]).alias("src"), S.account_key(F.col("f")[3], F.col("f")[4]).alias("dst"), F.to_timestamp(F.col("f")[0], "yyyy/MM/dd HH:mm").alias("ts"), S.amount_key(F.col("f")[5]).alias("amount_key"), F.col("f")[6].alias("currency"))
+    """Labelled edges of a BEGIN/END text: ring, typology, src, dst, ts, amount_key, currency."""
+    return blocks.rings(blocks.read_lines(spark, path)).select("ring", "typology", "src", "dst", "ts", "amount_key", "currency")
 
 
 def accounts(spark: SparkSession, path: str) -> DataFrame:
-    """Accounts of a CSV; the first row of a key counts, blank ids don't."""
-    raw = spark.read.schema("bank_name string, bank string, account string, entity_id string, entity_name string").option("header", True).csv(path).withColumn("line", F.monotonically_increasing_id())
+    """Accounts of a CSV; a key's first row in the files counts, blank ids don't."""
+    raw = spark.read.schema("bank_name string, bank string, account string, entity_id string, entity_name string").option("header", True).csv(path).withColumn("line", line_order())
     keyed = raw.filter(F.trim("account") != "").withColumn("key", S.account_key(F.col("bank"), F.col("account")))
     first = keyed.groupBy("key").agg(F.min_by(F.struct("bank_name", "entity_id", "entity_name"), "line").alias("r"))
     return first.select("key", S.country(F.col("r.bank_name")).alias("country"), "r.entity_id", S.entity_type(F.col("r.entity_name")).alias("entity_type"))
