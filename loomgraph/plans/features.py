@@ -90,11 +90,6 @@ def _(spark, d):
     return built(spark, d).select("now", "key", F.array_join(F.array(*[F.col(c).cast("long") for c in columns]).cast("array<string>"), " ").alias("vector"))
 
 
-@query("hp_terms_matrix")
-def _(spark, d):
-    return built(spark, d).select("now", "key", *[F.round(v.cast("double"), 6).alias(k) for k, v in X.terms().items()])
-
-
 @query("wn_topk_per_cycle", recursive(*TO_SCORE) + "SELECT now, key, CAST(row_number() OVER (PARTITION BY now ORDER BY round(score, 4) DESC, key) AS INT) AS rank FROM scored QUALIFY rank <= 10")
 def _(spark, d):
     return C.top_k(scored(spark, d).withColumn("score", F.round("score", 4)), 10).select("now", "key", "rank")
