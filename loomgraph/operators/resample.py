@@ -68,3 +68,14 @@ def cluster_bootstrap(rows: DataFrame, clusters: list[str], hits: str, n: str, r
     found = stage(found)
     whole = found.unionByName(found.agg(F.lit("all").alias("clustering"), F.min("low").alias("low"), F.max("high").alias("high"), F.min("n_clusters").alias("n_clusters")))
     return whole.crossJoin(F.broadcast(point)).select("clustering", "point", "low", "high", "n_clusters")
+
+
+def unit_sums(rows: DataFrame, unit: str, by: list[str], columns: list[str], resamples: int = 2000, seed: int = 7) -> DataFrame:
+    """Sums of ``columns`` per group of ``by`` over each resample of whole units, drawn with replacement: r, by, columns. r = -1 has every unit once."""
+    per = rows.groupBy(F.col(unit).alias("_u"), *by).agg(*[F.sum(c).alias(c) for c in columns])
+    units = stage(numbered(per.select("_u").distinct(), ["_u"], "i"))
+    total = units.agg(F.count("*").alias("k"))
+    draws = rows.sparkSession.range(resamples).withColumnRenamed("id", "r").crossJoin(F.broadcast(total)).filter("k > 0")  # one row
+    drawn = draws.select("r", "k", F.explode(F.sequence(F.lit(0).cast("long"), F.col("k") - 1)).alias("j")).select("r", (_draw(F.col("r"), F.col("j"), seed) % F.col("k")).alias("i")).join(units, "i").select("r", "_u")
+    every = drawn.union(units.select(F.lit(-1).cast("long"), "_u"))
+    return every.join(per, "_u").groupBy("r", *by).agg(*[F.sum(c).alias(c) for c in columns])
