@@ -12,6 +12,8 @@ import re
 from collections.abc import Sequence
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 END_ID = 1
 
@@ -49,9 +51,10 @@ class WordEncoder:
 
     MARK = b"\x01"  # a word of its own between new words; words that hold it are encoded alone
     END = "</w>"  # ends the last token of a run of letters
-    TOGETHER = 1_000_000  # bytes of texts that are looked up before their new words are learned
+    TOGETHER = 4_000_000  # bytes of texts that are looked up before their new words are learned
     LETTERS = b"abcdefghijklmnopqrstuvwxyz"
     SMALL = re.compile(rb"(?:\xc3[\x9f-\xb6\xb8-\xbf])*")  # lower-case letters of U+00DF to U+00FF
+    MARKS = ".,;:!?"
 
     def __init__(self, vocabulary: str, words: int = 400_000) -> None:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -60,6 +63,7 @@ class WordEncoder:
         self._tokenizer = Tokenizer.from_file(vocabulary)
         self._literals = [t.content.encode() for t in self._tokenizer.get_added_tokens_decoder().values()]
         self._known, self._words = _Known(), words
+        self._known[b""] = b""  # before white space at a text's start and behind that at its end
         mark = self._ids([self.MARK.decode()])[0]
         self._mark = mark[0] if len(mark) == 1 else None
         self._folds = self._ids(["QX"]) == self._ids(["qx"])
@@ -73,7 +77,7 @@ class WordEncoder:
         if self._plain.encode(" ".join(tried), add_special_tokens=False).ids != self._ids([" ".join(tried)])[0]:
             self._plain = None
         # marks that may follow a word of letters as a token of their own
-        self._tails = {c.encode(): np.array(x[1:], "<u4").tobytes() for c in ".,;:!?" for x in self._ids(["q" + c]) if [x[:1], x[1:]] == self._ids(["q", c])}
+        self._tails = {} if self._plain is None else {c.encode(): np.array(x[1:], "<u4").tobytes() for c in self.MARKS for x in self._ids(["q" + c]) if [x[:1], x[1:]] == self._ids(["q", c])}
 
     def _ids(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self._tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
@@ -140,22 +144,45 @@ class WordEncoder:
         rest.difference_update(alone)
         self._alone(alone + self._joined(list(rest), b" \x01 ", self._mark_ends, self._tokenizer))
 
-    def _words_of(self, text: bytes) -> list[bytes]:
-        # bytes.split() parts at ASCII white space only; combining marks are 0xCC and 0xCD and a byte more
-        return (text.lower() if self._folds and b"\xcc" not in text and b"\xcd" not in text else text).split()
+    def _folded(self, text: bytes) -> bytes:
+        # combining marks are 0xCC and 0xCD and a byte more
+        return text.lower() if self._folds and b"\xcc" not in text and b"\xcd" not in text else text
 
-    def _together(self, texts: list[bytes]) -> list[bytes]:
-        known = self._known
-        get = known.__getitem__
-        split = list(map(self._words_of, texts))
-        got = [list(map(get, words)) for words in split]
+    def _looked_up(self, words: pa.Array) -> pa.Array:
+        """The ids of distinct words, as an array of bytes; those not known are learned first."""
+        known, asked = self._known, words.view(pa.large_binary()).to_pylist()
+        ids = list(map(known.__getitem__, asked))
         if known.new:
             known.new, new = [], known.new
             self._learn(new)
-            for words, ids in zip(split, got, strict=True):
-                for i in [i for i, x in enumerate(ids) if x is None]:
-                    ids[i] = known[words[i]]
-        return list(map(b"".join, got))
+            for i in [i for i, x in enumerate(ids) if x is None]:
+                ids[i] = known[asked[i]]
+        return pa.array(ids, pa.large_binary())
+
+    def _ids_of(self, words: pa.Array) -> pa.Array:
+        """The ids of distinct words: a mark behind a word of letters is taken off before the look-up and its token put behind the word's."""
+        if not self._tails:
+            return self._looked_up(words)
+        marks = b"".join(self._tails).decode()
+        ended = pc.match_substring_regex(words, f"^[a-z\u00df-\u00f6\u00f8-\u00ff]+[{marks}]$")
+        roots = pc.if_else(ended, pc.utf8_rtrim(words, characters=marks), words).dictionary_encode()
+        ids = self._looked_up(roots.dictionary).take(roots.indices)
+        last = pc.if_else(ended, pc.utf8_slice_codeunits(words, -1), "")
+        tails = pa.array([*self._tails.values(), b""], pa.large_binary()).take(pc.index_in(last, pa.array([*marks, ""], pa.large_string())))
+        return pc.binary_join_element_wise(ids, tails, pa.scalar(b"", pa.large_binary()))
+
+    def _together(self, texts: list[bytes]) -> list[bytes]:
+        """Each text's ids. Arrow parts the texts at ASCII white space, numbers their distinct words, and puts the words' ids
+        in the order of the texts; only distinct words are looked up."""
+        lists = pc.ascii_split_whitespace(pa.array(list(map(self._folded, texts)), pa.large_binary()).view(pa.large_string()))
+        coded = lists.values.dictionary_encode()
+        whole = self._ids_of(coded.dictionary).take(coded.indices)
+        if not len(whole):
+            return [b""] * len(texts)
+        _, ends, data = whole.buffers()
+        at = np.frombuffer(ends, np.int64)[lists.offsets.to_numpy()].tolist()
+        held = memoryview(data)
+        return [held[a:b].tobytes() for a, b in zip(at, at[1:])]
 
     def encode(self, texts: Sequence[bytes | None]) -> list[bytes]:
         out = [b""] * len(texts)
@@ -180,6 +207,7 @@ class WordEncoder:
         if len(self._known) > self._words:
             fresh = _Known()
             fresh.old, self._known = dict(self._known), fresh
+            fresh[b""] = b""
         for i, ids in zip(at, self._together(texts), strict=True):
             out[i] = ids
 
