@@ -73,6 +73,40 @@ def retention_until(opened: Column, purpose: Column) -> Column:
     return F.date_add(opened, days)
 
 
+#: Who may read what is kept for a purpose.
+SCOPES = {"regulatory_reporting": ("compliance", "fiu_ind_liaison"), "fraud_investigation": ("fraud_ops", "compliance"), "model_training": ("ml_engineering",)}
+
+
+def is_expired(opened: Column, purpose: Column, today: Column) -> Column:
+    """Whether the time to keep is over; null for an unknown purpose."""
+    return today >= retention_until(opened, purpose)
+
+
+def can_access(purpose: Column, role: Column) -> Column:
+    allowed = F.lit(False)
+    for k, roles in SCOPES.items():
+        allowed = F.when(purpose == k, role.isin(*roles)).otherwise(allowed)
+    return F.coalesce(allowed, F.lit(False))
+
+
+#: The coded reasons of each verdict.
+REASONS = {
+    "confirmed_ring": ("layering", "mule_network", "structuring", "circular_flow", "bust_out"),
+    "confirmed_partial": ("subset_confirmed", "boundary_unclear"),
+    "not_a_ring": ("coincidental_structure", "single_actor", "insufficient_linkage"),
+    "benign_explained": ("shared_corporate_owner", "payroll_hub", "marketplace_settlement", "family_accounts", "known_customer"),
+    "insufficient_evidence": ("needs_kyc", "needs_more_time", "escalated"),
+}
+
+
+def reason_fits(verdict: Column, reason: Column) -> Column:
+    """Whether ``reason`` is one of the coded reasons of ``verdict``."""
+    fits = F.lit(False)
+    for k, reasons in REASONS.items():
+        fits = F.when(verdict == k, reason.isin(*reasons)).otherwise(fits)
+    return F.coalesce(fits, F.lit(False))
+
+
 def sentences(text: Column) -> Column:
     return F.filter(F.transform(F.split(text, r"(?<=[.!?])\s+|\n+"), lambda s: F.trim(s)), lambda s: s != "")
 

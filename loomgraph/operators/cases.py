@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomgraph.functions import scalars as S
+from loomgraph.operators.resample import _draw, unit_sums
 
 CONTROL = 0.10  # share of a queue drawn at random
 POSITIVE = ("confirmed_ring", "confirmed_partial")
@@ -90,6 +91,73 @@ def proposed_weights(rates: DataFrame, weights: DataFrame) -> DataFrame:
     return j.select("term", "weight", new.alias("raw"), F.when(enough, "moved").otherwise("too_few_observations").alias("status")).withColumn("new_weight", F.col("raw") / F.sum("raw").over(Window.partitionBy())).drop("raw")
 
 
+def lift_intervals(cases: DataFrame, groups: int = 200, resamples: int = 500, seed: int = 7, level: float = 0.95) -> DataFrame:
+    """Per term the lift and its percentile interval by resampling cases: term, lift, low, high.
+
+    Cases are dealt at random into at most ``groups`` groups, which are what is drawn; so a resample costs the same for any number of cases. A lift over an arm that
+    was never confirmed counts as ten, or as one if neither was.
+    """
+    decided = cases.filter(~F.col("verdict").isin("pending", "insufficient_evidence"))
+    w = F.when(F.col("lane") == "control", 1 / CONTROL).otherwise(1.0)
+    group = _draw(F.col("case_id"), F.lit(0), seed) % groups
+    x = decided.select(group.alias("g"), w.alias("w"), F.col("verdict").isin(*POSITIVE).cast("double").alias("y"), F.explode("contrib").alias("term", "v"))
+    cell = lambda c, fired: F.when(F.col("v") > 0 if fired else F.col("v") <= 0, c).otherwise(0.0)
+    rows = x.select("g", "term", *[cell(c, f).alias(n) for n, c, f in (("fn", F.col("w"), True), ("fp", F.col("w") * F.col("y"), True), ("nn", F.col("w"), False), ("np", F.col("w") * F.col("y"), False))])
+    sums = unit_sums(rows, "g", ["term"], ["fn", "fp", "nn", "np"], resamples, seed)
+    rate = lambda a, n: F.when(F.col(n) > 0, F.col(a) / F.col(n)).otherwise(0.0)
+    a, b = rate("fp", "fn"), rate("np", "nn")
+    lift = sums.select("r", "term", F.when(b > 0, a / b).when(a > 0, 10.0).otherwise(1.0).alias("v"))
+    v = F.sort_array(F.collect_list(F.when(F.col("r") >= 0, F.col("v"))))  # ``resamples`` numbers
+    low, high = int((1 - level) / 2 * resamples + 1e-9), min(int((1 + level) / 2 * resamples + 1e-9), resamples - 1)
+    return lift.groupBy("term").agg(F.max(F.when(F.col("r") < 0, F.col("v"))).alias("lift"), v[low].alias("low"), v[high].alias("high"))
+
+
+def calibrated(rates: DataFrame, intervals: DataFrame, weights: DataFrame) -> DataFrame:
+    """New weights with the reason for each term: term, weight, status, low, high, new_weight.
+
+    A term moves only if both its arms have enough cases and the interval of its lift leaves out one: a quarter of the way to its weight times the lift (five at
+    most), which stays within zero and one. All are scaled to a sum of one, to equal parts if that is zero.
+    """
+    j = weights.join(rates.select("term", "raw_fired", "raw_not_fired"), "term", "left").join(intervals, "term", "left")
+    enough = (F.coalesce("raw_fired", F.lit(0)) >= MIN_ARM) & (F.coalesce("raw_not_fired", F.lit(0)) >= MIN_ARM)
+    known = F.col("raw_fired").isNotNull()
+    status = F.when(~known, "not_a_scored_term").when(~enough, "too_few_observations").when((F.col("low") <= 1) & (F.col("high") >= 1), "ci_includes_one").otherwise("moved")
+    target = F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.col("weight") * F.least("lift", F.lit(MOST_LIFT))))
+    j = j.withColumn("status", status).withColumn("_new", F.when(F.col("status") == "moved", F.col("weight") + RATE * (target - F.col("weight"))).otherwise(F.col("weight")))
+    total, n = F.sum("_new").over(Window.partitionBy()), F.count("*").over(Window.partitionBy())  # a row per term
+    gate = lambda c: F.when(F.col("status").isin("moved", "ci_includes_one"), F.col(c)).alias(c)
+    return j.select("term", "weight", "status", gate("low"), gate("high"), F.when(total > 0, F.col("_new") / total).otherwise(1 / n).alias("new_weight"))
+
+
+def training_rows(cases: DataFrame) -> DataFrame:
+    """Resolved cases with their label and the features as they were stored (map ``features``): what the ranker learns from."""
+    resolved = cases.filter(F.col("verdict") != "pending")
+    return resolved.select("case_id", "lane", F.col("verdict").isin(*POSITIVE).cast("int").alias("label"), "verdict", F.transform_keys("features", lambda k, _: F.concat(F.lit("f_"), k)).alias("features"))
+
+
+def console_stats(cases: DataFrame) -> DataFrame:
+    """One row over cases (verdict, size, seconds): n, pending, labelled, accounts of confirmed ones per decision, and the median of seconds taken (of an even number the later)."""
+    done = F.col("verdict") != "pending"
+    took = F.when(done & (F.col("seconds") > 0), F.col("seconds"))
+    accounts = F.sum(F.when(F.col("verdict").isin(*POSITIVE), F.col("size")).otherwise(0))
+    n = F.count(F.when(done, 1))
+    g = cases.agg(F.count("*").alias("n"), F.count(F.when(~done, 1)).alias("pending"), n.alias("labelled"), F.when(n > 0, F.round(accounts / n, 2)).otherwise(0.0).alias("accounts_per_decision"), (-F.percentile_approx(-took, 0.5, 1_000_000)).alias("median_seconds"))
+    return g
+
+
+OUTCOMES = ("llm_filed", "llm_rejected_uncited", "llm_rejected_unverifiable", "llm_unavailable")
+
+
+def draft_ledger(events: DataFrame) -> DataFrame:
+    """Counts of drafting outcomes, drafts attempted, rejected, and the share rejected, null without an attempt. An unknown outcome is refused."""
+    n = {o: F.count(F.when(F.col("outcome") == o, 1)) for o in OUTCOMES}
+    known = events.withColumn("outcome", F.when(F.col("outcome").isin(*OUTCOMES), F.col("outcome")).otherwise(F.raise_error(F.concat(F.lit("unknown drafting outcome: "), F.coalesce("outcome", F.lit("null"))))))
+    g = known.agg(*[v.alias(o) for o, v in n.items()])
+    rejected = F.col("llm_rejected_uncited") + F.col("llm_rejected_unverifiable")
+    attempted = F.col("llm_filed") + rejected
+    return g.select(*OUTCOMES, attempted.alias("attempted"), rejected.alias("rejected"), F.when(attempted > 0, rejected / attempted).alias("rejection_rate"))
+
+
 def recommendations(events: DataFrame) -> DataFrame:
     """State of each recommendation out of its events (rec_id, at, event, evidence, rationale, by, approved): decided once, executed only if approved; what breaks a rule is refused and counted."""
     first = lambda name: F.min(F.when(F.col("event") == name, F.struct("at", "approved", "by")))

@@ -49,3 +49,31 @@ def best_k(rates: DataFrame, model: CostModel | None = None) -> DataFrame:
     net = F.col("k") * (p * m.value_at_risk * m.recovery_rate - (1 - p) * m.harm_per_false_positive - m.review_cost)
     t = rates.select("k", net.alias("net"))
     return t.agg(F.max_by(F.when(F.col("net") > 0, F.col("k")), "net").alias("k"), F.round(F.max("net"), 2).alias("net"))
+
+
+def by_group(rows: DataFrame, model: CostModel | None = None, factors: tuple[float, ...] = (1.0,)) -> DataFrame:
+    """Costs per group out of its own figures (group, p, value): each input of the model scaled by each factor in turn.
+
+    group, input, factor, break_even (the precision from which reviewing pays), net (of a case), required_value. ``value`` takes the place of the model's value at risk; a rate
+    scaled beyond one stays at one.
+    """
+    m = model or CostModel()
+    names = [f.name for f in fields(m)]
+    every = F.explode(F.array(*[F.struct(F.lit(n).alias("input"), F.lit(float(k)).alias("factor")) for n in names for k in factors]))
+    x = rows.select("group", "p", "value", every.alias("_f")).select("group", "p", "value", "_f.*")
+    of = {n: (F.col("value") if n == "value_at_risk" else F.lit(getattr(m, n))) * F.when(F.col("input") == n, F.col("factor")).otherwise(1.0) for n in names}
+    rate = F.least(F.lit(1.0), of["recovery_rate"])
+    review, harm, won = of["minutes_per_case"] / 60 * of["cost_per_hour"], of["harm_per_false_positive"], of["value_at_risk"] * rate
+    p = F.col("p")
+    return x.select("group", "input", "factor", ((review + harm) / (won + harm)).alias("break_even"), (p * won - (1 - p) * harm - review).alias("net"), F.when(p > 0, (review + (1 - p) * harm) / (p * rate)).alias("required_value"))
+
+
+def best_k_by_group(ranked: DataFrame, ks: tuple[int, ...], value: float, model: CostModel | None = None) -> DataFrame:
+    """Per group of ranked cases (group, rank, hit) the queue length of the highest net benefit, null if none is positive: group, k, net."""
+    m = replace(model or CostModel(), value_at_risk=value)
+    k = F.explode(F.filter(F.array(*[F.lit(k) for k in ks]), lambda k: F.col("rank") <= k))
+    sums = ranked.select("group", "hit", k.alias("k")).groupBy("group", "k").agg(F.sum("hit").alias("h"), F.count("*").alias("n"))
+    net = F.col("h") * m.value_at_risk * m.recovery_rate - (F.col("n") - F.col("h")) * m.harm_per_false_positive - F.col("n") * m.review_cost
+    best = F.max(F.struct(net.alias("net"), (-F.col("k")).alias("_k")))
+    g = sums.groupBy("group").agg(best.alias("b"))
+    return g.select("group", F.when(F.col("b.net") > 0, -F.col("b._k")).alias("k"), F.col("b.net").alias("net"))

@@ -7,6 +7,9 @@ import random
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from loomgraph.operators.numbering import total_before
+from loomgraph.operators.stage import stage
+
 
 def active_rings(ring_edges: DataFrame) -> DataFrame:
     """Per (now, ring) of live labelled edges: its accounts, three at least."""
@@ -37,10 +40,6 @@ def precision_at(ranked: DataFrame, k: int) -> DataFrame:
     return s.select(F.lit(k).alias("k"), "hits", "n", F.round(F.col("hits") / F.col("n"), 6).alias("p"))
 
 
-def average_rank(by: str, *parts: str) -> Column:
-    return F.rank().over(Window.partitionBy(*parts).orderBy(by)) + (F.count("*").over(Window.partitionBy(*parts, by)) - 1) / 2
-
-
 def rank_auc(df: DataFrame, score: str, label: str, *parts: str) -> DataFrame:
     """Mann-Whitney with average ranks: per group pos, neg, auc. Ranks come from counts per value, not from a sort of all rows."""
     v = df.groupBy(*parts, score).agg(F.sum(label).alias("p"), F.count("*").alias("n"))
@@ -66,9 +65,17 @@ def expected_precision(df: DataFrame, score: str, label: str, k: int) -> DataFra
     return v.withColumn("prev", prev).agg(F.round(F.sum(take / F.col("n") * F.col("p")) / k, 6).alias("p"))
 
 
+def ranks_of_values(df: DataFrame, column: str) -> DataFrame:
+    """The average rank of each value of ``column`` over all rows: _v, _r. Rows are counted per value, and values put in order by ranges, so no task ranks all."""
+    n = df.filter(F.col(column).isNotNull()).groupBy(F.col(column).alias("_v")).agg(F.count("*").alias("_n"))
+    return total_before(stage(n), ["_v"], "_n", "_before").select("_v", (F.col("_before") + (F.col("_n") + 1) / 2).alias("_r"))
+
+
 def spearman(df: DataFrame, x: str, y: str) -> DataFrame:
-    r = df.withColumn("rx", average_rank(x, *())).withColumn("ry", average_rank(y, *()))
-    return r.agg(F.round(F.corr("rx", "ry"), 6).alias("rho"), F.count("*").alias("n"))
+    """Correlation of average ranks over rows that have both: rho, n."""
+    both = df.filter(F.col(x).isNotNull() & F.col(y).isNotNull()).select(F.col(x).alias("_x"), F.col(y).alias("_y"))
+    j = both.join(ranks_of_values(both, "_x").toDF("_x", "rx"), "_x").join(ranks_of_values(both, "_y").toDF("_y", "ry"), "_y")
+    return j.agg(F.round(F.corr("rx", "ry"), 6).alias("rho"), F.count("*").alias("n"))
 
 
 def bootstrap(rows: list[dict], statistic, resamples: int = 2000, alpha: float = 0.05, seed: int = 7) -> tuple[float, float, float]:

@@ -26,3 +26,17 @@ def numbered(df: DataFrame, order: list[Column | str], name: str, start: int = 0
     place = F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))
     joined = rows.withColumn("_range", part).join(F.broadcast(base), "_range")
     return joined.select(*[F.col(f"`{c}`") for c in df.columns], (F.col("_base") + place + start).alias(name))
+
+
+def total_before(df: DataFrame, order: list[Column | str], value: str, name: str) -> DataFrame:
+    """``df`` with the sum ``name`` of ``value`` over all rows before a row in the order of the columns ``order``, in which no two rows are alike.
+
+    Ranges are summed up first; a running sum goes over one range's rows only.
+    """
+    rows = stage(df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_at", F.monotonically_increasing_id()))
+    rows = rows.withColumn("_range", F.shiftright("_at", 33))
+    ranges = rows.groupBy("_range").agg(F.sum(value).alias("_v"))
+    upto = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    base = ranges.select("_range", F.coalesce(F.sum("_v").over(upto), F.lit(0)).alias("_base"))  # a row per range
+    own = F.coalesce(F.sum(value).over(Window.partitionBy("_range").orderBy("_at").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return rows.join(F.broadcast(base), "_range").select(*[F.col(f"`{c}`") for c in df.columns], (F.col("_base") + own).alias(name))

@@ -6,7 +6,6 @@ from pyspark.sql import functions as F
 
 from loomgraph import config
 from loomgraph.operators import cases as K
-from loomgraph.operators import economics
 from loomgraph.operators import identity as I
 from loomgraph.operators.stage import stage
 from loomgraph.plans.core import APPS, TO_CAND, _inner, ctes
@@ -106,13 +105,6 @@ def _(spark, d):
     return r.select("term", *[F.round(c, 6).alias(c) for c in ("rate_fired", "rate_not_fired", "lift", "prevalence")])
 
 
-@query("ml_calibrate", ctes(VERDICTS) + """, wt AS (SELECT unnest(['conservation', 'cycle', 'burstiness', 'stack']) AS term, unnest([0.5, 0.3, 0.1, 0.1])::DOUBLE AS weight), nw AS (SELECT term, weight, CASE WHEN raw_fired >= 20 AND raw_not_fired >= 20 THEN 'moved' ELSE 'too_few_observations' END AS status, CASE WHEN raw_fired >= 20 AND raw_not_fired >= 20 THEN weight + 0.25 * (weight * least(lift, 5) - weight) ELSE weight END AS raw FROM wt LEFT JOIN tr USING (term))
- SELECT term, weight, status, round(raw / sum(raw) OVER (), 6) AS new_weight FROM nw""")
-def _(spark, d):
-    w = spark.createDataFrame([("conservation", 0.5), ("cycle", 0.3), ("burstiness", 0.1), ("stack", 0.1)], "term string, weight double")
-    return K.proposed_weights(K.term_rates(K.term_evidence(_cases(spark, d))), w).withColumn("new_weight", F.round("new_weight", 6))
-
-
 @query("ag_store_stats", ctes(VERDICTS) + "SELECT lane, verdict, count(*) AS n FROM ver GROUP BY lane, verdict")
 def _(spark, d):
     return _cases(spark, d).groupBy("lane", "verdict").agg(F.count("*").alias("n"))
@@ -128,14 +120,3 @@ def _(spark, d):
 def _(spark, d):
     o = spark.read.parquet(f"{d}/orders.parquet")
     return o.select("o_orderkey", F.format_string("APP-%08d", "o_orderkey").alias("app_ref"), F.concat(F.lit("USD "), F.format_number("o_totalprice", 2)).alias("amount"))
-
-
-@query("ec_sensitivity", """SELECT input, factor, round((m / 60.0 * c + h) / (v * r + h), 6) AS break_even FROM (SELECT input, factor, 45.0 * CASE WHEN input = 'minutes_per_case' THEN factor ELSE 1 END AS m, 1500.0 * CASE WHEN input = 'cost_per_hour' THEN factor ELSE 1 END AS c, 1200000.0 * CASE WHEN input = 'value_at_risk' THEN factor ELSE 1 END AS v, least(1, 0.35 * CASE WHEN input = 'recovery_rate' THEN factor ELSE 1 END) AS r, 20000.0 * CASE WHEN input = 'harm_per_false_positive' THEN factor ELSE 1 END AS h
- FROM (SELECT unnest(['minutes_per_case', 'cost_per_hour', 'value_at_risk', 'recovery_rate', 'harm_per_false_positive']) AS input), (SELECT unnest([0.1, 0.5, 1, 2, 10])::DOUBLE AS factor))""")
-def _(spark, d):
-    return economics.sensitivity(spark)
-
-
-@query("ec_optimal_k", "SELECT arg_max(k, net) FILTER (net > 0) AS k, round(max(net), 2) AS net FROM (SELECT k, k * (p * 420000 - (1 - p) * 20000 - 1125) AS net FROM (SELECT unnest([10, 20, 50, 100]) AS k, unnest([0.29, 0.16, 0.08, 0.04]) AS p))")
-def _(spark, d):
-    return economics.best_k(spark.createDataFrame([(10, 0.29), (20, 0.16), (50, 0.08), (100, 0.04)], "k int, p double"))

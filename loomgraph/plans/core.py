@@ -440,13 +440,6 @@ def _(spark, d):
     return o.join(F.broadcast(cut)).select("o_orderkey", (F.col("o_orderdate") >= F.col("cut")).alias("test"))  # one row
 
 
-@query("ec_cost_model", "SELECT p, round(p * 420000 - (1 - p) * 20000 - 1125, 4) AS net, round((1125 + (1 - p) * 20000) / (p * 0.35), 2) AS required_value FROM (SELECT unnest([0.05, 0.1, 0.25, 0.5, 0.75]) AS p)")
-def _(spark, d):
-    from loomgraph.operators import economics
-
-    return economics.evaluate(spark.createDataFrame([(p,) for p in (0.05, 0.1, 0.25, 0.5, 0.75)], "p double"))
-
-
 @query("ev_ols", "SELECT o_orderpriority AS part, round(regr_slope(o_totalprice, o_custkey), 4) AS slope, round(regr_intercept(o_totalprice, o_custkey), 2) AS intercept FROM orders GROUP BY 1")
 def _(spark, d):
     o = spark.read.parquet(f"{d}/orders.parquet")

@@ -42,10 +42,17 @@ def accounts(spark: SparkSession, path: str) -> DataFrame:
     return first.select("key", S.country(F.col("r.bank_name")).alias("country"), "r.entity_id", S.entity_type(F.col("r.entity_name")).alias("entity_type"))
 
 
-def latest_events(spark: SparkSession, path: str, key: str, at: str) -> DataFrame:
-    """The last event of each key of an append-only JSON log."""
+def events(spark: SparkSession, path: str) -> DataFrame:
+    """The rows of an append-only JSON log, each event once."""
     e = spark.read.json(path)
-    return e.groupBy(key).agg(F.max_by(F.struct(*e.columns), at).alias("e")).select("e.*")
+    return e.dropDuplicates(["event_id"]) if "event_id" in e.columns else e
+
+
+def latest_events(spark: SparkSession, path: str, key: str, at: str) -> DataFrame:
+    """The last event of each key of an append-only JSON log; of several at a time the one of the highest id."""
+    e = events(spark, path)
+    last = F.struct(at, *(["event_id"] if "event_id" in e.columns else []))
+    return e.groupBy(key).agg(F.max_by(F.struct(*e.columns), last).alias("e")).select("e.*")
 
 
 def label_edges(edges: DataFrame, rings: DataFrame) -> DataFrame:

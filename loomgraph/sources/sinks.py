@@ -14,5 +14,11 @@ def write_stream_table(edges: DataFrame, path: str) -> DataFrame:
 
 
 def append_events(events: DataFrame, path: str) -> None:
-    """Add ``events`` to an append-only JSON log; nothing written before is touched."""
-    events.write.mode("append").json(path)
+    """Add ``events`` to an append-only JSON log; nothing written before is touched.
+
+    Each row gets ``event_id``, a digest of its columns, unless it has one. A write that is tried again adds rows of the same ids, which
+    ``readers.events`` counts once.
+    """
+    names = sorted(c for c in events.columns if c != "event_id")
+    own = F.sha2(F.to_json(F.struct(*[F.col(f"`{c}`") for c in names]), {"ignoreNullFields": "false"}), 256)
+    (events if "event_id" in events.columns else events.withColumn("event_id", own)).write.mode("append").json(path)
