@@ -16,6 +16,7 @@ from __future__ import annotations
 import html
 import random
 import re
+from collections.abc import Iterable
 from dataclasses import dataclass, field
 from functools import lru_cache
 
@@ -30,11 +31,13 @@ from loomgraph.llm.common import annotate
 NAME = re.compile(r"[a-zA-Z][^\s>/]*")
 ATTRIBUTE = r"""(?:class|id|role|itemprop)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))"""
 #: Element names of the HTML standard.
-RAW = frozenset("script style template textarea title iframe noembed noframes".split())
+RAW = frozenset("script style template textarea title iframe noembed noframes noscript".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 BLOCK = frozenset("html body address article aside blockquote center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr li main menu nav ol p pre search section summary table tbody td tfoot th thead tr ul caption".split())
 ENDS = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",), "tbody": ("tr", "td", "th", "tbody", "thead"), "tfoot": ("tr", "td", "th", "tbody", "thead")}
 HOLDS = frozenset("table ul ol dl html body article section div main td".split())
+STOPS = ("td", "th", "table", "button")  # a paragraph outside of these stays open
+FOREIGN = ("svg", "math")  # in these an element may close itself
 
 TAGS = ("nav", "header", "footer", "aside", "form", "article", "main", "section", "div", "p", "h1", "h2", "li", "ul", "table", "body", "blockquote", "pre")
 GOOD = ("article", "content", "main", "post", "body", "entry", "story", "text", "prose", "page")
@@ -120,7 +123,7 @@ def parse(page: str) -> list[Node]:
     """The page's block nodes, each after its parent; the first stands for the page."""
     nodes = [Node("#page", 0, 0)]
     stack: list[tuple[str, int]] = [("#page", 0)]  # open elements and the block node they are in
-    opened: dict[str, int] = {}  # how often a tag is open
+    places: dict[str, list[int]] = {}  # where in the stack a tag is open; so that no tag has to look through the stack
     block, in_link, at = 0, 0, 0
     tags = Tags(page)
 
@@ -137,26 +140,31 @@ def parse(page: str) -> list[Node]:
     def pop() -> None:
         nonlocal block, in_link
         tag, node = stack.pop()
-        opened[tag] -= 1
+        places[tag].pop()
         if tag == "a":
             in_link -= 1
         if node != stack[-1][1]:
             block += 1
 
+    def last(names: Iterable[str]) -> int:
+        """The place of the last open element of these, or 0."""
+        return max((places[t][-1] for t in names if places.get(t)), default=0)
+
     while found := tags.next(at):
         start, end, tag, attributes = found
         text(page[at:start])
         at = end
         if tag[:1] == "/":
             tag = tag[1:]
-            if opened.get(tag, 0) and tag != "#page":
+            if places.get(tag):
                 while stack[-1][0] != tag:
                     pop()
                 pop()
         elif tag:
             nodes[stack[-1][1]].tags += 1
             if tag in RAW:
-                if not attributes.rstrip().endswith("/"):
+                # outside of foreign elements a slash closes nothing: what follows is the element's own up to its end tag
+                if not (attributes.rstrip().endswith("/") and last(FOREIGN)):
                     close = tags.closing(tag, at)
                     if close < 0:  # never past the end of the element it is in
                         up = tags.closing(stack[-1][0], at)
@@ -171,13 +179,13 @@ def parse(page: str) -> list[Node]:
                 elif tag == "br":
                     text("\n")
                 continue
-            if tag in BLOCK and opened.get("p", 0):
-                k = next((i for i in range(len(stack) - 1, 0, -1) if stack[i][0] == "p" or stack[i][0] in ("td", "th", "table", "button")), 0)
-                if stack[k][0] == "p":
+            if tag in BLOCK and places.get("p"):
+                k = places["p"][-1]
+                if k > last(STOPS):
                     while len(stack) > k:
                         pop()
             if tag in ENDS:
-                k = next((i for i in range(len(stack) - 1, 0, -1) if stack[i][0] in ENDS[tag] or stack[i][0] in HOLDS), 0)
+                k = max(last(ENDS[tag]), last(HOLDS))
                 while k and len(stack) > k and stack[k][0] in ENDS[tag]:
                     pop()
                     k = len(stack) - 1 if len(stack) > 1 and stack[-1][0] in ENDS[tag] else k
@@ -190,8 +198,8 @@ def parse(page: str) -> list[Node]:
                 nodes[node].down.append(len(nodes))
                 nodes.append(Node(tag, node, nodes[node].depth + 1, words, place=len(nodes[node].down) - 1))
                 node = len(nodes) - 1
+            places.setdefault(tag, []).append(len(stack))
             stack.append((tag, node))
-            opened[tag] = opened.get(tag, 0) + 1
     text(page[at:])
     return nodes
 

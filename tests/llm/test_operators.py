@@ -684,3 +684,20 @@ def test_proofs_equal_a_plain_version():
         assert {i for a, b, _ in got for i in range(a, b + 1)} == plain
         found += len(plain) > 0
     assert found > 60
+
+
+@pytest.mark.parametrize("page", ["<p><button>" + "<b>" * 80_000 + "<div></div>" * 70_000, "<div>" + "<b>" * 80_000 + "<li></li>" * 80_000, "<table>" * 30_000 + "<td>" * 30_000 + "<tr>" * 30_000, "<ul><li>" * 60_000])
+def test_deep_nesting_does_not_cost_its_square(page):
+    import time
+
+    began = time.process_time()
+    html_text.parse(page)
+    assert time.process_time() - began < 8
+
+
+def test_raw_elements_end_at_their_end_tag_only():
+    said = lambda page: "".join(s for n in html_text.parse(page) for _, s in n.pieces)
+    assert said("<article>a<script src=/x/>var leaked=1;</script>b</article>") == "ab"
+    assert said("<article>a<script src='x' />leaked</script>b<noscript>enable</noscript>c</article>") == "abc"
+    assert said("<article>a<svg><title/>b</svg>c</article>") == "abc"
+    assert said("<div><p>a<table><tr><td>b<p>c<div>d</div></td></tr></table>e</div>") == "eabcd"  # node by node: the outer one first
