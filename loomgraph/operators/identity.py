@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Iterable, Iterator
+
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from loomgraph.operators.shapes import _distances, _links
+
 RARE, HUB = 5, 50  # applications holding a value: up to the first rare, beyond the second a hub
 ATTRIBUTES = ("pan", "phone", "address")
 
@@ -58,6 +63,76 @@ def features(member: DataFrame, apps: DataFrame) -> DataFrame:
     return j.select("seed", "n_nodes", "n_edges", (2 * F.col("n_edges") / (n * (n - 1))).alias("density"), (2 * F.col("n_edges") / n).alias("mean_degree"), *[(F.col(f"k_{a}") / F.col("n_edges")).alias(f"link_share_{a}") for a in ATTRIBUTES], "max_multiplicity", "mean_multiplicity", "rare_share", "hub_share", (1 - F.col("max_multiplicity") / n).alias("rotation_index"), F.when(triples > 0, F.col("open") / triples).otherwise(0.0).alias("open_triangle_ratio"), entropy.alias("link_type_entropy"))
 
 
+#: Columns that measure how many a value may have by construction; kept in the record, not shown to a scorer.
+EXCLUDED = ("max_pan_fanout", "max_phone_fanout", "max_device_fanout")
+BURST_DAYS = 7
+
+
+def connected(member: DataFrame, linked: DataFrame) -> DataFrame:
+    """Components and diameter of each candidate: seed, n_components, largest_component, diameter, max_degree.
+
+    A candidate's links travel as one array on its row; the bound on candidates bounds it. Members without a link are components of their own.
+    """
+    links_ = linked.groupBy("seed").agg(F.collect_list(F.struct("u", "v")).alias("e"))
+    rows = member.groupBy("seed").agg(F.collect_list("app_id").alias("n")).join(links_, "seed", "left")
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out = []
+            for seed, nodes, edges in zip(*(b.column(c).to_pylist() for c in ("seed", "n", "e")), strict=True):
+                near = _links([(x["u"], x["v"]) for x in edges or ()])
+                seen, sizes, far = set(), [], 0
+                for n in nodes:
+                    reach = _distances(n, near)
+                    far = max(far, *reach.values())
+                    if n not in seen:
+                        seen |= reach.keys()
+                        sizes.append(len(reach))
+                out.append((seed, len(sizes), max(sizes), far, max((len(near.get(n, ())) for n in nodes), default=0)))
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*out, strict=True)], ["seed", "n_components", "largest_component", "diameter", "max_degree"])
+
+    return rows.mapInArrow(run, "seed long, n_components long, largest_component long, diameter long, max_degree long")
+
+
+def boundary(member: DataFrame, apps: DataFrame, most: int = RARE) -> DataFrame:
+    """How many applications outside of a candidate share a rare value with a member: seed, n_external."""
+    few = linking(apps, most).select("app_id", "attribute", "value")
+    out = member.join(few, "app_id").join(few.withColumnRenamed("app_id", "other"), ["attribute", "value"]).select("seed", F.col("other").alias("app_id")).distinct()
+    return out.join(member, ["seed", "app_id"], "left_anti").groupBy("seed").agg(F.count("*").alias("n_external"))
+
+
+def fanouts(member: DataFrame, apps: DataFrame) -> DataFrame:
+    """How many applications of the whole population hold the members' values: the most per attribute, and the mean."""
+    held = apps.groupBy("attribute", "value").agg(F.count("*").alias("held"))
+    j = member.join(apps.select("app_id", "attribute", "value"), "app_id").join(held, ["attribute", "value"])
+    return j.groupBy("seed").agg(*[F.coalesce(F.max(F.when(F.col("attribute") == a, F.col("held"))), F.lit(0)).alias(f"max_{a}_fanout") for a in ATTRIBUTES], F.avg("held").alias("mean_fanout"))
+
+
+def timing(member: DataFrame, times: DataFrame) -> DataFrame:
+    """When a candidate's applications (times: app_id, minutes) came: span_days, mean_gap_days, max_gap_days, burst_index, the share in the busiest seven days."""
+    own = Window.partitionBy("seed").orderBy("minutes")
+    t = member.join(times, "app_id").withColumn("gap", F.col("minutes") - F.lag("minutes").over(own)).withColumn("near", F.count("*").over(own.rangeBetween(0, BURST_DAYS * 1440)))
+    return t.groupBy("seed").agg(((F.max("minutes") - F.min("minutes")) / 1440).alias("span_days"), F.coalesce(F.avg("gap") / 1440, F.lit(0.0)).alias("mean_gap_days"), F.coalesce(F.max("gap") / 1440, F.lit(0.0)).alias("max_gap_days"), (F.max("near") / F.count("*")).alias("burst_index"))
+
+
+def all_features(member: DataFrame, apps: DataFrame, times: DataFrame) -> DataFrame:
+    """``features`` and what a candidate's connections, surroundings, values at large and timing add."""
+    f = features(member, apps)
+    linked = links(groups(member, apps))
+    for part in (connected(member, linked), boundary(member, apps), fanouts(member, apps), timing(member, times), triangles(linked)):
+        f = f.join(part, "seed", "left")
+    n, triples = F.col("n_nodes"), F.coalesce(F.col("closed") + F.col("open"), F.lit(0))
+    kinds = sum(((F.col(f"link_share_{a}") > 0).cast("int") for a in ATTRIBUTES), F.lit(0))
+    return f.select(
+        *[F.col(c) for c in f.columns if c not in ("largest_component", "n_external", "closed", "open")], (F.col("largest_component") / n).alias("largest_component_share"), (n / F.col("n_components")).alias("mean_component_size"), (F.coalesce("n_external", F.lit(0)) / n).alias("boundary_ratio"),
+        kinds.alias("n_link_attributes"), (F.col("max_multiplicity") / n).alias("spanning_attribute_share"), F.when(triples > 0, F.col("closed") / triples).otherwise(0.0).alias("triangle_density"))
+
+
+def feature_names(rows: DataFrame) -> list[str]:
+    """The columns a scorer may see, by name."""
+    return sorted(c for c in rows.columns if c != "seed" and c not in EXCLUDED)
+
+
 def action(rare: Column, attributes: Column) -> Column:
     """What to do about a candidate with so many rare shared values of so many attributes."""
     return F.when((rare >= 3) & (attributes >= 2), "REQUEST_STEP_UP_KYC").when(rare >= 1, "MANUAL_REVIEW").otherwise("MONITOR")

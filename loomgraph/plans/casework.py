@@ -46,6 +46,33 @@ def _(spark, d):
     return f.select(*[(F.round(c, 6) + 0.0).alias(c) if t == "double" else F.col(c) for c, t in f.dtypes])
 
 
+MORE = """w AS (SELECT o_orderkey AS app_id, datediff('day', DATE '1970-01-01', CAST(o_orderdate AS DATE)) AS day FROM orders),
+ sz AS (SELECT seed, count(*) AS n FROM im GROUP BY seed), ed AS (SELECT seed, count(*) AS m FROM il GROUP BY seed), dgr AS (SELECT seed, max(k) AS max_degree FROM (SELECT seed, x, count(*) AS k FROM (SELECT seed, u AS x FROM il UNION ALL SELECT seed, v FROM il) GROUP BY ALL) GROUP BY seed),
+ ex AS (SELECT seed, count(*) AS n_external FROM (SELECT DISTINCT im.seed, y.app_id FROM im JOIN fa x ON x.app_id = im.app_id JOIN fa y USING (attribute, value) WHERE (im.seed, y.app_id) NOT IN (SELECT (seed, app_id) FROM im)) GROUP BY seed),
+ fo AS (SELECT seed, max(held) FILTER (attribute = 'pan') AS max_pan_fanout, max(held) FILTER (attribute = 'phone') AS max_phone_fanout, max(held) FILTER (attribute = 'address') AS max_address_fanout, avg(held) AS mean_fanout FROM im JOIN apps USING (app_id) JOIN held USING (attribute, value) GROUP BY seed),
+ tg AS (SELECT seed, day, day - lag(day) OVER (PARTITION BY seed ORDER BY day) AS gap, count(*) OVER (PARTITION BY seed ORDER BY day RANGE BETWEEN CURRENT ROW AND 7 FOLLOWING) AS near FROM im JOIN w USING (app_id)),
+ tm AS (SELECT seed, max(day) - min(day) AS span_days, avg(gap) AS mean_gap_days, max(gap) AS max_gap_days, max(near) * 1.0 / count(*) AS burst_index FROM tg GROUP BY seed),
+ atr AS (SELECT seed, count(DISTINCT a) AS kinds FROM (SELECT seed, unnest(attributes) AS a FROM il) GROUP BY seed), mx AS (SELECT seed, max(size) AS mx FROM gr GROUP BY seed)"""
+
+
+@query("ft_identity_more", ctes(APPS, IDENT, MORE) + """SELECT seed, 1::BIGINT AS n_components, CASE WHEN m = n * (n - 1) / 2 THEN 1 ELSE 2 END::BIGINT AS diameter, max_degree, max_pan_fanout, max_phone_fanout, max_address_fanout, round(mean_fanout, 6) AS mean_fanout, span_days::DOUBLE AS span_days, round(mean_gap_days, 6) AS mean_gap_days, max_gap_days::DOUBLE AS max_gap_days, round(burst_index, 6) AS burst_index,
+ 1.0::DOUBLE AS largest_component_share, n::DOUBLE AS mean_component_size, round(coalesce(n_external, 0) * 1.0 / n, 6) AS boundary_ratio, kinds AS n_link_attributes, round(mx * 1.0 / n, 6) AS spanning_attribute_share, round(coalesce(closed * 1.0 / nullif(open + closed, 0), 0), 6) AS triangle_density
+ FROM sz JOIN ed USING (seed) JOIN dgr USING (seed) LEFT JOIN ex USING (seed) JOIN fo USING (seed) JOIN tm USING (seed) JOIN atr USING (seed) JOIN mx USING (seed) LEFT JOIN tri USING (seed)""")
+def _(spark, d):
+    m, apps = _identity(spark, d)
+    f = I.all_features(m, apps, R.application_times(spark, d))
+    old = set(I.features(m, apps).columns) - {"seed"}
+    return f.select(*[F.round(c, 6).alias(c) if t == "double" else F.col(c).cast("long").alias(c) for c, t in f.dtypes if c not in old])
+
+
+@query("flt_excluded_features", ctes(APPS, IDENT, MORE) + "SELECT seed, max_address_fanout, max_degree, round(mean_fanout, 6) AS mean_fanout FROM fo JOIN dgr USING (seed)")
+def _(spark, d):
+    m, apps = _identity(spark, d)
+    f = I.all_features(m, apps, R.application_times(spark, d))
+    seen = [c for c in I.feature_names(f) if "fanout" in c or c == "max_degree"]
+    return f.select("seed", *[F.round(c, 6).alias(c) if dict(f.dtypes)[c] == "double" else c for c in seen])
+
+
 @query("cs_identity_action", ctes(APPS, IDENT) + "SELECT seed, n_rare, CASE WHEN n_rare >= 3 AND n_attr >= 2 THEN 'REQUEST_STEP_UP_KYC' WHEN n_rare >= 1 THEN 'MANUAL_REVIEW' ELSE 'MONITOR' END AS action FROM (SELECT seed, count(*) FILTER (held <= 5) AS n_rare, count(DISTINCT attribute) FILTER (held <= 5) AS n_attr FROM gr JOIN held USING (attribute, value) GROUP BY seed)")
 def _(spark, d):
     m, apps = _identity(spark, d)

@@ -88,3 +88,9 @@ def applications(spark: SparkSession, sf_dir: str) -> DataFrame:
     j = o.join(c, o["o_custkey"] == c["c_custkey"])
     attrs = {"pan": F.col("o_custkey").cast("string"), "address": F.concat_ws("|", F.col("c_nationkey").cast("string"), day), "phone": F.floor(F.col("o_totalprice") / 10).cast("string")}
     return j.select(F.col("o_orderkey").alias("app_id"), F.explode(F.create_map(*[x for k, v in attrs.items() for x in (F.lit(k), v)])).alias("attribute", "value"))
+
+
+def application_times(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """When the applications came: app_id, minutes."""
+    o = spark.read.parquet(f"{sf_dir}/orders.parquet")
+    return o.select(F.col("o_orderkey").alias("app_id"), (F.unix_date(F.col("o_orderdate").cast("date")).cast("long") * 1440).alias("minutes"))

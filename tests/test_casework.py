@@ -53,3 +53,23 @@ def test_a_narrative_cites_what_it_counts(spark):
     df = spark.createDataFrame([("There are 3 accounts [CASE-1]. They paid 12 times. A person decides.",), (None,)], "text string")
     assert [r.n_uncited for r in K.uncited(df).collect()][0] == 1
     assert {r.input for r in economics.sensitivity(spark).collect()} == {"minutes_per_case", "cost_per_hour", "value_at_risk", "recovery_rate", "harm_per_false_positive"}
+
+
+def test_identity_components_diameter_and_timing(spark):
+    member = spark.createDataFrame([(1, n) for n in range(1, 8)] + [(2, 20), (2, 21)], "seed long, app_id long")
+    linked = spark.createDataFrame([(1, 1, 2), (1, 2, 3), (1, 3, 4), (1, 5, 6), (2, 20, 21)], "seed long, u long, v long")
+    got = {r.seed: tuple(r)[1:] for r in I.connected(member, linked).collect()}
+    assert got == {1: (3, 4, 3, 2), 2: (1, 2, 1, 1)}
+    times = spark.createDataFrame([(n, 1440 * d) for n, d in zip([*range(1, 8), 20], [0, 1, 8, 8, 30, 31, 40, 5])], "app_id long, minutes long")
+    t = {r.seed: r for r in I.timing(member, times).collect()}
+    assert (t[1].span_days, t[1].max_gap_days, round(t[1].burst_index, 4)) == (40.0, 22.0, round(3 / 7, 4))
+    assert (t[2].span_days, t[2].mean_gap_days, t[2].burst_index) == (0.0, 0.0, 1.0)
+
+
+def test_identity_boundary_and_excluded_columns(spark):
+    apps = spark.createDataFrame([(1, "pan", "x"), (2, "pan", "x"), (3, "pan", "x"), (3, "phone", "p"), (4, "phone", "p"), (5, "address", "z")], "app_id long, attribute string, value string")
+    member = spark.createDataFrame([(1, 1), (1, 2), (1, 3), (5, 5)], "seed long, app_id long")
+    assert [tuple(r) for r in I.boundary(member, apps).collect()] == [(1, 1)]
+    f = {r.seed: r for r in I.fanouts(member, apps).collect()}
+    assert (f[1].max_pan_fanout, f[1].max_phone_fanout, f[1].mean_fanout) == (3, 2, 11 / 4) and f[5].max_pan_fanout == 0
+    assert I.feature_names(I.fanouts(member, apps)) == ["max_address_fanout", "mean_fanout"]
