@@ -51,12 +51,12 @@ class WordEncoder:
 
     MARK = b"\x01"  # a word of its own between new words; words that hold it are encoded alone
     END = "</w>"  # ends the last token of a run of letters
-    TOGETHER = 4_000_000  # bytes of texts that are looked up before their new words are learned
+    TOGETHER = 2_500_000  # bytes of texts that are looked up before their new words are learned
     LETTERS = b"abcdefghijklmnopqrstuvwxyz"
     SMALL = re.compile(rb"(?:\xc3[\x9f-\xb6\xb8-\xbf])*")  # lower-case letters of U+00DF to U+00FF
     MARKS = ".,;:!?"
 
-    def __init__(self, vocabulary: str, words: int = 400_000) -> None:
+    def __init__(self, vocabulary: str, words: int = 300_000) -> None:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer, normalizers, pre_tokenizers
 

@@ -81,8 +81,8 @@ def write_token_files(docs: DataFrame, path: str, vocabulary: str | None = None,
         out, at, place, tokens = None, 0, 0, encoder(vocabulary)
         try:
             for batch in batches:
-                for i in range(0, batch.num_rows, 2048):
-                    part = batch.slice(i, 2048)
+                for i in range(0, batch.num_rows, 1024):
+                    part = batch.slice(i, 1024)
                     rows = []
                     ids = part.column(0).to_pylist()
                     for doc_id, blob in zip(ids, tokens.encode(part.column(1).to_pylist()), strict=True):
