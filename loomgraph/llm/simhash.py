@@ -18,7 +18,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomgraph.llm.common import annotate, stored
@@ -138,12 +138,12 @@ def near_links(prints: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
 
 
 def groups(prints: DataFrame) -> DataFrame:
-    """``prints`` (doc_id, _fingerprint, stored) with component_id, the smallest doc_id reachable by links."""
+    """``prints`` (doc_id, _fingerprint, stored) with component_id, the smallest doc_id reachable by links, and ``_root``, which names the component."""
     copies = stored(prints.groupBy("_fingerprint").agg(F.min("doc_id").alias("_first")), "fingerprints")
     roots = components(near_links(copies))
     named = copies.join(roots, copies["_fingerprint"] == roots["node"], "left").select("_fingerprint", "_first", F.coalesce("root", "_fingerprint").alias("_root"))
     least = named.groupBy("_root").agg(F.min("_first").alias("component_id"))
-    classes = stored(named.join(least, "_root").select("_fingerprint", "component_id"), "classes")
+    classes = stored(named.join(least, "_root").select("_fingerprint", "component_id", "_root"), "classes")
     return prints.join(classes, "_fingerprint")
 
 
@@ -154,10 +154,18 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
-    """The document with the smallest doc_id of each group, columns as they were.
+    """One row of each group, the one with the smallest doc_id, columns as they were; rows without an id stand for no group and stay.
 
-    Rows of one doc_id are one document, of which a row stays; documents without an id stand for no group and stay.
+    Rows are what groups are made of: several texts under one doc_id are each judged by their own group, so none goes but for a near copy that stays.
+    Of rows of one doc_id and fingerprint the one whose text, then whose other columns come first stays.
     """
-    kept = near_duplicates(docs.filter("doc_id is not null")).filter("doc_id = component_id").select("doc_id").distinct()
-    whole = docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return whole.select(docs.columns).unionByName(docs.filter("doc_id is null"))
+    known = docs.filter("doc_id is not null")
+    prints = stored(fingerprints(known.select(F.col("doc_id").cast("long").alias("doc_id"), "text")).drop("text"), "prints")
+    first = groups(prints).groupBy("_root").agg(F.min(F.struct("doc_id", "_fingerprint")).alias("f")).select("f.*")
+    many = stored(prints.groupBy("doc_id").agg(F.count("*").alias("_n")).filter("_n > 1").select("doc_id"), "repeated-ids")
+    first = stored(first, "kept")
+    alone = known.join(first.join(many, "doc_id", "left_anti").select("doc_id"), "doc_id", "left_semi")
+    several = fingerprints(known.join(many, "doc_id", "left_semi").select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_all"), F.col("doc_id").cast("long").alias("_id"), "text"))
+    order = Window.partitionBy("_id", "_fingerprint").orderBy("text", F.to_json("_all"))
+    chosen = several.join(first.withColumnRenamed("doc_id", "_id"), ["_id", "_fingerprint"], "left_semi").withColumn("_n", F.row_number().over(order)).filter("_n = 1").select("_all.*")
+    return alone.select(docs.columns).unionByName(chosen.select(docs.columns)).unionByName(docs.filter("doc_id is null"))
