@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from loomgraph.operators import candidates
-from loomgraph.plans import arms, casework, core, corpora, evaluation, features, further, graph, learn, ledger, loading, streams, threeday  # noqa: F401  registers its queries
+from loomgraph.plans import arms, casework, core, corpora, evaluation, features, further, graph, learn, ledger, loading, reports, streams, threeday  # noqa: F401  registers its queries
 from loomgraph.plans.registry import SPECS, Plan
 
 
