@@ -51,11 +51,17 @@ def expand_traced(seed: DataFrame, nbrs: DataFrame, hops: int = 2, max_degree: i
     degrees, ties by node (``truncated``); a hop that finds nothing ends the walk (``exhausted``), and so does one that finds no
     room (``hit_node_cap``). A seed is one row, its arrays bounded by the two caps; a hop is one join with the neighbours and one merge per seed.
     """
+    starts = seed.select("now", "seed", F.array("seed").alias("nodes"))
+    return expand_from(starts, nbrs, hops, max_degree, max_nodes)
+
+
+def expand_from(starts: DataFrame, nbrs: DataFrame, hops: int = 2, max_degree: int = config.MAX_DEGREE, max_nodes: int = config.MAX_NODES) -> DataFrame:
+    """``expand_traced`` from several nodes at once: ``starts`` has now, seed (a name) and the array ``nodes``, all of which stay, whatever their number."""
     degree = nbrs.groupBy("now", "node").agg(F.count("*").alias("deg"))
     far = degree.select("now", F.col("node").alias("other"), F.col("deg").alias("other_deg"))
     near = stage(nbrs.join(degree.filter(F.col("deg") <= max_degree), ["now", "node"]).join(far, ["now", "other"]).select("now", "node", F.struct(F.col("other_deg").alias("deg"), F.col("other").alias("node")).alias("next")))
-    first = seed.select("now", "seed").join(degree.withColumnRenamed("node", "seed"), ["now", "seed"], "left")
-    state = first.select("now", "seed", F.array(F.struct(F.col("seed").alias("node"), F.lit(0).alias("hop"))).alias("nodes"), F.array(F.struct(F.coalesce("deg", F.lit(0).cast("long")).alias("deg"), F.col("seed").alias("node"))).alias("frontier"), F.lit(0).alias("hops_completed"), F.lit(0).alias("hub_blocked"), *[F.lit(False).alias(c) for c in ("truncated", "exhausted", "hit_node_cap")])
+    first = starts.select("now", "seed", F.explode("nodes").alias("node")).join(degree, ["now", "node"], "left").groupBy("now", "seed").agg(F.collect_set(F.struct(F.coalesce("deg", F.lit(0).cast("long")).alias("deg"), "node")).alias("frontier"))
+    state = first.select("now", "seed", F.transform("frontier", lambda x: F.struct(x["node"].alias("node"), F.lit(0).alias("hop"))).alias("nodes"), "frontier", F.lit(0).alias("hops_completed"), F.lit(0).alias("hub_blocked"), *[F.lit(False).alias(c) for c in ("truncated", "exhausted", "hit_node_cap")])
     for h in range(1, hops + 1):
         state = stage(state)
         open_ = state.select("now", "seed", F.explode(F.filter("frontier", lambda x: x["deg"] <= max_degree)["node"]).alias("node"))

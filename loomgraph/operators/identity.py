@@ -128,6 +128,18 @@ def all_features(member: DataFrame, apps: DataFrame, times: DataFrame) -> DataFr
         kinds.alias("n_link_attributes"), (F.col("max_multiplicity") / n).alias("spanning_attribute_share"), F.when(triples > 0, F.col("closed") / triples).otherwise(0.0).alias("triangle_density"))
 
 
+def ceilings(apps: DataFrame, labels: DataFrame) -> DataFrame:
+    """Per attribute how many applications hold the most common value among good and among fraudulent ones (labels: app_id, fraud): attribute, legit_max, fraud_max, excluded.
+
+    A ceiling that the makers of the data set on one side would be what a scorer learns, so such attributes are excluded.
+    """
+    held = apps.groupBy("attribute", "value").agg(F.count("*").alias("held"))
+    j = apps.select("app_id", "attribute", "value").join(held, ["attribute", "value"]).join(labels, "app_id")
+    most = lambda k: F.coalesce(F.max(F.when(F.col("fraud") == k, F.col("held"))), F.lit(0))
+    g = j.groupBy("attribute").agg(most(0).alias("legit_max"), most(1).alias("fraud_max"))
+    return g.withColumn("excluded", F.concat(F.lit("max_"), "attribute", F.lit("_fanout")).isin(*EXCLUDED))
+
+
 def feature_names(rows: DataFrame) -> list[str]:
     """The columns a scorer may see, by name."""
     return sorted(c for c in rows.columns if c != "seed" and c not in EXCLUDED)

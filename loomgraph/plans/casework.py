@@ -73,6 +73,12 @@ def _(spark, d):
     return f.select("seed", *[F.round(c, 6).alias(c) if dict(f.dtypes)[c] == "double" else c for c in seen])
 
 
+@query("ag_attribute_ceilings", ctes(APPS) + "SELECT attribute, max(CASE WHEN app_id % 17 <> 0 THEN n ELSE 0 END) AS legit_max, max(CASE WHEN app_id % 17 = 0 THEN n ELSE 0 END) AS fraud_max, attribute IN ('pan', 'phone') AS excluded FROM apps JOIN (SELECT attribute, value, count(*) AS n FROM apps GROUP BY ALL) USING (attribute, value) GROUP BY attribute")
+def _(spark, d):
+    apps = R.applications(spark, d)
+    return I.ceilings(apps, apps.select("app_id", (F.col("app_id") % 17 == 0).cast("int").alias("fraud")).distinct())
+
+
 @query("cs_identity_action", ctes(APPS, IDENT) + "SELECT seed, n_rare, CASE WHEN n_rare >= 3 AND n_attr >= 2 THEN 'REQUEST_STEP_UP_KYC' WHEN n_rare >= 1 THEN 'MANUAL_REVIEW' ELSE 'MONITOR' END AS action FROM (SELECT seed, count(*) FILTER (held <= 5) AS n_rare, count(DISTINCT attribute) FILTER (held <= 5) AS n_attr FROM gr JOIN held USING (attribute, value) GROUP BY seed)")
 def _(spark, d):
     m, apps = _identity(spark, d)

@@ -49,6 +49,29 @@ def _(spark, d):
     return _compiled(spark, d)[2]
 
 
+def sliced(low: int, high: int, most: int) -> str:
+    return f"""cut AS (SELECT *, CASE WHEN label = 1 THEN src % 20 ELSE -1 END AS ring FROM edges WHERE t >= {low} AND t < {high}), rn AS (SELECT src AS node FROM cut WHERE ring >= 0 UNION SELECT dst FROM cut WHERE ring >= 0),
+ kn AS (SELECT node FROM rn UNION SELECT src FROM cut WHERE dst IN (FROM rn) OR src IN (FROM rn) UNION SELECT dst FROM cut WHERE dst IN (FROM rn) OR src IN (FROM rn)), tc AS (SELECT * FROM cut WHERE src IN (FROM kn) OR dst IN (FROM kn)),
+ st AS (SELECT count(*) AS n, count(*) FILTER (ring >= 0) AS l FROM tc), bg AS (SELECT *, row_number() OVER (ORDER BY t, seq) - 1 AS i FROM tc WHERE ring < 0),
+ th AS (SELECT seq, src, dst, t, amount, ring FROM tc WHERE ring >= 0 UNION ALL SELECT seq, src, dst, t, amount, ring FROM bg, st WHERE n <= {most} OR (i % greatest(1, (n - l) // greatest(1, {most} - l)) = 0 AND i // greatest(1, (n - l) // greatest(1, {most} - l)) < {most} - l)),
+ dn AS (SELECT key, row_number() OVER (ORDER BY key) - 1 AS id FROM (SELECT src AS key FROM th UNION SELECT dst FROM th))"""
+
+
+def _slice(spark: SparkSession, d: str, most: int) -> tuple[DataFrame, DataFrame]:
+    e = R.edges(spark, d).withColumn("ring", F.when(F.col("label") == 1, F.col("src") % 20).otherwise(-1)).select("seq", "src", "dst", "t", "amount", "ring")
+    return once(spark, f"{d}/events.parquet", f"slice-{most}", lambda: K.fixture_slice(e, 1440, 10_080, most))
+
+
+@query("src_fixture_slice", ctes(EDGES, sliced(1440, 10_080, 900)) + "SELECT seq, a.id AS src, b.id AS dst, t, round(amount, 2) AS amount, ring FROM th JOIN dn a ON a.key = src JOIN dn b ON b.key = dst")
+def _(spark, d):
+    return _slice(spark, d, 900)[0].withColumn("amount", F.round("amount", 2))
+
+
+@query("src_fixture_nodes", ctes(EDGES, sliced(1440, 10_080, 150_000)) + "SELECT key, id FROM dn")
+def _(spark, d):
+    return _slice(spark, d, 150_000)[1]
+
+
 #: A block per labelled account: every fifth has no END, every seventh a wrong one; every ninth edge lacks a column; a row after the last END of some.
 BLOCKS = f"""lab AS (SELECT * FROM edges WHERE label = 1), bl AS (SELECT src AS b, count(*) AS n, count(*) FILTER (seq % 9 = 0) AS bad FROM lab GROUP BY src),
  good AS (SELECT src AS b, seq, src, dst, t, amount FROM lab WHERE seq % 9 <> 0)"""

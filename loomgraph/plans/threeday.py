@@ -12,6 +12,7 @@ from loomgraph.operators import evaluate as E
 from loomgraph.operators import links as L
 from loomgraph.operators import window as W
 from loomgraph.operators.stage import once, stage
+from loomgraph.plans.core import TO_SEEDS as SHORT_SEEDS
 from loomgraph.plans.core import CAND, CYCLES, DEG, EXPAND, FLOW, HITS, INNER, ISLANDS, LAYERS, LIVE, NBRS, PRUNE, RINGS, SEEDS, THROUGH, TOUCHED, _active, _inner, _member, _traced, ctes, greedy
 from loomgraph.plans.evaluation import ATTEMPT, FUNNEL, KINDS, OVER, RANKED
 from loomgraph.plans.features import LEVELS
@@ -202,3 +203,14 @@ SELECT ring, round(containment, 6) AS containment, round(jaccard, 6) AS jaccard,
 def _(spark, d):
     b = E.diagnosed(_tight(spark, d)[0], _active(spark, d, DAYS3))
     return b.select("ring", F.round("containment", 6).alias("containment"), F.round("jaccard", 6).alias("jaccard"), "verdict", "reason")
+
+
+COVER = """ic AS (SELECT a.now, a.ring, a.node FROM act a JOIN seeds s ON s.now = a.now AND s.seed = a.node), g1 AS (SELECT DISTINCT i.now, i.ring, o.other AS node FROM ic i JOIN opn o USING (now, node)), gm AS (SELECT * FROM ic UNION SELECT * FROM g1), g2 AS (SELECT DISTINCT i.now, i.ring, o.other AS node FROM g1 i JOIN opn o USING (now, node)),
+ gx AS (SELECT * FROM gm UNION SELECT * FROM g2)"""
+
+
+@query("ev_coverage", ctes(*SHORT_SEEDS, RINGS, "opn AS (SELECT n.* FROM nbrs n JOIN deg USING (now, node) WHERE deg <= 50)", COVER) + "SELECT a.now, a.ring, any_value(ring_size) AS ring_size, CAST(any_value(n) AS INT) AS n_seeds, round(count(gx.node) * 1.0 / any_value(ring_size), 6) AS coverage FROM act a JOIN (SELECT now, ring, count(*) AS n FROM ic GROUP BY ALL) USING (now, ring) LEFT JOIN gx ON gx.now = a.now AND gx.ring = a.ring AND gx.node = a.node GROUP BY a.now, a.ring")
+def _(spark, d):
+    p = _traced(spark, d)[1]
+    c = E.coverage(stage(_active(spark, d)), stage(C.seeds(R.edges(spark, d), p)), stage(W.neighbours(p)))
+    return c.withColumn("coverage", F.round("coverage", 6))

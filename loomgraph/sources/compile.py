@@ -38,3 +38,25 @@ def compile_stream(rows: DataFrame, path: str) -> tuple[DataFrame, DataFrame, Da
     loops = F.count(F.when(F.col("src") == F.col("dst"), 1))
     counts = rows.agg(F.count("*").alias("n_rows"), loops.alias("n_self_loops"), (F.count(F.when(F.col("src") != F.col("dst"), 1))).alias("n_edges"), F.count(F.when(F.col("ring") >= 0, 1)).alias("n_ring_edges"), F.min("t").alias("t_min"), F.max("t").alias("t_max"))
     return table, nodes, counts.crossJoin(F.broadcast(nodes.agg(F.count("*").alias("n_nodes"))))  # one row each
+
+
+def fixture_slice(edges: DataFrame, low: int, high: int, most: int = 150_000) -> tuple[DataFrame, DataFrame]:
+    """A small graph for tests out of ``edges`` (seq, t, src, dst, ring, ...): edges in [``low``, ``high``) that touch an account of a ring or its counterparts, and nodes (key, id).
+
+    If there are more than ``most``, all ring edges stay, and of the others every k-th in order of time, so that later cycles don't read a stale window.
+    Ids are dense, in order of the ids before. The result hangs on the edges alone.
+    """
+    cut = stage(edges.filter((F.col("t") >= low) & (F.col("t") < high)))
+    ends = lambda df: df.select(F.explode(F.array("src", "dst")).alias("node")).distinct()
+    marked = lambda df, nodes: df.join(nodes.select(F.col("node").alias("src"), F.lit(1).alias("_s")), "src", "left").join(nodes.select(F.col("node").alias("dst"), F.lit(1).alias("_d")), "dst", "left").filter("_s is not null or _d is not null").select(df.columns)
+    kept = stage(ends(marked(cut, stage(ends(cut.filter("ring >= 0"))))))
+    touched = stage(marked(cut, kept))
+    n, labelled = touched.agg(F.count("*"), F.count(F.when(F.col("ring") >= 0, 1))).first()
+    if n > most:
+        room = max(0, most - labelled)
+        stride = max(1, (n - labelled) // room) if room else n - labelled + 1
+        others = numbered(touched.filter("ring < 0"), ["t", "seq"], "_n").filter((F.col("_n") % stride == 0) & (F.col("_n") / stride < room))
+        touched = stage(touched.filter("ring >= 0").union(others.select(touched.columns)))
+    nodes = stage(numbered(ends(touched).withColumnRenamed("node", "key"), ["key"], "id"))
+    dense = touched.join(nodes.toDF("src", "_src"), "src").join(nodes.toDF("dst", "_dst"), "dst")
+    return dense.select(*[F.col({"src": "_src", "dst": "_dst"}.get(c, c)).alias(c) for c in edges.columns]), nodes

@@ -220,3 +220,14 @@ def test_staged_tables_follow_their_files(spark, tmp_path):
     assert (count(), count()) == (5, 5)
     spark.range(9).write.mode("overwrite").parquet(path)
     assert count() == 9
+
+
+def test_expansion_from_several_nodes_and_coverage(spark):
+    links = [(1, 2), (2, 3), (3, 4), (4, 5), (10, 11)]
+    nbrs = spark.createDataFrame([(1, a, b) for x, y in links for a, b in ((x, y), (y, x))], "now long, node long, other long")
+    starts = spark.createDataFrame([(1, 7, [1, 10])], "now long, seed long, nodes array<long>")
+    got = C.expand_from(starts, nbrs).first()
+    assert sorted((x.node, x.hop) for x in got.nodes) == [(1, 0), (2, 1), (3, 2), (10, 0), (11, 1)]
+    rings = spark.createDataFrame([(1, 7, n, 5) for n in (1, 2, 3, 4, 5)] + [(1, 8, n, 3) for n in (20, 21, 22)], "now long, ring long, node long, ring_size long")
+    c = E.coverage(rings, spark.createDataFrame([(1, 1), (1, 99)], "now long, seed long"), nbrs).collect()
+    assert [(r.ring, r.n_seeds, r.coverage) for r in c] == [(7, 1, 0.6)]

@@ -172,3 +172,17 @@ def test_bad_transactions_are_kept_apart(spark, tmp_path):
     (tmp_path / "t.csv").write_text("\n".join(["h" + ",h" * 10, good, "too,short", good + ",long", good]) + "\n")
     assert readers.transactions(spark, str(tmp_path / "t.csv")).count() == 2
     assert sorted(r.line for r in readers.bad_transactions(spark, str(tmp_path / "t.csv")).collect()) == [good + ",long", "too,short"]
+
+
+@pytest.mark.parametrize("most", [1000, 120, 10])
+def test_fixture_slice_keeps_rings_and_thins_evenly(spark, most):
+    r = random.Random(8)
+    rows = [(i, r.randint(0, 999), r.randint(0, 40), r.randint(41, 80), 1.0, 3 if i % 40 == 0 else -1) for i in range(400)]
+    df = lambda parts: spark.createDataFrame(rows, "seq long, t long, src long, dst long, amount double, ring long").repartition(parts)
+    got = [tuple(sorted(map(tuple, K.fixture_slice(df(p), 100, 900, most)[0].collect()))) for p in (1, 7)]
+    assert got[0] == got[1]
+    inside = [x for x in rows if 100 <= x[1] < 900]
+    labelled = [x for x in inside if x[5] >= 0]
+    assert {x[0] for x in got[0]} >= {x[0] for x in labelled} and len(got[0]) <= max(most, len(labelled))
+    ids = {x for row in got[0] for x in row[2:4]}
+    assert ids == set(range(len(ids)))
