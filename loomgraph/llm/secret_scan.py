@@ -49,7 +49,7 @@ def features(before: Column, hit: Column, after: Column) -> list[Column]:
     flag = lambda c: F.coalesce(c, F.lit(False)).cast("double")
     turns = F.size(F.regexp_extract_all(v, F.lit(r"(?<=[0-9])(?=[A-Za-z])|(?<=[A-Za-z])(?=[0-9])|(?<=[a-z])(?=[A-Z])"), F.lit(0)))
     named = flag(hit.rlike(f"^(?:[?&]?{GIVEN}|{LOGIN})"))
-    return [n.cast("double"), turns / n, share("(?i)" + "|".join(sorted(DICTIONARY, key=lambda w: (-len(w), w)))), share("[0-9]"), share("[A-Z]"), share("[a-z]"), share("[/]"), share("[_-]"), flag(v.rlike("^[0-9a-fA-F]+$")), F.size(F.array_distinct(F.split(F.left(v, F.lit(256)), ""))) / F.least(n, F.lit(256)), share("(?i)[aeiou]"), named, flag(before.rlike(KEYS)), flag(before.rlike(DULL)), flag(before.rlike(r"[/\\.:]$|https?:\S*$")), flag(after.rlike(r"^[./\\]")), flag(v.rlike(r"^[$%{(\[<*.xX]|[(){}\[\]$%]|\.\.|^(.)\1+$"))]
+    return [n.cast("double"), turns / n, share("(?i)" + "|".join(sorted(DICTIONARY, key=lambda w: (-len(w), w)))), share("[0-9]"), share("[A-Z]"), share("[a-z]"), share("[/]"), share("[_-]"), flag(v.rlike("^[0-9a-fA-F]+$")), F.size(F.array_distinct(F.split(v, ""))) / F.least(n, F.lit(256)), share("(?i)[aeiou]"), named, flag(before.rlike(KEYS)), flag(before.rlike(DULL)), flag(before.rlike(r"[/\\.:]$|https?:\S*$")), flag(after.rlike(r"^[./\\]")), flag(v.rlike(r"^[$%{(\[<*.xX]|[(){}\[\]$%]|\.\.|^(.)\1+$"))]
 
 
 def findings(n: int = 1200, seed: int = 23) -> list[tuple[str, str, str, int]]:
