@@ -38,11 +38,15 @@ def stats_as_of(edges: DataFrame, at: DataFrame) -> DataFrame:
     """Lifetime figures of accounts as known at each (now, node) of ``at``, never expired.
 
     Edges shrink to power sums per account and tick before they are put in order, so an account's history is no longer than
-    the number of ticks; the running sums then meet the questions in one pass.
+    the number of ticks; the running sums then meet the questions in one pass. Amounts are taken from the account's own mean on,
+    so that powers of large amounts keep their digits.
     """
     hours = F.col("t") / 60.0 - CENTRE
     both = edges.select(F.col("src").alias("node"), "t", F.col("amount").alias("o"), F.lit(None).cast("double").alias("i")).union(edges.select("dst", "t", F.lit(None).cast("double"), "amount")).withColumn("h", hours)
-    per = both.groupBy("node", S.tick_end(F.col("t")).alias("at")).agg(*_power_sums("o", F.col("o")), *_power_sums("i", F.col("i")), *_power_sums("h", F.col("h")), F.max(F.when(F.col("o").isNotNull(), F.col("t"))).alias("last_out"), F.min(F.when(F.col("i").isNotNull(), F.col("t"))).alias("first_in"))
+    centre = stage(both.groupBy("node").agg(F.coalesce(F.avg("o"), F.lit(0.0)).alias("_o"), F.coalesce(F.avg("i"), F.lit(0.0)).alias("_i")))
+    off = both.join(centre, "node")
+    sums = [*_power_sums("o", F.col("o") - F.col("_o")), *_power_sums("i", F.col("i") - F.col("_i")), *_power_sums("h", F.col("h")), F.sum("o").alias("o_total"), F.sum("i").alias("i_total")]
+    per = off.groupBy("node", S.tick_end(F.col("t")).alias("at")).agg(*sums, F.max(F.when(F.col("o").isNotNull(), F.col("t"))).alias("last_out"), F.min(F.when(F.col("i").isNotNull(), F.col("t"))).alias("first_in"))
     asked = at.select("node", F.col("now").alias("at"), F.col("now")).distinct()
     upto = Window.partitionBy("node").orderBy("at").rangeBetween(Window.unboundedPreceding, 0)
     how = lambda c: F.min if c.endswith("_lo") or c == "first_in" else F.max if c.endswith("_hi") or c == "last_out" else F.sum
@@ -50,8 +54,11 @@ def stats_as_of(edges: DataFrame, at: DataFrame) -> DataFrame:
     known = every.select("node", "now", *[how(c)(c).over(upto).alias(c) for c in per.columns if c not in ("node", "at")]).filter("now is not null")
     for kind in SIDES:
         known = known.select("*", *[v.alias(f"{kind}_{k}") for k, v in _moments(kind).items()])
+    known = known.join(centre, "node")
+    for kind in ("o", "i"):
+        known = known.select(*[(F.col(c) + F.col(f"_{kind}")).alias(c) if c in (f"{kind}_mean", f"{kind}_lo", f"{kind}_hi") else F.col(c) for c in known.columns])
     through = (F.col("o_n") > 0) & (F.col("i_n") > 0)
-    ratio = F.when(through & (F.col("i_s1") > 0), F.least(F.lit(1.0), F.col("o_s1") / F.col("i_s1"))).otherwise(0.0)
+    ratio = F.when(through & (F.col("i_total") > 0), F.least(F.lit(1.0), F.col("o_total") / F.col("i_total"))).otherwise(0.0)
     latency = F.when(through, (F.col("last_out") - F.col("first_in")) / 60.0)
     active = F.col("h_hi") - F.col("h_lo")
     return known.select("*", ratio.alias("value_ratio"), F.coalesce((ratio >= 0.8) & latency.between(0, 48), F.lit(False)).alias("fast"), (F.col("h_lo") + CENTRE).alias("dormancy"), F.when(active > 0, F.col("h_n") / active).otherwise(F.col("h_n").cast("double")).alias("velocity"))

@@ -151,7 +151,7 @@ def test_suppression_in_rounds_equals_the_greedy_walk(spark, order):
     for now in range(12):
         pool = [r.sample(range(14), r.randint(3, 8)) for _ in range(r.randint(1, 25))]
         rows += [(now, ",".join(map(str, sorted(n))), sorted(n), float(r.randint(0, 4)), i) for i, n in enumerate({tuple(sorted(n)): n for n in pool}.values())]
-    rows += [(50, f"{i:03}", [i, i + 1, i + 2], -float(i), i) for i in range(40)]  # a long chain: each round settles a link
+    rows += [(50, f"{i:03}", [i, i + 1, i + 2], -float(i), i) for i in range(14)]  # a long chain: each round settles a link
     rank = {"score": lambda x: (-x[3], x[1]), "largest": lambda x: (-len(x[2]), x[1]), "smallest": lambda x: (len(x[2]), x[1]), "key": lambda x: x[1]}[order]
     expected = {}
     for now in {x[0] for x in rows}:
@@ -231,3 +231,17 @@ def test_expansion_from_several_nodes_and_coverage(spark):
     rings = spark.createDataFrame([(1, 7, n, 5) for n in (1, 2, 3, 4, 5)] + [(1, 8, n, 3) for n in (20, 21, 22)], "now long, ring long, node long, ring_size long")
     c = E.coverage(rings, spark.createDataFrame([(1, 1), (1, 99)], "now long, seed long"), nbrs).collect()
     assert [(r.ring, r.n_seeds, r.coverage) for r in c] == [(7, 1, 0.6)]
+
+
+def test_shape_of_large_amounts_keeps_its_digits(spark):
+    import random
+
+    r = random.Random(6)
+    amounts = [1e7 + r.expovariate(1) for _ in range(60)]
+    e = spark.createDataFrame([(i, 1, 2, 5 * i, a) for i, a in enumerate(amounts)], "seq long, src long, dst long, t long, amount double")
+    got = X.stats_as_of(e, spark.createDataFrame([(600, 1)], "now long, node long")).first()
+    m = sum(amounts) / 60
+    m2, m3, m4 = (sum((a - m) ** k for a in amounts) / 60 for k in (2, 3, 4))
+    assert got.o_mean == pytest.approx(m) and got.o_std == pytest.approx(m2**0.5, rel=1e-5)
+    assert got.o_skew == pytest.approx(m3 / m2**1.5, rel=1e-4) and got.o_kurt == pytest.approx(m4 / m2**2 - 3, rel=1e-3)
+    assert (got.o_lo, got.o_hi) == (pytest.approx(min(amounts)), pytest.approx(max(amounts)))
