@@ -34,7 +34,7 @@ def _arms(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]
         base = stage(C.seeds(e, p))
         inside = rings.select("now", F.col("node").alias("seed"))
         seeds = A.seed_arms({"passthrough": base, "lookback": C.seeds(e, p, lookback=3), "cheat": base.union(inside)})
-        member = stage(C.expand(seeds.select("now", "seed").distinct(), stage(W.neighbours(p))))
+        member = stage(C.expand(seeds.select("now", "seed").distinct(), stage(W.neighbours(p)), max_nodes=None))
         return seeds, stage(A.arm_candidates(seeds, stage(C.prune_leaves(member, C.induced(member, p))))), rings
 
     return once(spark, f"{d}/events.parquet", "arms", make)

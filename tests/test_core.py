@@ -245,3 +245,21 @@ def test_shape_of_large_amounts_keeps_its_digits(spark):
     assert got.o_mean == pytest.approx(m) and got.o_std == pytest.approx(m2**0.5, rel=1e-5)
     assert got.o_skew == pytest.approx(m3 / m2**1.5, rel=1e-4) and got.o_kurt == pytest.approx(m4 / m2**2 - 3, rel=1e-3)
     assert (got.o_lo, got.o_hi) == (pytest.approx(min(amounts)), pytest.approx(max(amounts)))
+
+
+def test_expansions_hang_on_degrees_not_on_a_number_of_nodes(spark, tmp_path):
+    from datetime import datetime
+
+    from loomgraph.plans import core
+
+    # account 1 pays 40 others, each of which pays 8 more: 361 nodes, all within the degrees
+    sent = [(9999, 1)] + [(1, 100 + i) for i in range(40)] + [(100 + i, 1000 + 10 * i + j) for i in range(40) for j in range(8)]
+    rows = [(k, datetime(2024, 1, 1, 6, 30), a, "view", 1.0, f'{{"k": {b}}}') for k, (a, b) in enumerate(sent)]
+    spark.createDataFrame(rows, "event_id long, ts timestamp, user_id long, event_type string, value double, props string").write.parquet(f"{tmp_path}/events.parquet")
+    m = [r for r in core._member(spark, str(tmp_path))[0].collect() if r.seed == 1]
+    assert len(m) == 362 and sorted({(r.hop) for r in m}) == [0, 1, 2]
+    assert core._inner(spark, str(tmp_path))[0].filter("seed = 1").first().size >= 42
+    nbrs = spark.createDataFrame([(1, x, y) for a, b in sent for x, y in ((a, b), (b, a))], "now long, node long, other long")
+    far = [1000 + 10 * i + j for i in range(40) for j in range(8)]
+    rings = spark.createDataFrame([(1, 7, n, 321) for n in [1, *far]], "now long, ring long, node long, ring_size long")
+    assert E.coverage(rings, spark.createDataFrame([(1, 1)], "now long, seed long"), nbrs).first().coverage == 1.0
