@@ -263,3 +263,10 @@ def test_expansions_hang_on_degrees_not_on_a_number_of_nodes(spark, tmp_path):
     far = [1000 + 10 * i + j for i in range(40) for j in range(8)]
     rings = spark.createDataFrame([(1, 7, n, 321) for n in [1, *far]], "now long, ring long, node long, ring_size long")
     assert E.coverage(rings, spark.createDataFrame([(1, 1)], "now long, seed long"), nbrs).first().coverage == 1.0
+
+
+def test_rounding_scales_and_does_not_read_the_text(spark):
+    from loomgraph.functions import scalars as S
+
+    df = spark.createDataFrame([(41 / 640,), (-41 / 640,), (0.25,), (None,)], "x double")
+    assert [r[0] for r in df.select(S.rounded("x", 6)).collect()] == [0.064062, -0.064062, 0.25, None]  # 41 / 640 is a little less than 0.0640625 at a million times
