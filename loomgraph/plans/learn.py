@@ -53,7 +53,7 @@ def _labelled(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _model(spark: SparkSession, d: str) -> L.Trees:
-    return once(spark, f"{d}/events.parquet", "model", lambda: L.fit(_labelled(spark, d).filter(F.col("now") < CUT), FEATURES, "y", trees=20))
+    return once(spark, f"{d}/events.parquet", "model", lambda: L.fit_any(_labelled(spark, d).filter(F.col("now") < CUT), FEATURES, "y", trees=20))
 
 
 def _held_back(spark: SparkSession, d: str) -> DataFrame:
@@ -70,7 +70,7 @@ def _(spark, d):
     scored = L.scored(_labelled(spark, d), _model(spark, d))
     part = F.when(F.col("now") < CUT, "train").otherwise("test").alias("part")
     base = scored.groupBy(part).agg(F.count("*").alias("n"), F.sum("y").alias("n_positive"), F.avg("y").alias("base_rate"))
-    return base.join(L.average_precision(scored.withColumn("part", part), "p", "y", "part"), "part").withColumn("ap_lift", F.col("ap") / F.col("base_rate"))
+    return base.join(L.average_precision(scored.withColumn("part", part), "p", "y", "part"), "part").withColumn("ap_lift", F.try_divide("ap", "base_rate"))
 
 
 @query("ml_rank")
@@ -94,7 +94,7 @@ def _(spark, d):
 
 @query("ml_nnls")
 def _(spark, d):
-    weights = L.blend(_labelled(spark, d).filter(F.col("now") < CUT), [f"t_{k}" for k in TERM], "y")
+    weights = L.blend(_labelled(spark, d).filter(F.col("now") < CUT), [f"t_{k}" for k in TERM], "y", one_class=True)
     score = sum((F.col(k) * w for k, w in weights.items()), F.lit(0.0))
     return _held_back(spark, d).select("now", "key", "y", F.round(score, 6).alias("blend"))
 

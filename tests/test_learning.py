@@ -162,3 +162,33 @@ def test_label_noise_is_nested_and_one_way(spark):
         assert flipped[0.2, s, "raw"] == flipped[0.2, s, "control"] and flipped[0.2, s, "raw"] < flipped[0.5, s, "raw"]
         assert abs(len(flipped[0.5, s, "raw"]) - 100) < 30
     assert flipped[0.5, 0, "raw"] != flipped[0.5, 1, "raw"]
+
+
+def test_labels_of_one_class_give_a_rate_and_no_error(spark, rows):
+    none, every = rows.filter("y = 0"), rows.filter("y = 1")
+    model = L.fit_any(none, NAMES, "y", trees=2)
+    n = none.count()
+    assert not model.splits and {round(r.p, 9) for r in L.scored(none, model).collect()} == {round(1 / (n + 2), 9)}
+    assert L.average_precision(L.scored(none, model), "p", "y").first().ap is None
+    assert L.average_precision(L.scored(every, L.fit_any(every, NAMES, "y")), "p", "y").first().ap == 1.0
+    assert {r.importance for r in L.importances(none, model, "y", 2).collect()} == {None}
+    assert {r.importance for r in L.importances(every, L.fit_any(every, NAMES, "y"), "y", 2).collect()} == {0.0}
+    assert L.fit_any(rows.filter("id < 3"), NAMES, "y").splits == [] and L.fit_any(rows, NAMES, "y", trees=1).splits
+    assert set(L.blend(none, NAMES, "y", one_class=True).values()) == {0.0}
+    assert sum(L.blend(every.select("y", *[F.abs(c).alias(c) for c in NAMES]), NAMES, "y", one_class=True).values()) == pytest.approx(1)
+
+
+def test_only_the_first_ids_of_a_cell_meet_the_arms(spark):
+    r = random.Random(3)
+    arms = [(rate, seed, "raw", i, r.randrange(4), r.choice([0, 1, None])) for rate in (0.0, 0.5) for seed in (0, 1) for i in range(80)]
+    test = [(i, i % 3, r.choice([0, 0, 0, 1, 2, 3, 9]), r.randrange(2)) for i in r.sample(range(9999), 300)]
+    got = T.arm_hits(spark.createDataFrame(arms, "rate double, seed int, kind string, id long, cell long, y int"), spark.createDataFrame(test, "id long, cycle long, cell long, y int"), 10)
+    expected = {}
+    for arm in {a[:3] for a in arms}:
+        own = [a for a in arms if a[:3] == arm and a[5] is not None]
+        p = lambda x: (sum(a[5] for a in x) + 1) / (len(x) + 2)
+        cells = {c: p([a for a in own if a[4] == c]) for c in {a[4] for a in own}}
+        for cycle in range(3):
+            first = sorted((t for t in test if t[1] == cycle), key=lambda t: (-round(cells.get(t[2], p(own)), 9), t[0]))[:10]
+            expected[*arm, cycle] = (sum(t[3] for t in first), len(first))
+    assert {(x.rate, x.seed, x.kind, x.cycle): (x.hit, x.n) for x in got.collect()} == expected
