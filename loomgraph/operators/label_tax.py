@@ -39,11 +39,15 @@ def budgeted(train: DataFrame, shares: tuple[float, ...], seeds: int = 3) -> Dat
 
 
 def arm_hits(arms: DataFrame, test: DataFrame, k: int = 10) -> DataFrame:
-    """Per arm and held-out cycle of ``test`` (id, cycle, cell, y): true positives among the first ``k``, and how many those are. A cell of which an arm has no label takes the arm's rate."""
+    """Per arm and held-out cycle of ``test`` (id, cycle, cell, y): true positives among the first ``k``, and how many those are. A cell of which an arm has no label takes the arm's rate.
+
+    An arm gives all rows of a cell one score and ties go by id, so of a cycle's cell only the first ``k`` ids can be among the first ``k``; only those meet the arms.
+    """
     rate = F.when(F.count("y") > 0, (F.sum("y") + 1.0) / (F.count("y") + 2.0)).alias("p")
     whole = arms.groupBy(*ARM).agg(rate)
     cell = arms.groupBy(*ARM, "cell").agg(rate)
-    every = test.crossJoin(F.broadcast(whole.withColumnRenamed("p", "_all")))  # a row per arm
+    near = test.withColumn("_n", F.row_number().over(Window.partitionBy("cycle", "cell").orderBy("id"))).filter(F.col("_n") <= k).drop("_n")
+    every = near.crossJoin(F.broadcast(whole.withColumnRenamed("p", "_all")))  # a row per arm
     scored = every.join(cell, [*ARM, "cell"], "left").withColumn("p", F.round(F.coalesce("p", "_all", F.lit(0.5)), 9))
     order = Window.partitionBy(*ARM, "cycle").orderBy(F.col("p").desc(), "id")
     return scored.withColumn("r", F.row_number().over(order)).filter(F.col("r") <= k).groupBy(*ARM, "cycle").agg(F.sum("y").alias("hit"), F.count("*").alias("n"))
