@@ -270,3 +270,18 @@ def test_rounding_scales_and_does_not_read_the_text(spark):
 
     df = spark.createDataFrame([(41 / 640,), (-41 / 640,), (0.25,), (None,)], "x double")
     assert [r[0] for r in df.select(S.rounded("x", 6)).collect()] == [0.064062, -0.064062, 0.25, None]  # 41 / 640 is a little less than 0.0640625 at a million times
+
+
+def test_transaction_level_without_anything_flagged_or_hit(spark):
+    import math
+
+    live = spark.createDataFrame([(1, 1, 2, 1), (1, 2, 3, 0), (1, 4, 5, 0)], "now long, src long, dst long, label int")
+    cand = lambda *nodes: spark.createDataFrame([(1, "k", list(nodes))] if nodes else [], "now long, key string, nodes array<long>")
+    x = E.transaction_level(live, cand()).first()
+    assert (x.n, x.pos, x.flagged, x.tp, x.recall, x.f1) == (3, 1, 0, 0, 0.0, 0.0) and math.isnan(x.precision) and math.isnan(x.lift)
+    x = E.transaction_level(live, cand(4, 5)).first()
+    assert (x.flagged, x.tp, x.precision, x.recall, x.f1, x.lift) == (1, 0, 0.0, 0.0, 0.0, 0.0)
+    x = E.transaction_level(live, cand(1, 2, 3)).first()
+    assert (x.flagged, x.tp, x.precision, x.recall, x.f1, x.lift) == (2, 1, 0.5, 1.0, 0.666667, 1.5)
+    x = E.transaction_level(live.filter("label = 0"), cand(2, 3)).first()
+    assert (x.flagged, x.precision, x.f1) == (1, 0.0, 0.0) and math.isnan(x.recall) and math.isnan(x.lift)
