@@ -104,7 +104,7 @@ def re_word(old: str, new: str, text: str) -> str:
 
 @query("ev_suppress_arms", _all_orders())
 def _(spark, d):
-    return A.suppress_arms(_by_size(spark, d)).groupBy("arm").agg(F.count("*").alias("n_kept"), F.sum("absorbed").alias("n_absorbed"))
+    return A.suppress_totals(_by_size(spark, d))
 
 
 PRUNED = "arm_m AS (SELECT 'none' AS arm, now, seed, node FROM mem UNION ALL SELECT 'leaf2', now, seed, node FROM pr), sets AS (SELECT arm, now, seed, list_sort(list(node)) AS nodes FROM arm_m GROUP BY ALL HAVING count(*) >= 3), ac AS (SELECT arm, now, array_to_string(nodes, ',') AS key, min(seed) AS seed, any_value(nodes) AS nodes, CAST(max(len(nodes)) AS INT) AS size FROM sets GROUP BY arm, now, 3)"
