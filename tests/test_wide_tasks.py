@@ -34,3 +34,10 @@ def test_smurf_score_is_the_plain_one_without_expanded_rows(spark, capsys):
     got.explain()
     plan = capsys.readouterr().out
     assert "Expand" not in plan  # distinct counts multiply no rows
+
+
+def test_a_long_window_is_dealt_by_the_number_of_edges(spark):
+    e = spark.createDataFrame([(1, 1, 2, 5, 1.0), (2, 1, 2, 400, 2.0), (3, 2, 3, 9, 1.0)], "seq long, src long, dst long, t long, amount double")
+    few, many = (W.islands(e, 4320, rows=n) for n in (3, 40 * W.HELD))
+    assert many.rdd.getNumPartitions() == 40 > few.rdd.getNumPartitions()
+    assert sorted(map(tuple, many.collect())) == sorted(map(tuple, W.islands(e, 4320).collect()))
