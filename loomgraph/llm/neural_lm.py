@@ -6,7 +6,8 @@ bytes. The model predicts a token's class from the classes of the two tokens bef
 
     s(w | u, v) = (r_u C1 + r_v C2) . q_w + b_w
 
-Noise-contrastive estimation fits it on a bounded sample of texts (``sample_tokens``), with the class frequencies of the whole corpus as noise. Because a
+Noise-contrastive estimation fits it on all texts, with the class frequencies of the whole corpus as noise: the first share of about ``share_tokens``
+sets out, every share then goes on from there in a task of its own, and the mean by tokens is the model. Because a
 context's score is a sum, exp(s) is a product, and one matrix product of exponentials gives the exact normaliser of every
 context; a token's log-probability is then three look-ups. Within a shared class a word has its own count, less an absolute discount, and all
 words that were never seen share the discounts, so probabilities sum to one over all known words and one unseen word per class.
@@ -28,6 +29,7 @@ from itertools import chain, repeat
 from zlib import crc32
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
@@ -145,22 +147,26 @@ def classify(words: list[bytes], model: Model) -> tuple[np.ndarray, np.ndarray]:
     return count, cls
 
 
-def train(lines: list[np.ndarray], classes: int, noise: np.ndarray, dims: int = 32, epochs: int = 3, rate: float = 0.2, batch: int = 1024, draws: int = 256, seed: int = 11) -> tuple[tuple[np.ndarray, np.ndarray], np.ndarray, np.ndarray]:
-    """Noise-contrastive estimation over sequences of classes (each begins after two ends): contexts, outputs, biases.
+def train(lines: list[np.ndarray], classes: int, noise: np.ndarray, dims: int = 32, epochs: int = 3, rate: float = 0.2, batch: int = 1024, draws: int = 256, seed: int = 11, start: list[np.ndarray] | None = None) -> list[np.ndarray]:
+    """Noise-contrastive estimation over sequences of classes (each begins after two ends): words, outputs, both mixes, biases, and their five sums of squares.
 
-    Each batch meets ``draws`` classes drawn from ``noise``; AdaGrad steps.
+    Each batch meets ``draws`` classes drawn from ``noise``; AdaGrad steps. ``start`` is what an earlier call gave, to go on from.
     """
     r = np.random.default_rng(seed)
     p = (noise + 0.5) / (noise + 0.5).sum()
     log_kp = np.log(draws * p).astype(np.float32)
-    word, out = (r.normal(0, 0.1, (classes, dims)).astype(np.float32) for _ in range(2))
-    mix = [np.eye(dims, dtype=np.float32) for _ in range(2)]
-    bias = np.log(p).astype(np.float32)
+    if start is None:
+        word, out = (r.normal(0, 0.1, (classes, dims)).astype(np.float32) for _ in range(2))
+        mix = [np.eye(dims, dtype=np.float32) for _ in range(2)]
+        bias = np.log(p).astype(np.float32)
+        squares = [np.full_like(x, 1e-6) for x in (word, out, *mix, bias)]
+    else:
+        word, out, *mix, bias = (x.copy() for x in start[:5])
+        squares = [x.copy() for x in start[5:]]
     line = np.concatenate([np.concatenate([[0, 0], x]) for x in lines]) if lines else np.zeros(0, np.int64)
     starts = np.cumsum([0, *(len(x) + 2 for x in lines)])[:-1]
     at = np.setdiff1d(np.arange(len(line)), np.concatenate([starts, starts + 1])) if lines else np.zeros(0, np.int64)
     target, u, v = line[at], line[at - 1], line[at - 2]
-    squares = [np.full_like(x, 1e-6) for x in (word, out, *mix, bias)]
 
     def step(which: int, x: np.ndarray, rows: np.ndarray | None, g: np.ndarray) -> None:
         """Add the gradient ``g``; with ``rows``, row by row, those of one row summed up first."""
@@ -192,29 +198,59 @@ def train(lines: list[np.ndarray], classes: int, noise: np.ndarray, dims: int =
             step(0, word, np.concatenate([a, c]), g_word)
             for i in range(2):
                 step(2 + i, mix[i], None, g_mix[i])
-    return (word @ mix[0], word @ mix[1]), out, bias
+    return [word, out, *mix, bias, *squares]
 
 
-def sampled(docs: DataFrame, model: Model, share: float, per_doc: int = 20_000, stretch: int = 500) -> list[np.ndarray]:
-    """Class sequences of about ``share`` of the texts, chosen by a hash of doc_id, one text per doc_id; of a longer text,
-    stretches at even distances that add up to ``per_doc`` tokens at most."""
+def shares(docs: DataFrame, model: Model, number: int, stretch: int = 500) -> DataFrame:
+    """The class sequences of all texts, in stretches, dealt to ``number`` shares: share, line, n (how often). Equal stretches are counted and their
+    copies dealt in turn, so that neither the order of rows nor a text that comes very often tells on a share."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for i in range(b.num_rows):
-                cls = np.concatenate([*(classify(w, shared.value)[1] for w in word_blocks(as_bytes(b.column(1).slice(i, 1))[0]) if w), [0]])
-                parts = [cls[at : at + stretch] for at in range(0, len(cls), stretch)]
-                parts = parts[:: -(-len(cls) // per_doc)]
-                yield pa.RecordBatch.from_arrays([pa.array([b.column(0)[i].as_py()] * len(parts), pa.int64()), pa.array(range(len(parts)), pa.int32()), pa.array([x.astype("<i4").tobytes() for x in parts], pa.binary())], ["doc_id", "k", "line"])
-
-    chosen = docs.filter(F.pmod(F.xxhash64(F.col("doc_id").cast("long")), F.lit(1 << 30)) < int(min(1.0, share) * (1 << 30)))
-    texts = chosen.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min("text").cast("binary").alias("text"))
-    got = texts.mapInArrow(run, "doc_id long, k int, line binary").toArrow().sort_by([("doc_id", "ascending"), ("k", "ascending")])
-    return [np.frombuffer(x, "<i4").astype(np.int64) for x in got["line"].to_pylist()]
-
-
-def fit(docs: DataFrame, frequent: int = 2048, head: int = 1 << 17, sample_tokens: int = 2_000_000, dims: int = 32, epochs: int = 3) -> tuple[Model, DataFrame]:
+                rest = np.zeros(0, np.int64)
+                for words in chain(word_blocks(as_bytes(b.column(0).slice(i, 1))[0]), [None]):
+                    rest = np.concatenate([rest, [0] if words is None else classify(words, shared.value)[1]])
+                    cut = len(rest) if words is None else len(rest) // stretch * stretch
+                    yield pa.RecordBatch.from_arrays([pa.array([rest[at : min(at + stretch, cut)].astype("<i4").tobytes() for at in range(0, cut, stretch)], pa.binary())], ["line"])
+                    rest = rest[cut:]
+
+    lines = docs.select(F.col("text").cast("binary").alias("text")).mapInArrow(run, "line binary").groupBy("line").agg(F.count("*").alias("c"))
+    turn = F.explode(F.sequence(F.lit(0), F.least(F.col("c"), F.lit(number)).cast("int") - 1)).alias("k")
+    dealt = lines.select("line", "c", turn).withColumn("n", F.floor((F.col("c") - F.col("k") + number - 1) / number))
+    return dealt.select(F.pmod(F.xxhash64("line") + F.col("k"), F.lit(number)).cast("int").alias("share"), "line", "n")
+
+
+def _sequences(lines: list[bytes], times: list[int]) -> list[np.ndarray]:
+    """In an order that hangs on the lines alone."""
+    return [np.frombuffer(x, "<i4").astype(np.int64) for x, n in sorted(zip(lines, times, strict=True)) for _ in range(n)]
+
+
+def learned(docs: DataFrame, model: Model, noise: np.ndarray, share_tokens: int, dims: int, epochs: int) -> list[np.ndarray]:
+    """Words, outputs, mixes and biases learned from all of ``docs``. A share goes over its lines once, from where the first share came in ``epochs``."""
+    number = -(-model.n // share_tokens)
+    dealt = shares(docs, model, number)
+    dealt = stored(dealt, "lines") if number > 1 else dealt
+    first = dealt.filter("share = 0").toArrow()  # about ``share_tokens`` tokens
+    start = train(_sequences(first["line"].to_pylist(), first["n"].to_pylist()), model.classes, noise, dims, epochs)
+    if number == 1:
+        return start[:5]
+    shared, classes = docs.sparkSession.sparkContext.broadcast((start, noise)), model.classes
+
+    def go_on(pdf: pd.DataFrame) -> pd.DataFrame:
+        begin, own = shared.value
+        lines = _sequences(list(pdf["line"]), list(pdf["n"]))
+        state = train(lines, classes, own, dims, 1, batch=8192, draws=64, seed=int(pdf["share"].iloc[0]), start=begin)
+        return pd.DataFrame({"tokens": [sum(map(len, lines))], "state": [np.concatenate([x.ravel() for x in state[:5]]).astype("<f4").tobytes()]})
+
+    parts = dealt.groupBy("share").applyInPandas(go_on, "tokens long, state binary")
+    total, tokens = parts.rdd.map(lambda r: (np.frombuffer(r.state, "<f4").astype(float) * r.tokens, r.tokens)).treeReduce(lambda a, b: (a[0] + b[0], a[1] + b[1]))  # one state's size, whatever the number of shares
+    cuts = np.cumsum([x.size for x in start[:5]])[:-1]
+    return [x.reshape(y.shape).astype(np.float32) for x, y in zip(np.split(total / tokens, cuts), start[:5], strict=True)]
+
+
+def fit(docs: DataFrame, frequent: int = 2048, head: int = 1 << 17, share_tokens: int = 2_000_000, dims: int = 32, epochs: int = 3) -> tuple[Model, DataFrame]:
     """The model of all rows of ``docs`` (doc_id, text), and its table of counts (w, c)."""
     counts = stored(word_counts(docs), "counts")
     ends = docs.count()
@@ -236,8 +272,8 @@ def fit(docs: DataFrame, frequent: int = 2048, head: int = 1 << 17, sample_token
     if not model.n:
         return model, counts
     noise = np.concatenate([[ends], [c for _, c in listed[:frequent]], seen])
-    lines = sampled(docs, model, sample_tokens / model.n)
-    model.context, model.output, model.bias = train(lines, classes, noise.astype(float), dims, epochs)
+    word, model.output, one, two, model.bias = learned(docs, model, noise.astype(float), share_tokens, dims, epochs)
+    model.context = (word @ one, word @ two)
     return model, counts
 
 

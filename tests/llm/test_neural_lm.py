@@ -134,3 +134,19 @@ def test_endings_are_alike_in_spark(spark):
     words = ["", "a", "ab", "abc", "abcd", "été", "日本語", "x" * 90]
     got = spark.createDataFrame([(w,) for w in words], "w string").select("w", N._ending(F.col("w").cast("binary")).alias("e")).collect()
     assert all(r.e == N.ending(r.w.encode()) for r in got)
+
+
+def test_every_text_is_learned_from(spark):
+    rows = [(i, prose(120)) for i in range(60)] + [(100 + i, "same words again") for i in range(50)] + [(900, prose(1300))]
+    docs = table(spark, rows)
+    model, _ = N.fit(docs, frequent=50, head=100, epochs=1)
+    for number in (1, 3):
+        got = N.shares(docs, model, number).collect()
+        assert sum(len(r.line) // 4 * r.n for r in got) == model.n == sum(len(tokens(t)) for _, t in rows)
+        assert {r.share for r in got} == set(range(number))
+    a, b = (N.fit(table(spark, rows).repartition(p), frequent=50, head=100, epochs=1, share_tokens=2500)[0] for p in (1, 5))
+    assert np.allclose(a.output, b.output, atol=1e-5) and np.isfinite(a.output).all()
+    one, two, z = a.tables()
+    assert np.abs(np.exp(one[:, None, :] + two[None, :, :] - z[:, :, None]).sum(2) - 1).max() < 1e-3
+    other = N.fit(table(spark, [(i, t if i != 900 else " ".join(reversed(t.split()))) for i, t in rows]), frequent=50, head=100, epochs=1, share_tokens=2500)[0]
+    assert not np.allclose(a.output, other.output, atol=1e-5)  # the same counts, another order of words in one text
