@@ -5,8 +5,8 @@ restarts. Event time is the edge's minute. Two stateful queries read the stream:
 
 * ``Ticks``: edges and amount per tick, written in append mode once the watermark has passed a tick's end. Ticks
   without edges are written too, as soon as a later one closes. Edges are dealt to a fixed number of shards; a shard keeps open ticks only.
-* ``Accounts``: lifetime moments of every account, never expired. An account with news is written when its day ends (a
-  timer), so the sink grows by what changed.
+* ``account_shard``: lifetime moments of every account, never expired. An account with news is written when its day ends (a
+  timer), so the sink grows by what changed. Accounts are dealt to a fixed number of shards by hash.
 
 Rows at or behind the watermark are late: they reach no state and are counted apart. A row without ends is a clock signal
 that only moves the watermark; the last one closes the replay.
@@ -14,7 +14,7 @@ that only moves the watermark; the last one closes the replay.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from typing import Any
 
 import numpy as np
@@ -22,6 +22,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from loomgraph import config
 from loomgraph.functions.scalars import tick_end
@@ -33,6 +34,10 @@ SIDES = ("out", "in", "time")
 PARTS = ("n", "mean", "m2", "m3", "m4", "total", "low", "high")
 SHAPE = ("n", "mean", "var", "skew", "kurt", "total", "low", "high")
 MARKS = ("first_t", "last_t", "last_out", "first_in")
+NEVER = np.iinfo(np.int64).max  # no day's end, no payment; the last payment made is the negative where there is none
+#: What is held of an account: parts of what it paid, was paid, and when; marks that these don't say; the end of the day it is written at, if it has news.
+HELD = np.dtype([("node", "<i8"), ("parts", "<f8", (len(SIDES), len(PARTS))), ("last_out", "<i8"), ("first_in", "<i8"), ("due", "<i8")])
+ACCOUNT_SHARDS = 1024  # a shard's state is read and written whole, some 230 bytes an account
 ACCOUNTS = "node long, as_of long, " + ", ".join(f"{s}_{p} {'long' if p == 'n' else 'double'}" for s in SIDES for p in SHAPE) + ", " + ", ".join(f"{m} long" for m in MARKS)
 
 
@@ -44,22 +49,33 @@ def _minutes(ms: int) -> int:
     return ms // 60_000 - config.EPOCH_MINUTES
 
 
-def merged(a: tuple, x: np.ndarray) -> tuple:
-    """Count, mean, central power sums, total and range (``PARTS``) of what ``a`` has seen and ``x`` together.
+def sums(x: np.ndarray, head: np.ndarray) -> tuple[np.ndarray, ...]:
+    """``PARTS`` of each stretch of ``x`` that begins at ``head``; none is empty."""
+    n = np.diff(np.append(head, len(x)))
+    total = np.add.reduceat(x, head)
+    mean = total / n
+    c = x - np.repeat(mean, n)
+    return (n.astype(float), mean, *(np.add.reduceat(c**k, head) for k in (2, 3, 4)), total, np.minimum.reduceat(x, head), np.maximum.reduceat(x, head))
+
+
+def combined(a: Sequence, b: Sequence) -> tuple:
+    """``PARTS`` of what ``a`` and ``b`` have seen together, element by element; either may have seen nothing.
 
     Central sums are merged, never raw powers, so large values keep their digits.
     """
-    if not len(x):
-        return a
-    n1, mean1, a2, a3, a4, total, low, high = a
-    n2, mean2 = len(x), float(x.mean())
-    c = x - mean2
-    b2, b3, b4 = (float((c**k).sum()) for k in (2, 3, 4))
-    n, d = n1 + n2, mean2 - mean1
+    n1, mean1, a2, a3, a4, total1, low1, high1 = (np.asarray(v, float) for v in a)
+    n2, mean2, b2, b3, b4, total2, low2, high2 = (np.asarray(v, float) for v in b)
+    d, n = mean2 - mean1, np.maximum(n1 + n2, 1)
+    mean = np.where(n1 > 0, mean1 + d * n2 / n, mean2)
     m2 = a2 + b2 + d**2 * n1 * n2 / n
     m3 = a3 + b3 + d**3 * n1 * n2 * (n1 - n2) / n**2 + 3 * d * (n1 * b2 - n2 * a2) / n
     m4 = a4 + b4 + d**4 * n1 * n2 * (n1**2 - n1 * n2 + n2**2) / n**3 + 6 * d**2 * (n1**2 * b2 + n2**2 * a2) / n**2 + 4 * d * (n1 * b3 - n2 * a3) / n
-    return n, mean1 + d * n2 / n, m2, m3, m4, total + float(x.sum()), min(low, float(x.min())), max(high, float(x.max()))
+    return n1 + n2, mean, m2, m3, m4, total1 + total2, np.minimum(low1, low2), np.maximum(high1, high2)
+
+
+def merged(a: tuple, x: np.ndarray) -> tuple:
+    """``PARTS`` of what ``a`` has seen and ``x`` together."""
+    return tuple(v.item() for v in combined(a, [v[0] for v in sums(x, np.zeros(1, np.int64))])) if len(x) else a
 
 
 def shape(a: tuple) -> tuple:
@@ -107,45 +123,60 @@ class Ticks(StatefulProcessor):
         yield pd.DataFrame(rows, columns=["tick_end", "n", "amount"])
 
 
-class Accounts(StatefulProcessor):
-    """Key: account. State: moments of what it paid, was paid, and when; marks; whether a timer is due."""
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        fields = [f"{s}_{p} {'long' if p == 'n' else 'double'}" for s in SIDES for p in PARTS] + [f"{m} long" for m in MARKS] + ["due long"]
-        self.seen = handle.getValueState("seen", ", ".join(fields))
-
-    def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
-        blank = (0, 0.0, 0.0, 0.0, 0.0, 0.0, float("inf"), float("-inf"))
-        was = tuple(self.seen.get()) if self.seen.exists() else (*blank * 3, None, None, None, None, None)
-        sides = [was[k * len(PARTS) : (k + 1) * len(PARTS)] for k in range(3)]
-        first, last, last_out, first_in, due = was[3 * len(PARTS) :]
-        for pdf in rows:
-            out, t = pdf["out"].to_numpy(bool), pdf["t"].to_numpy(np.int64)
-            amount = pdf["amount"].to_numpy(float)
-            sides = [merged(a, x) for a, x in zip(sides, (amount[out], amount[~out], t.astype(float)))]
-            first, last = min(int(t.min()), t.max() if first is None else first), max(int(t.max()), t.min() if last is None else last)
-            if out.any():
-                last_out = max(int(t[out].max()), int(t[out].min()) if last_out is None else last_out)
-            if not out.all():
-                first_in = min(int(t[~out].min()), int(t[~out].max()) if first_in is None else first_in)
-        if due is None:
-            due = (max(_minutes(timerValues.getCurrentWatermarkInMs()), int(last)) // DAY + 1) * DAY
-            self.handle.registerTimer(_ms(due))
-        self.seen.update((*sides[0], *sides[1], *sides[2], int(first), int(last), last_out, first_in, due))
-        yield self.rows([])
+def account_shard(key: tuple, rows: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+    """Key: shard of accounts. State: ``HELD`` of each of its accounts by number, as bytes; its timer is the first of their days' ends.
 
-    def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[pd.DataFrame]:
-        was = tuple(self.seen.get())
-        sides = [was[k * len(PARTS) : (k + 1) * len(PARTS)] for k in range(3)]
-        marks, due = was[3 * len(PARTS) : -1], was[-1]
-        self.seen.update((*was[:-1], None))
-        yield self.rows([(key[0], due, *shape(sides[0]), *shape(sides[1]), *shape(sides[2]), *marks)])
-
-    @staticmethod
-    def rows(values: list[tuple]) -> pd.DataFrame:
-        kinds = {c.split()[0]: "Int64" if c.endswith("long") else "float64" for c in ACCOUNTS.split(", ")}
-        return pd.DataFrame(values, columns=list(kinds)).astype(kinds)
+    A call of Python costs milliseconds, so accounts share calls; rows come in bounded batches.
+    """
+    held = np.frombuffer(state.get[0], HELD).copy() if state.exists else np.empty(0, HELD)
+    now, news = _minutes(state.getCurrentWatermarkMs()), [np.empty(0, np.int64)]
+    for pdf in () if state.hasTimedOut else rows:
+        node, out, t, amount = (pdf[c].to_numpy(k) for c, k in (("node", np.int64), ("out", bool), ("t", np.int64), ("amount", float)))
+        news.append(np.unique(node))
+        held = _with(held, news[-1])
+        for k, (use, x) in enumerate(((out, amount), (~out, amount), (np.ones(len(t), bool), t.astype(float)))):
+            if use.any():
+                order = np.argsort(node[use], kind="stable")
+                own, head = np.unique(node[use][order], return_index=True)
+                at = np.searchsorted(held["node"], own)
+                held["parts"][at, k] = np.stack(combined(held["parts"][at, k].T, sums(x[use][order], head)), axis=1)
+        at = np.searchsorted(held["node"], node)
+        np.maximum.at(held["last_out"], at[out], t[out])
+        np.minimum.at(held["first_in"], at[~out], t[~out])
+    at = np.searchsorted(held["node"], np.unique(np.concatenate(news)))
+    at = at[held["due"][at] == NEVER]
+    held["due"][at] = (np.maximum(held["parts"][at, 2, PARTS.index("high")].astype(np.int64), now) // DAY + 1) * DAY
+    done = held[held["due"] <= now]
+    held["due"][held["due"] <= now] = NEVER
+    state.update((held.tobytes(),))
+    if held["due"].min() != NEVER:
+        state.setTimeoutTimestamp(_ms(held["due"].min()) - 1)  # a timer runs off once the watermark is beyond it
+    if len(done):
+        yield _account_rows(done)
+
+
+def _with(held: np.ndarray, nodes: np.ndarray) -> np.ndarray:
+    """``held`` and blank rows of those of ``nodes`` that it lacks, by number."""
+    new = np.setdiff1d(nodes, held["node"], assume_unique=True)
+    if not len(new):
+        return held
+    blank = np.zeros(len(new), HELD)
+    blank["node"], blank["due"], blank["first_in"], blank["last_out"] = new, NEVER, NEVER, -NEVER
+    blank["parts"][:, :, -2:] = np.inf, -np.inf
+    both = np.concatenate([held, blank])
+    return both[np.argsort(both["node"])]
+
+
+def _account_rows(done: np.ndarray) -> pd.DataFrame:
+    shapes = [[v for side in parts for v in shape(side)] for parts in done["parts"].tolist()]
+    times = done["parts"][:, 2, -2:].astype(np.int64)
+    marks = [times[:, 0], times[:, 1], done["last_out"], done["first_in"]]
+    kinds = {c.split()[0]: "Int64" if c.endswith("long") else "float64" for c in ACCOUNTS.split(", ")}
+    columns = [done["node"], done["due"], *zip(*shapes, strict=True), *(pd.array(np.where(np.abs(m) == NEVER, 0, m), "Int64") for m in marks)]
+    rows = pd.DataFrame(dict(zip(kinds, columns, strict=True))).astype(kinds)
+    for name, m in zip(MARKS, marks, strict=True):
+        rows.loc[np.abs(m) == NEVER, name] = pd.NA
+    return rows
 
 
 def edge_rows(edges: DataFrame) -> DataFrame:
@@ -174,10 +205,10 @@ def tick_stream(spark: SparkSession, folder: str, delay: int, shards: int) -> Da
     return e.groupBy("shard").transformWithStateInPandas(Ticks(), TICKS, "Append", "EventTime")
 
 
-def account_stream(spark: SparkSession, folder: str, delay: int) -> DataFrame:
+def account_stream(spark: SparkSession, folder: str, delay: int, shards: int = ACCOUNT_SHARDS) -> DataFrame:
     ends = F.array(F.struct(F.col("src").alias("node"), F.lit(True).alias("out")), F.struct(F.col("dst").alias("node"), F.lit(False).alias("out")))
-    e = _source(spark, folder, delay).select("ts", "t", "amount", F.explode(ends).alias("e")).select("ts", "e.node", "e.out", "t", "amount")
-    return e.groupBy("node").transformWithStateInPandas(Accounts(), ACCOUNTS, "Append", "EventTime")
+    e = _source(spark, folder, delay).select("ts", "t", "amount", F.explode(ends).alias("e")).select("ts", F.pmod(F.xxhash64("e.node"), F.lit(shards)).alias("shard"), "e.node", "e.out", "t", "amount")
+    return e.groupBy("shard").applyInPandasWithState(account_shard, ACCOUNTS, "held binary", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def advance(spark: SparkSession, folder: str, name: str, delay: int = 60, shards: int = 16) -> int:

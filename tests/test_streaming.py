@@ -70,3 +70,25 @@ def test_an_empty_replay(spark, tmp_path):
     folder = f"file://{tmp_path}/none"
     assert P.replay(spark, stream(spark, []), folder, ("ticks",), 2) == {"ticks": [0, 0]}
     assert P.ticks(spark, folder).count() == 0
+
+
+def test_accounts_share_state_and_calls_by_shards(spark, tmp_path):
+    rows = [(1, 10 + i, 5 * (i % 600), float(i % 7)) for i in range(2500)]
+    folder = f"file://{tmp_path}/shards"
+    assert P.replay(spark, stream(spark, rows), folder, ("accounts",), 2)["accounts"] == [0, 0]
+    own = spark.newSession()
+    own.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    assert 500 < own.read.format("statestore").load(f"{folder}/accounts-state").count() <= 1024  # a call of Python each, not 2,501
+    got = {r.node: (r.out_n, r.in_n, r.first_t, r.last_t, r.last_out, r.first_in, r.out_total + r.in_total) for r in P.accounts(spark, folder).collect()}
+    want = {10 + i: (0, 1, t, t, None, t, x) for i, (_, _, t, x) in enumerate(rows)}
+    assert got == want | {1: (2500, 0, 0, 2995, 2995, None, sum(x for *_, x in rows))}
+
+
+def test_late_rows_reach_no_account(spark, tmp_path):
+    folder = f"file://{tmp_path}/late-accounts"
+    P.deliver(P.edge_rows(stream(spark, [(1, 2, 10, 1.0), (1, 2, 2000, 3.0)])), folder)
+    assert P.advance(spark, folder, "accounts") == 0
+    P.deliver(P.edge_rows(stream(spark, [(1, 3, 1940, 9.0), (1, 3, 1941, 2.0)])).union(P.signal(spark, 3000)), folder)
+    assert P.advance(spark, folder, "accounts") == 2  # both ends of the edge at the watermark
+    got = {r.node: (r.as_of, r.out_n, r.in_n, r.out_total) for r in P.accounts(spark, folder).collect()}
+    assert got == {1: (2880, 3, 0, 6.0), 2: (2880, 0, 2, 0.0), 3: (2880, 0, 1, 0.0)}
