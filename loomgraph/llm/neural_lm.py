@@ -164,21 +164,28 @@ def train(lines: list[np.ndarray], classes: int, noise: np.ndarray, dims: int =
         word, out, *mix, bias = (x.copy() for x in start[:5])
         squares = [x.copy() for x in start[5:]]
     line = np.concatenate([np.concatenate([[0, 0], x]) for x in lines]) if lines else np.zeros(0, np.int64)
+    real = np.ones(len(line), bool)
     starts = np.cumsum([0, *(len(x) + 2 for x in lines)])[:-1]
-    at = np.setdiff1d(np.arange(len(line)), np.concatenate([starts, starts + 1])) if lines else np.zeros(0, np.int64)
+    real[starts], real[starts + 1] = False, False
+    at = np.flatnonzero(real)
     target, u, v = line[at], line[at - 1], line[at - 2]
 
-    def step(which: int, x: np.ndarray, rows: np.ndarray | None, g: np.ndarray) -> None:
-        """Add the gradient ``g``; with ``rows``, row by row, those of one row summed up first."""
-        if rows is not None:
-            order = np.argsort(rows, kind="stable")
-            own, first = np.unique(rows[order], return_index=True)
-            g, rows = np.add.reduceat(g[order], first), own
-            squares[which][rows] += g * g
-            x[rows] += rate * g / np.sqrt(squares[which][rows])
-        else:
-            squares[which] += g * g
-            x += rate * g / np.sqrt(squares[which])
+    def step(which: int, x: np.ndarray, g: np.ndarray) -> None:
+        squares[which] += g * g
+        x += rate * g / np.sqrt(squares[which])
+
+    places = np.arange(dims)
+
+    def by_class(rows: np.ndarray, g: np.ndarray) -> np.ndarray:
+        """Per class the sum of the rows of ``g`` that are its own."""
+        at = (rows * dims)[:, None] + places
+        return np.bincount(at.ravel(), g.ravel(), classes * dims).reshape(classes, dims).astype(np.float32)
+
+    def sigmoid(x: np.ndarray) -> np.ndarray:
+        """1 / (1 + exp(x)), in the place of ``x``: fresh pages cost more than the sum."""
+        np.exp(x, out=x)
+        x += 1
+        return np.divide(1, x, out=x)
 
     cumulative = np.cumsum(p)
     for _ in range(epochs):
@@ -187,17 +194,29 @@ def train(lines: list[np.ndarray], classes: int, noise: np.ndarray, dims: int =
             own = order[b : b + batch]
             t, a, c = target[own], u[own], v[own]
             k = np.searchsorted(cumulative, r.random(draws)).clip(0, classes - 1)
-            h = word[a] @ mix[0] + word[c] @ mix[1]
-            up = 1 / (1 + np.exp((h * out[t]).sum(1) + bias[t] - log_kp[t]))  # the gradient of a true token's score
-            down = -1 / (1 + np.exp(-(h @ out[k].T + bias[k] - log_kp[k])))  # of noise
-            gh = up[:, None] * out[t] + down @ out[k]
-            g_mix = [word[a].T @ gh, word[c].T @ gh]
-            g_word = np.concatenate([gh @ mix[0].T, gh @ mix[1].T])
-            step(1, out, np.concatenate([t, k]), np.concatenate([up[:, None] * h, down.T @ h]))
-            step(4, bias, np.concatenate([t, k]), np.concatenate([up, down.sum(0)]))
-            step(0, word, np.concatenate([a, c]), g_word)
+            h = (word @ mix[0]).take(a, 0)  # classes are fewer than tokens
+            h += (word @ mix[1]).take(c, 0)
+            true, noisy = out.take(t, 0), out.take(k, 0)
+            up = sigmoid(np.einsum("ij,ij->i", h, true) + (bias - log_kp)[t])  # the gradient of a true token's score
+            down = h @ noisy.T
+            down += (bias - log_kp)[k]
+            down = sigmoid(np.negative(down, out=down))  # the score of noise goes down by it
+            true *= up[:, None]
+            gh = true
+            gh -= down @ noisy
+            one, two = by_class(a, gh), by_class(c, gh)
+            g_mix = [word.T @ one, word.T @ two]
+            g_word = one @ mix[0].T + two @ mix[1].T
+            noise_up = down.T @ h
+            h *= up[:, None]
+            h_up = by_class(t, h)
+            np.subtract.at(h_up, k, noise_up)
+            bias_up = np.bincount(t, up, classes) - np.bincount(k, down.sum(0), classes)
+            step(1, out, h_up)
+            step(4, bias, bias_up.astype(np.float32))
+            step(0, word, g_word)
             for i in range(2):
-                step(2 + i, mix[i], None, g_mix[i])
+                step(2 + i, mix[i], g_mix[i])
     return [word, out, *mix, bias, *squares]
 
 

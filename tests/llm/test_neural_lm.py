@@ -150,3 +150,35 @@ def test_every_text_is_learned_from(spark):
     assert np.abs(np.exp(one[:, None, :] + two[None, :, :] - z[:, :, None]).sum(2) - 1).max() < 1e-3
     other = N.fit(table(spark, [(i, t if i != 900 else " ".join(reversed(t.split()))) for i, t in rows]), frequent=50, head=100, epochs=1, share_tokens=2500)[0]
     assert not np.allclose(a.output, other.output, atol=1e-5)  # the same counts, another order of words in one text
+
+
+def test_a_step_adds_up_what_single_tokens_add():
+    """One batch against gradients added token by token; places at a line's start aren't learned."""
+    r = np.random.default_rng(4)
+    lines, classes, draws, rate = [r.integers(0, 7, n) for n in (5, 1, 0, 9)], 7, 6, 0.2
+    noise = np.bincount(np.concatenate(lines), minlength=classes).astype(float)
+    begin = N.train([], classes, noise, 4)
+    begin[5:] = [x + 1 for x in begin[5:]]
+    got = N.train(lines, classes, noise, 4, 1, rate, 1024, draws, 3, begin)
+    word, out, one, two, bias = (x.astype(float) for x in begin[:5])
+    g = [np.zeros_like(x) for x in (word, out, one, two, bias)]
+    own = np.random.default_rng(3)
+    p = (noise + 0.5) / (noise + 0.5).sum()
+    own.permutation(sum(map(len, lines)))
+    k = np.searchsorted(np.cumsum(p), own.random(draws)).clip(0, classes - 1)
+    for x in lines:
+        row = [0, 0, *x.tolist()]
+        for c, a, t in zip(row, row[1:], row[2:]):
+            h = word[a] @ one + word[c] @ two
+            gh = np.zeros(4)
+            for w, sign in [(t, 1), *((i, -1) for i in k)]:
+                e = sign / (1 + np.exp(sign * (h @ out[w] + bias[w] - np.log(draws * p[w]))))
+                g[1][w] += e * h
+                g[4][w] += e
+                gh += e * out[w]
+            g[0][a] += one @ gh
+            g[0][c] += two @ gh
+            g[2] += np.outer(word[a], gh)
+            g[3] += np.outer(word[c], gh)
+    for x, y, d, s in zip(got, begin, g, begin[5:]):
+        assert np.allclose(x, y + rate * d / np.sqrt(s + d * d), atol=1e-5)
