@@ -89,7 +89,9 @@ def build(cand: DataFrame, member: DataFrame, inner: DataFrame, p: DataFrame, ed
     cnt = F.col("cnt")
     own = inner.groupBy("now", "seed").agg(F.count("*").alias("n_edges"), F.sum("amount").alias("internal"), F.sum("cnt").alias("n_txns"), F.sum(F.when(S.is_round(F.round(F.col("amount") / cnt, 6)), cnt).otherwise(0)).alias("n_round"), (F.max("last_t") - F.min("first_t")).alias("span_minutes")).filter(F.col("n_edges") >= config.MIN_EDGES)
     sg6 = C.scatter_gather(inner, config.STRAND_MINUTES).withColumnRenamed("sg", "sg_6h")
-    parts = (C.boundary_flow(member, inner, W.node_totals(p)), C.fans(inner), C.scatter_gather(inner), sg6, C.mutual(inner), H.shapes(inner), C.layers(inner), member_stats(member, edges), registry_features(member, registry))
+    level = C.layers(inner)
+    layers = level.select(*[S.rounded(c, 6).alias(c) if c in ("gargaml", "bipartite", "stack") else F.col(c) for c in level.columns])  # stored to six digits, so sums of many agree
+    parts = (C.boundary_flow(member, inner, W.node_totals(p)), C.fans(inner), C.scatter_gather(inner), sg6, C.mutual(inner), H.shapes(inner), layers, member_stats(member, edges), registry_features(member, registry))
     j = reduce(lambda a, b: a.join(b, ["now", "seed"], "left"), parts, cand.select("now", "key", "seed", "size").join(own, ["now", "seed"]))
     j = j.na.fill(0).withColumn("exact", F.coalesce("exact", F.lit(True)))
     edge_flow = F.col("ext_in") + F.col("ext_out")
