@@ -36,6 +36,23 @@ def test_smurf_score_is_the_plain_one_without_expanded_rows(spark, capsys):
     assert "Expand" not in plan  # distinct counts multiply no rows
 
 
+def test_smurf_score_without_a_bound_scores_hubs_as_well(spark):
+    r = random.Random(4)
+    pairs = {tuple(r.sample(range(14), 2)) for _ in range(60)} | {(99, k) for k in range(100, 160)} | {(k, 99) for k in range(160, 175)} | {(100, 170), (170, 101), (101, 102)}
+    p = spark.createDataFrame([(now, a, b) for a, b in sorted(pairs) for now in (60, 420)], "now long, src long, dst long")
+    nodes = p.select("now", p.src.alias("node")).union(p.select("now", "dst")).filter("now = 60 or node % 3 = 0")
+    plain = _plain(pairs, 10**9)
+    got = {(x.now, x.node): (x.width, round(x.smurf, 9)) for x in L.smurf_score(nodes, p, max_width=None).collect()}
+    assert got == {(now, n): v for n, v in plain.items() for now in (60, 420) if now == 60 or n % 3 == 0}
+    assert got[60, 99][0] == 75 and got[60, 99][1] > 0.9
+
+
+def test_a_hub_is_no_corner_that_pairs_are_made_at(spark):
+    p = spark.createDataFrame([(60, 0, k) for k in range(1, 400)] + [(60, 1, 2)], "now long, src long, dst long")
+    got = L.triads(p, spark.createDataFrame([(60, 0), (60, 1), (60, 2)], "now long, node long")).collect()
+    assert {(x.node, x.src, x.s, x.r, x.to_s, x.to_r) for x in got} == {(0, 1, 0, 1, 0, 1), (1, 0, 1, 0, 0, 1), (2, 0, 1, 0, 1, 0)}
+
+
 def test_a_long_window_is_dealt_by_the_number_of_edges(spark):
     e = spark.createDataFrame([(1, 1, 2, 5, 1.0), (2, 1, 2, 400, 2.0), (3, 2, 3, 9, 1.0)], "seq long, src long, dst long, t long, amount double")
     few, many = (W.islands(e, 4320, rows=n) for n in (3, 40 * W.HELD))
