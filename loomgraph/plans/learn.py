@@ -21,6 +21,7 @@ from loomgraph.plans.registry import query
 from loomgraph.sources import readers as R
 
 CUT = 30_000  # minutes: earlier cycles are learned from
+TREES = 200
 FEATURES = ["size", "n_edges", "n_txns", "span_minutes", "max_out", "max_in", "n_through", "n_countries", "n_banks", "n_entities", "internal", "conservation", "burstiness", "fast_passthrough_ratio", "mean_velocity"]
 TERM = {
     "temporal_cycle": "CASE WHEN n_temporal > 0 THEN 0.6 * nodes_in_temporal / size + CASE WHEN shortest_temporal BETWEEN 1 AND 4 THEN 0.4 ELSE 0 END ELSE 0 END",
@@ -53,7 +54,7 @@ def _labelled(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _model(spark: SparkSession, d: str) -> L.Trees:
-    return once(spark, f"{d}/events.parquet", "model", lambda: L.fit_any(_labelled(spark, d).filter(F.col("now") < CUT), FEATURES, "y", trees=20))
+    return once(spark, f"{d}/events.parquet", "model", lambda: L.fit_any(_labelled(spark, d).filter(F.col("now") < CUT), FEATURES, "y", trees=TREES))
 
 
 def _held_back(spark: SparkSession, d: str) -> DataFrame:

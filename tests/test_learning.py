@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from loomgraph.operators import label_tax as T
 from loomgraph.operators import learning as L
 from loomgraph.operators import resample
+from loomgraph.plans import learn
 
 NAMES = ["a", "b", "c"]
 
@@ -65,6 +66,24 @@ def test_trees_equal_a_plain_version(rows, cases, parts):
     assert np.allclose([got[i] for i in range(500)], 1 / (1 + np.exp(-expected)), atol=1e-9)
 
 
+def test_trees_stay_equal_when_rows_keep_their_margin(rows, cases, monkeypatch):
+    x, y = cases
+    monkeypatch.setattr(L, "KEPT", 2)
+    monkeypatch.setattr(L, "HELD", 100)
+    model = L.fit(rows, NAMES, "y", trees=5, depth=2, bins=8)
+    got = {r.id: r.p for r in L.scored(rows, model).collect()}
+    assert len(model.splits) == 5 and np.allclose([got[i] for i in range(500)], 1 / (1 + np.exp(-plain_fit(x, y, model.edges, 5, 2, 0.1, 8, 1.0))), atol=1e-9)
+
+
+def test_the_queries_learn_as_many_trees_as_the_reference(monkeypatch, rows):
+    seen = {}
+    monkeypatch.setattr(learn, "_labelled", lambda spark, d: rows.selectExpr("id as now", "*"))
+    monkeypatch.setattr(learn, "once", lambda spark, path, name, make: make())
+    monkeypatch.setattr(learn.L, "fit_any", lambda rows, features, label, **bounds: seen.update(bounds))
+    learn._model(None, "")
+    assert seen["trees"] == 200
+
+
 def ap(score, y):
     order = sorted(set(score), reverse=True)
     out, seen = 0.0, 0.0
